@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import license_scan
+from lodestone.llm import license_scan, toxicity
 
 
 def queries() -> dict:
     return {
         "op7_license_scan": license_scan.op7_license_scan,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
