@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from lodestone.llm import license_scan, toxicity
+from lodestone.llm import ann, license_scan, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op6_ann": ann.op6_ann,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_warc": warc.op9_warc,
+        "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_license_scan": license_scan.OP7_SQL,
+        "op9_warc": warc.OP9_SQL,
+        "op10_topk": topk.OP10_SQL,
     }
