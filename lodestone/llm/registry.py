@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ann, license_scan, topk, toxicity, warc
+from lodestone.llm import ann, license_scan, substring_dedup, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op6_ann": ann.op6_ann,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_toxicity": toxicity.op8_toxicity,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.OP2_SQL,
         "op7_license_scan": license_scan.OP7_SQL,
         "op9_warc": warc.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
