@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ann, license_scan, simhash, substring_dedup, topk, toxicity, warc
+from lodestone.llm import ann, license_scan, mixing, sentence_pieces, simhash, substring_dedup, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_simhash": simhash.op3_simhash,
+        "op4_mixing": mixing.op4_mixing,
+        "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
         "op6_ann": ann.op6_ann,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_toxicity": toxicity.op8_toxicity,
