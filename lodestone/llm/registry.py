@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ann, license_scan, mixing, sentence_pieces, simhash, substring_dedup, topk, toxicity, warc
+from lodestone.llm import ann, html_extract, license_scan, mixing, sentence_pieces, simhash, substring_dedup, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html_extract": html_extract.op1_html_extract,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_simhash": simhash.op3_simhash,
         "op4_mixing": mixing.op4_mixing,
