@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions, table
 
+MIX = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
 BLOCK_SIZE, PERIOD, RANGE_BITS = 1 << 16, 1024, 12
 
 
@@ -64,20 +65,19 @@ def natural_weights(docs: DataFrame, source_col: str, text_col: str, temperature
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_size: int = BLOCK_SIZE, period: int = PERIOD, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with mix_block, mix_release, mix_deadline, mix_slot, mix_offset.
+    """docs with mix_block, mix_release, mix_deadline, mix_slot, mix_offset, in place of columns of these names.
 
     Weights default to the sources' sizes to the power of temperature.  A
     source without a weight gets the least weight given.  mix_offset orders
     the rows of one block.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*MIX)
     weights = dict(weights or natural_weights(docs, source_col, text_col, temperature))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    kept = [docs[c] for c in docs.columns]
     if not weights:
-        empty = [F.lit(0).cast("long").alias(c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")]
-        return docs.select(*kept, *empty)
-    named = {r["s"] for r in docs.select(source.alias("s")).distinct().collect()} if len(weights) else set()
+        return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in MIX])
+    named = {r["s"] for r in docs.select(source.alias("s")).distinct().collect()}
     least = min(weights.values())
     got = quotas({n: weights.get(n, least) for n in named | set(weights)}, period)
     order = period_schedule(got)
@@ -88,7 +88,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     plan = spark.createDataFrame(table_rows, "_s string, _nth long, _quota long, _slot long")
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*kept, source.alias("_src"), F.greatest(F.length(text), F.lit(1)).cast("long").alias("_size"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.sha1(text.cast("binary"))), F.lit(seed)).alias("_h"), F.xxhash64(text).alias("_t"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), source.alias("_src"), F.greatest(F.length(text), F.lit(1)).cast("long").alias("_size"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.sha1(text.cast("binary"))), F.lit(seed)).alias("_h"), F.xxhash64(text).alias("_t"))
     rows = rows.withColumn("_range", F.shiftrightunsigned("_h", 64 - RANGE_BITS))
     sums = rows.groupBy("_src", "_range").agg(F.sum("_size").alias("_sum"))
     base = sums.select("_src", "_range", (F.sum("_sum").over(Window.partitionBy("_src").orderBy("_range")) - F.col("_sum")).alias("_base"))
@@ -106,7 +106,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     rows = rows.join(F.broadcast(plan.select("_s", "_nth", "_slot")), (F.col("_src") == F.col("_s")) & (F.col("_k") == F.col("_nth")))
     whole = F.floor(F.col("mix_block") / F.col("_q"))
     return rows.select(
-        *[F.col(c) for c in docs.columns], "mix_block",
+        "_row.*", "mix_block",
         F.floor(F.col("mix_block") * total / F.col("_q")).alias("mix_release"),
         F.ceil((F.col("mix_block") + 1) * total / F.col("_q")).alias("mix_deadline"),
         (whole * total + F.col("_slot")).alias("mix_slot"),
@@ -118,7 +118,7 @@ def interleave(docs: DataFrame, **options) -> DataFrame:
     """All rows of docs, dealt to range partitions and sorted in the order of the mix."""
     rows = schedule(docs, **options)
     order = ["mix_slot", "mix_offset"]
-    return rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*docs.columns)
+    return rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop(*MIX)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,7 +271,8 @@ def _passes(texts: list[str]) -> Iterator[slice]:
 
 
 def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_col: str = "piece_ids", model: str | None = None, alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """docs with the sampled piece ids of its texts as a further column; no shuffle."""
+    """docs with the sampled piece ids of its texts as a further column, in place of one of that name; no shuffle."""
+    docs = docs.drop(out_col)
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))
@@ -292,7 +293,8 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", out
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
-    """rows with the text of its piece ids as a further column."""
+    """rows with the text of its piece ids as a further column, in place of one of that name."""
+    rows = rows.drop(out_col)
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     at = rows.columns.index(ids_col)
 

@@ -323,7 +323,7 @@ def dedup(docs: DataFrame, shingle: int = 5, max_bits: int = SIMILAR_BITS, max_t
     """docs without rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
     rows = stored(clusters(docs, shingle, max_bits, max_total=max_total), "clusters")
     lost = rows.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")).distinct()
-    out = docs.join(lost, docs["doc_id"].cast("long") == F.col("_lost"), "left_anti")
+    out = docs.join(lost, docs["doc_id"].cast("long") == lost["_lost"], "left_anti")
     repeated = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         return out

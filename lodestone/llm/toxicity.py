@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestone.llm.common import small_batches, table
+from lodestone.llm.common import small_batches, table, unused
 
 #: Labelled rows that are read at most; the bound on what is joined by broadcast.
 MAX_LABELS = 20_000
@@ -202,7 +202,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int =
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """docs with its score as a further column: one narrow pass."""
+    """docs with its score as a further column, in place of one of that name: one narrow pass."""
+    docs = docs.drop(out_col)
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(out_col, DoubleType())])
@@ -218,8 +219,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with their own columns."""
-    scored = score(docs, train(docs, labels), out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = unused(docs.columns, "toxicity")
+    return score(docs, train(docs, labels), out_col=name).where(F.col(name) < threshold).drop(name)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
