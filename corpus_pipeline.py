@@ -48,7 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = sentence_pieces.decode(sentence_pieces.encode(docs))
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
-    return rows.select(*docs.columns, "piece_ids", F.size("piece_ids").alias("n_pieces"), same.alias("lossless"))
+    kept = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "lossless", "decoded")]
+    return rows.select(*kept, "piece_ids", F.size("piece_ids").alias("n_pieces"), same.alias("lossless"))
 
 
 STAGES = [
