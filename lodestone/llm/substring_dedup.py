@@ -10,8 +10,9 @@ bucketed by hash.  A new batch becomes a run of its own; it is merge-joined
 with every historical run bucket by bucket without moving those, and the
 hashes that two documents share name the candidate documents.  Runs are
 compacted into one when ``fanout`` of them exist.  Candidates are then
-verified: their windows are compared by 128-bit digests of all 50 words, and
-each word covered by a window that also starts in a document with a smaller
+verified: stretches of windows with one representative, and single windows
+where stretches differ, are compared by 128-bit digests of all their words,
+and each word covered by a window that also starts in a document with a smaller
 doc_id goes.  Whole copies (equal word sequences of at least one window) are
 found by a digest of the document before, so that a hot group of copies sends
 one document on.
@@ -57,15 +58,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Prefixes:
+    """Polynomial hashes, modulo 2^64, of any range of a sequence from its prefix sums."""
+
+    def __init__(self, h: np.ndarray, factor: int):
+        n = len(h)
+        power = np.full(n + 1, factor, dtype=np.uint64)
+        inverse = np.full(n + 1, pow(factor, -1, 1 << 64), dtype=np.uint64)
+        power[0] = inverse[0] = 1
+        self.power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * inverse[:n], dtype=np.uint64)])
+
+    def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = (end - start).astype(np.uint64)
+        return mix((self.sums[end] - self.sums[start]) * self.power[start] + length * _ODD)
+
+
 def rolling(h: np.ndarray, width: int, factor: int) -> np.ndarray:
-    """A polynomial hash of every width consecutive elements, modulo 2^64."""
-    n = len(h)
-    power = np.full(n + 1, factor, dtype=np.uint64)
-    inverse = np.full(n + 1, pow(factor, -1, 1 << 64), dtype=np.uint64)
-    power[0] = inverse[0] = 1
-    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * inverse[:n], dtype=np.uint64)])
-    return mix((sums[width:] - sums[:-width]) * power[: n - width + 1])
+    """A hash of every width consecutive elements."""
+    at = np.arange(len(h) - width + 1)
+    return Prefixes(h, factor).digest(at, at + width)
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -193,33 +205,59 @@ def removals(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int
     cands = stored(keyed(docs).join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "hashes"), "texts")
     index.close()
 
-    win_schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
+    # A stretch: neighbouring windows of a document with one representative.  Documents with equal stretches share
+    # all windows in it, so that one document of each stretch stands for the others.
+    row = [("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32())]
+    stretch_schema = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), *row, ("n", pa.int32())])
+    window_schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), *row])
 
-    def windows(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+        both = (Prefixes(h, 0xD1342543DE82EF95), Prefixes(mix(h + _ODD), 0xAF251AF3B0F025B5))
+        return [pa.array(p.digest(start, end).view(np.int64)) for p in both]
+
+    def stretches(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             for doc_id, key, text, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = word_hashes(words_of(text))
-                at = np.nonzero(np.isin(representatives(h, window, gram), np.array(hashes, dtype=np.int64).view(np.uint64)))[0]
-                d1 = rolling(h, window, 0xD1342543DE82EF95)[at].view(np.int64)
-                d2 = rolling(mix(h + _ODD), window, 0xAF251AF3B0F025B5)[at].view(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(np.full(n, doc_id)), pa.array(np.full(n, key)), pa.array(at.astype(np.int32))], schema=win_schema)
+                r = representatives(h, window, gram)
+                start = np.concatenate([[0], np.nonzero(r[1:] != r[:-1])[0] + 1])
+                end = np.append(start[1:], len(r))
+                shared = np.isin(r[start], np.array(hashes, dtype=np.int64).view(np.uint64))
+                start, end = start[shared], end[shared]
+                n = len(start)
+                yield pa.RecordBatch.from_arrays([pa.array(r[start].view(np.int64)), *digests(h, start, end + window - 1), pa.array(np.full(n, doc_id)), pa.array(np.full(n, key)), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32))], schema=stretch_schema)
 
-    seen = cands.mapInArrow(windows, "d1 long, d2 long, doc_id long, key long, start int")
+    def windows(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for doc_id, key, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = word_hashes(words_of(text))
+                at = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in parts])
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([*digests(h, at, at + window), pa.array(np.full(n, doc_id)), pa.array(np.full(n, key)), pa.array(at.astype(np.int32))], schema=window_schema)
+
+    found = stored(cands.mapInArrow(stretches, "h long, d1 long, d2 long, doc_id long, key long, start int, n int"), "stretches")
+    kinds = stored(found.groupBy("h", "d1", "d2").agg(F.min("doc_id").alias("first")), "kinds")
+    found = found.join(kinds, ["h", "d1", "d2"])
+    sure = found.where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "start", "n")
+    # Windows one by one only where stretches differ that may overlap.
+    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    own = found.where(F.col("doc_id") == F.col("first")).join(several, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    seen = stored(cands.select("doc_id", "key", "text").join(own, ["doc_id", "key"]).mapInArrow(windows, "d1 long, d2 long, doc_id long, key long, start int"), "windows")
     firsts = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("d1", "d2", "first")
-    again = seen.join(firsts, ["d1", "d2"]).where(F.col("doc_id") > F.col("first"))
-    starts = again.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
+    again = seen.join(firsts, ["d1", "d2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "start", F.lit(1).alias("n"))
+    starts = sure.unionAll(again).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def rewrite(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             rows = []
-            for doc_id, key, text, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, key, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, np.array(begin) + window, -1)
+                for p in parts:
+                    edge[p["start"]] += 1
+                    edge[p["start"] + p["n"] + window - 1] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 rows.append((doc_id, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
@@ -241,11 +279,13 @@ def dedup(docs: DataFrame, batches: int = 3, drop_emptied: bool = True) -> DataF
     _, lost = removals(docs, batches)
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept"))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    out = docs.join(lost, (docs["doc_id"].cast("long") == F.col("_id")) & (key == F.col("_key")), "left")
+    kept, key = lost["_kept"], F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    out = docs.join(lost, (docs["doc_id"].cast("long") == lost["_id"]) & (key == lost["_key"]), "left")
     if drop_emptied:
-        out = out.where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    text = F.coalesce("_kept", docs["text"])
-    new = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+        out = out.where(kept.isNull() | (kept != ""))
+    new = {"text": F.coalesce(kept, docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(kept.isNotNull(), F.length(kept)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
