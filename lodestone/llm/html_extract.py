@@ -50,7 +50,7 @@ MAIN_TAGS = {"article", "main"}
 OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button"}
 OTHER_NAMES = set("ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer header login menu modal nav navbar newsletter notice popup promo recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+)|(<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+)|(<(?![a-zA-Z/!?]))", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
