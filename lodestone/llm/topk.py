@@ -2,8 +2,8 @@
 
 A vector's dimensions are cut into ``lists`` groups; for a query each group is
 a list of partial scores, kept by other tasks than the other groups.
-Phase 1 gathers the k best entries of every list and each list's least score;
-their sums bound the k-th best total from below.  Phase 2 sends that bound out
+Phase 1 gathers the ``depth`` best entries of every list and each list's least
+score; the totals of those rows bound the k-th best total from below.  Phase 2 sends that bound out
 with the query and collects every entry that reaches its even share of it: a
 row below the share in all lists cannot be among the best.  Phase 3 sharpens
 the bound, drops rows whose upper bound misses it and resolves the others'
@@ -60,12 +60,15 @@ ENTRY = "query_id long, list int, vec_id long, partial long, low long"
 _ENTRY = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("vec_id", pa.int64()), ("partial", pa.int64()), ("low", pa.int64())])
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, lists: int = 2) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, lists: int = 2, depth: int = 0) -> DataFrame:
     """The k rows of largest integer inner product for each row that meets ``queries`` (a condition on vec_id).
 
+    depth entries (4k unless given) of each list are gathered in phase 1: no
+    limit on the result, only on how close the first bound is.
     Result: query_id, rank, vec_id, score.  A query is not its own candidate.
     """
     spark = vectors.sparkSession
+    depth = max(k, depth or 4 * k)
     rows = stored(integers(vectors, id_col, vec_col, scale), "integers")
     schema = "query_id long, rank int, vec_id long, score long"
     size = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q"), F.max(F.size("v")).alias("dims")).first()
@@ -95,13 +98,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ENTRY, strict=True)], schema=_ENTRY)
 
     def first_phase(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k best entries of each query in this block of the list, with the block's least score."""
+        """The best entries of each query in this block of the list, with the block's least score."""
         if not left.num_rows or not right.num_rows:
             return _ENTRY.empty_table()
         ids, names, s, own = scored(left, right)
         low = s.min(axis=1)
         s[own] = np.iinfo(np.int64).min
-        n = min(k, len(ids))
+        n = min(depth, len(ids))
         top = np.argpartition(s, len(ids) - n, axis=1)[:, len(ids) - n :]
         best = np.take_along_axis(s, top, axis=1)
         seen = best > np.iinfo(np.int64).min
@@ -129,13 +132,19 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
         ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")))
         return ranked.where(F.col("_r") <= k).groupBy("query_id").agg(F.max(F.when(F.col("_r") == k, F.col(by))).alias("bound"))
 
+    def resolved(pairs: DataFrame) -> DataFrame:
+        """The exact scores of (query_id, vec_id)."""
+        both = pairs.join(rows, "vec_id").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
+        product = F.zip_with("v", "q", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long")))
+        return both.select("query_id", "vec_id", total(product).alias("score"))
+
     one = stored(sides(None).applyInArrow(first_phase, ENTRY), "topk1")
     lows = one.groupBy("query_id").agg(by_list("low", F.min).alias("low"))
-    head = one.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("partial"), "vec_id"))).where(F.col("_r") <= k)
-    sums = head.groupBy("query_id", "vec_id").agg(by_list("partial", F.max).alias("p")).join(lows, "query_id").withColumn("least", lower())
+    head = one.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("partial"), "vec_id"))).where(F.col("_r") <= depth)
+    sums = resolved(head.select("query_id", "vec_id").distinct()).withColumnRenamed("score", "least")
     floor = total(F.col("low"))
     share = F.ceil((F.coalesce("bound", floor) - floor) / F.lit(float(lists))).cast("long") - 1
-    cutoffs = kth(sums, "least").join(lows, "query_id").select("query_id", "low", F.transform("low", lambda x: x + share).alias("cutoff"))
+    cutoffs = lows.join(kth(sums, "least"), "query_id", "left").select("query_id", "low", F.transform("low", lambda x: x + share).alias("cutoff"))
     cutoffs = stored(cutoffs, "cutoffs")
 
     two = sides(cutoffs.select("query_id", "cutoff")).applyInArrow(second_phase, ENTRY)
@@ -144,9 +153,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     left = sent.join(kth(sent, "least"), "query_id").where(F.col("bound").isNull() | (F.col("most") >= F.col("bound")))
 
     known = F.forall("p", lambda x: x.isNotNull())
-    open_rows = left.where(~known).select("query_id", "vec_id").join(rows, "vec_id").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
-    exact = F.aggregate(F.zip_with("v", "q", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    scores = left.where(known).select("query_id", "vec_id", F.col("least").alias("score")).unionByName(open_rows.select("query_id", "vec_id", exact.alias("score")))
+    scores = left.where(known).select("query_id", "vec_id", F.col("least").alias("score")).unionByName(resolved(left.where(~known).select("query_id", "vec_id")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
