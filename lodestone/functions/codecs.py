@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.bytespace import col, spans
 
 URL_RUN = r"[A-Za-z0-9%+\-._~:/?#\[\]@!$&'()*,;=]{16,65536}"
-BASE64_RUN = r"[A-Za-z0-9+/_-][A-Za-z0-9+/_\-\r\n\t ]{30,}={0,2}"
+BASE64_RUN = r"[A-Za-z0-9+/_-][A-Za-z0-9+/_\-\r\n\t]{30,}={0,2}"
 MAX_SPANS = 8
 
 
