@@ -309,7 +309,7 @@ QUERIES = {
     "run_progress": (run_progress, PROGRESS_SQL),
     "claim_order": (claim_order, CLAIM_SQL),
     "contiguous_prefix": (contiguous_prefix, PREFIX_SQL),
-    "op_conflicts": (op_conflicts, OP_CONFLICTS_SQL),
+    "operation_conflicts": (op_conflicts, OP_CONFLICTS_SQL),
     "lease_replay": (lease_replay, None),
     "range_keys": (range_keys, RANGE_SQL),
 }
