@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches, table
 
-MAX_PAGES, SYNTHETIC, MAX_TRAIN_CHARS = 300, 300, 50_000
+MAX_PAGES, SYNTHETIC, MAX_TRAIN_CHARS = 300, 600, 50_000
 PATH_DIMS, WORD_DIMS, EXTRA_DIMS, HIDDEN = 48, 24, 6, 16
 DIMS = PATH_DIMS + WORD_DIMS + EXTRA_DIMS
 
@@ -306,22 +306,38 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
             return part(kind, 0, [f'<ul><li><a href="/x">{words(1, 3)}</a></li></ul>' for _ in range(int(rng.integers(1, 7)))])
         return part(kind, 0, [f"<p>{words(2, 20)}</p>" if rng.random() < 0.5 else words(1, 14) for _ in range(1)])
 
-    pieces = [other() for _ in range(int(rng.integers(0, 4)))]
-    inner, kind = [], str(rng.choice(MAIN_PARTS))
-    before = len(marked)
-    for i in range(int(rng.integers(1, 14))):
-        tag = "h1" if i == 0 and rng.random() < 0.8 else str(rng.choice(["p", "p", "p", "h2", "blockquote", "li"]))
-        text = f"<{tag}>{words(1, 8) if tag[0] == 'h' else words(1, 60)}</{tag}>"
+    def main(text: str) -> str:
         marked.append((text, 1))
-        inner.append(text)
-    if rng.random() < 0.25:
-        at = int(rng.integers(1, len(inner) + 1))
-        count = len(marked)
-        inner.insert(at, part(str(rng.choice(OTHER_PARTS[4:])), 0, [f"<p>{words(1, 12)}</p>"]))
-        moved = marked[count:]
-        del marked[count:]
-        marked[before + at : before + at] = moved
-    pieces.append(f"<{kind}>" + "".join(inner) + f"</{kind.split()[0]}>")
+        return text
+
+    def one() -> str:
+        """A piece of main text: a paragraph most of the time, else a heading, a list, a table or a caption."""
+        r = rng.random()
+        if r < 0.6:
+            return main(f"<p>{words(1, 60)}</p>")
+        if r < 0.7:
+            return main(f"<h2>{words(1, 8)}</h2>")
+        if r < 0.78:
+            return main(f"<blockquote>{words(3, 40)}</blockquote>")
+        if r < 0.92:
+            return "<ul>" + "".join(main(f"<li>{words(1, 20)}</li>") for _ in range(int(rng.integers(2, 6)))) + "</ul>"
+        if r < 0.96:
+            return "<table><tr>" + "".join(main(f"<td>{words(1, 6)}</td>") for _ in range(int(rng.integers(2, 5)))) + "</tr></table>"
+        return "<figure>" + main(f"<figcaption>{words(2, 14)}</figcaption>") + "</figure>"
+
+    pieces = [other() for _ in range(int(rng.integers(0, 4)))]
+    kind = str(rng.choice(MAIN_PARTS)) if rng.random() < 0.88 else ""
+    inner = []
+    if rng.random() < 0.85:
+        title = main(f"<h1>{words(1, 8)}</h1>")
+        inner.append(f"<header>{title}</header>" if kind and rng.random() < 0.15 else title)
+    for _ in range(int(rng.integers(1, 12))):
+        inner.append(one())
+        if kind and rng.random() < 0.06:
+            inner.append(part(str(rng.choice(OTHER_PARTS[3:])), 0, [f"<p>{words(1, 25)}</p>" for _ in range(int(rng.integers(1, 3)))]))
+    if kind and rng.random() < 0.15:
+        inner.append(part(str(rng.choice(COMMENT_PARTS)), 0, [f"<p>{words(1, 40)}</p>" for _ in range(int(rng.integers(1, 4)))]))
+    pieces.append(f"<{kind}>" + "".join(inner) + f"</{kind.split()[0]}>" if kind else "".join(inner))
     if rng.random() < 0.35:
         pieces.append(part(str(rng.choice(COMMENT_PARTS)), 0, [f"<p>{words(1, 40)}</p>" for _ in range(int(rng.integers(1, 5)))]))
     pieces += [other() for _ in range(int(rng.integers(0, 4)))]

@@ -181,11 +181,11 @@ def test_extraction_of_pages(spark):
 
 def test_held_out_skeletons():
     rng, xs, ys = np.random.default_rng(4), [], []
-    while len(xs) < 260:
+    while len(xs) < 460:
         found, y = html_extract.synthetic_page(rng)
         if len(found) == len(y) and found:
             xs.append(html_extract.vectors_of(found))
             ys.append(y)
-    model = html_extract.Labeller().fit(xs[:200], ys[:200])
-    right = np.concatenate([(c >= 0.5) == (y > 0.5) for c, y in zip(model.chances(xs[200:]), ys[200:], strict=True)])
+    model = html_extract.Labeller().fit(xs[:400], ys[:400])
+    right = np.concatenate([(c >= 0.5) == (y > 0.5) for c, y in zip(model.chances(xs[400:]), ys[400:], strict=True)])
     assert right.mean() > 0.97
