@@ -64,7 +64,10 @@ def anchor_windows(objects: DataFrame, rules: list[dict], id_col: str = "object_
             for literal in {a, a.upper()}:
                 by_literal.setdefault(literal, []).append(r["rule_id"])
     anchors = tuple(sorted((k, tuple(v)) for k, v in by_literal.items()))
-    radius = {r["rule_id"]: r["radius"] for r in rules}
+    # Two-phase rules look at a seed window first and widen it only if a confirming literal is in it.
+    confirm = {r["rule_id"]: r["confirm_any"] for r in rules if r["confirm_any"]}
+    radius = {r["rule_id"]: r["seed_radius"] or r["radius"] if r["confirm_any"] else r["radius"] for r in rules}
+    wider = {r["rule_id"]: r["radius"] - radius[r["rule_id"]] for r in rules}
     row = pa.struct([("rule_id", pa.int32()), ("w_start", pa.int32()), ("w_end", pa.int32()), ("window", pa.string())])
     found_type = T.StructType([T.StructField("rule_id", T.IntegerType()), T.StructField("w_start", T.IntegerType()), T.StructField("w_end", T.IntegerType()), T.StructField("window", T.StringType())])
     schema = objects.select(F.col(id_col).alias("object_id")).schema.add("windows", T.ArrayType(found_type))
@@ -82,6 +85,10 @@ def anchor_windows(objects: DataFrame, rules: list[dict], id_col: str = "object_
                 found = []
                 for i, spans in hits.items():
                     for a, b in [(0, len(raw))] if whole_text else merged(spans):
+                        if i in confirm:
+                            if not any(c in raw[a:b] for c in confirm[i]):
+                                continue
+                            a, b = max(0, a - wider[i]), min(len(raw), b + wider[i])
                         found.append({"rule_id": i, "w_start": a, "w_end": b, "window": raw[a:b]})
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(row))], names=["object_id", "windows"])
@@ -118,7 +125,6 @@ def matches(windows: DataFrame, rules: DataFrame) -> DataFrame:
     window = F.col("window")
     gate = F.coalesce(F.contains(window, F.col("must_contain")), F.lit(True))
     gate = gate & (F.col("keywords_any").isNull() | B.contains_any(window, F.col("keywords_any")))
-    gate = gate & (F.col("confirm_any").isNull() | B.contains_any(window, F.col("confirm_any")))
     gate = gate & (~F.col("assignment_shape") | G.assignment_shape(window))
     gate = gate & (F.col("max_lower_pct").isNull() | G.char_class_passes(window, F.col("max_lower_pct"), F.col("min_window_len")))
     group = F.coalesce("secret_group", F.least(F.lit(1), F.col("n_groups")))
@@ -201,11 +207,19 @@ def decoded(level: DataFrame, key: str) -> DataFrame:
     """Decoded runs of a level's texts: key (object_id, root_start, root_end) and text."""
     from lodestone.functions import codecs as C
 
-    raw = level.where(F.col("text").rlike("%[0-9A-Fa-f]{2}") | F.col("text").rlike("[A-Za-z0-9+/_-]{32}")).select(key, B.latin1("text").alias("raw"))
+    wide = F.contains(F.col("text"), F.lit("\u0000"))
+    raw = level.where(F.col("text").rlike("%[0-9A-Fa-f]{2}") | F.col("text").rlike("[A-Za-z0-9+/_-]{32}") | wide).select(key, B.latin1("text").alias("raw"))
     url = raw.select(key, F.explode(C.url_spans("raw")).alias("s"), F.lit("url").alias("kind"))
     b64 = raw.select(key, F.explode(C.base64_spans("raw")).alias("s"), F.lit("base64").alias("kind"))
-    text = F.when(F.col("kind") == "url", C.url_decode("s.match")).otherwise(F.decode(C.base64_decode("s.match"), "ISO-8859-1"))
-    rows = url.unionAll(b64).withColumn("text", text).where(F.col("text").isNotNull())
+    # Bytes with NULs are read as UTF-16 too, of either order and from the first or second byte on.
+    whole = F.struct(F.col("raw").alias("match"), F.col("raw").alias("secret"), F.lit(0).alias("start"))
+    utf16 = raw.where(F.contains(F.col("raw"), F.lit("\u0000"))).select(key, whole.alias("s"), F.explode(F.array(*[F.lit(f"utf16{e}{n}") for e in ("le", "be") for n in (0, 1)])).alias("kind"))
+    content = F.encode("s.match", "ISO-8859-1")
+    text = F.when(F.col("kind") == "url", C.url_decode("s.match")).when(F.col("kind") == "base64", F.decode(C.base64_decode("s.match"), "ISO-8859-1"))
+    for e in ("le", "be"):
+        for n in (0, 1):
+            text = text.when(F.col("kind") == f"utf16{e}{n}", C.utf16_decode(content, e == "be", n))
+    rows = url.unionAll(b64).unionAll(utf16).withColumn("text", text).where(F.col("text").isNotNull())
     if key == "object_id":
         place = F.struct(F.col("object_id"), F.col("s.start").alias("root_start"), (F.col("s.start") + F.length("s.match")).alias("root_end"))
         return rows.select(place.alias("key"), "text")

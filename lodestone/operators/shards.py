@@ -56,6 +56,32 @@ def split_point(items: DataFrame, group: str, key: str, weight: str) -> DataFram
     return inner.groupBy(group).agg(F.min_by(key, F.struct(F.abs(F.col("_before") - F.col("_total") / 2), F.col(key))).alias("split_key"))
 
 
+def split_residual(shards: DataFrame, points: DataFrame) -> DataFrame:
+    """Each shard cut at its point (shard_id, point): the parent keeps what lies before, the residual takes the rest.
+
+    Points outside the range, or at its start, are refused.
+    """
+    rows = shards.join(points, "shard_id")
+    ok = (F.col("point") > F.col("start")) & ((F.col("end") == "") | (F.col("point") < F.col("end")))
+    kept = F.struct(F.col("shard_id"), F.lit("kept").alias("part"), F.col("start"), F.col("point").alias("end"))
+    rest = F.struct(F.col("shard_id"), F.lit("residual").alias("part"), F.col("point").alias("start"), F.col("end"))
+    return rows.where(ok).select(F.explode(F.array(kept, rest)).alias("s")).select("s.*")
+
+
+def plan_shards(items: DataFrame, key: str, weight: str, n: int) -> DataFrame:
+    """About n ranges of even weight that tile all keys, cut between two-character prefixes.
+
+    One sum per prefix; the running total is over those, not over the items.
+    """
+    sums = items.groupBy(F.substring(key, 1, 2).alias("p")).agg(F.sum(weight).alias("w"))
+    total = F.sum("w").over(Window.partitionBy(F.lit(1)))
+    before = F.sum("w").over(Window.partitionBy(F.lit(1)).orderBy("p")) - F.col("w")
+    cut = sums.withColumn("bucket", F.floor(before * n / total)).groupBy("bucket").agg(F.min("p").alias("start"), F.sum("w").alias("weight"))
+    order = Window.partitionBy(F.lit(1)).orderBy("start")
+    rows = cut.withColumns({"shard_id": F.row_number().over(order), "end": F.coalesce(F.lead("start").over(order), F.lit(""))})
+    return rows.select("shard_id", F.when(F.col("shard_id") == 1, "").otherwise(F.col("start")).alias("start"), "end", "weight")
+
+
 def run_progress(shards: DataFrame, now: int) -> DataFrame:
     """Counts by status, leased shards, watermark (least cursor of active shards) and the verdict of each run."""
     active = F.col("status") == ACTIVE

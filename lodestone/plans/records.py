@@ -220,6 +220,31 @@ def shard_route(spark, sf_dir):
 ROUTE_SQL = "SELECT c_custkey, n_nationkey AS shard_id FROM customer JOIN nation ON (n_nationkey = 0 OR md5(c_name) >= lower(lpad(to_hex(n_nationkey * 10), 2, '0'))) AND (n_nationkey = 24 OR md5(c_name) < lower(lpad(to_hex(n_nationkey * 10 + 10), 2, '0')))"
 
 
+def plan_shards(spark, sf_dir):
+    return S.plan_shards(table(spark, sf_dir, "orders").selectExpr("md5(cast(cast(o_orderkey AS string) AS binary)) AS key", "o_custkey AS w"), "key", "w", 16)
+
+
+PLAN_SQL = """
+WITH s AS (SELECT substring(md5(o_orderkey::VARCHAR), 1, 2) AS p, sum(o_custkey)::BIGINT AS w FROM orders GROUP BY 1),
+b AS (SELECT p, w, floor((sum(w) OVER (ORDER BY p) - w) * 16 / sum(w) OVER ()) AS b FROM s), c AS (SELECT b, min(p) AS s, sum(w)::BIGINT AS weight FROM b GROUP BY b),
+r AS (SELECT *, row_number() OVER (ORDER BY s) AS shard_id, coalesce(lead(s) OVER (ORDER BY s), '') AS e FROM c)
+SELECT shard_id, CASE WHEN shard_id = 1 THEN '' ELSE s END AS start, e AS "end", weight FROM r
+"""
+
+
+def split_residual(spark, sf_dir):
+    shards = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS shard_id", "lpad(cast(n_nationkey * 10 AS string), 3, '0') AS start", "CASE WHEN n_nationkey = 24 THEN '' ELSE lpad(cast(n_nationkey * 10 + 10 AS string), 3, '0') END AS end")
+    points = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("shard_id")).agg(F.lpad((F.max("c_nationkey") * 10 + F.count("*") % 15).cast("string"), 3, "0").alias("point"))
+    return S.split_residual(shards, points)
+
+
+RESIDUAL_SQL = """
+WITH p AS (SELECT c_nationkey AS k, lpad((c_nationkey * 10 + count(*) % 15)::VARCHAR, 3, '0') AS point FROM customer GROUP BY 1), s AS (SELECT n_nationkey AS k, lpad((n_nationkey * 10)::VARCHAR, 3, '0') AS s, CASE WHEN n_nationkey = 24 THEN '' ELSE lpad((n_nationkey * 10 + 10)::VARCHAR, 3, '0') END AS e FROM nation),
+j AS (SELECT s.k, s, e, point FROM s JOIN p ON s.k = p.k WHERE point > s AND (e = '' OR point < e))
+SELECT k AS shard_id, 'kept' AS part, s AS start, point AS "end" FROM j UNION ALL SELECT k, 'residual', point, e FROM j
+"""
+
+
 def split_point(spark, sf_dir):
     return S.split_point(table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "cast(o_totalprice AS bigint) AS w"), "o_custkey", "o_orderkey", "w")
 
@@ -305,6 +330,8 @@ QUERIES = {
     "ledger_history": (ledger_history, HISTORY_SQL),
     "shard_coverage": (shard_coverage, COVERAGE_SQL),
     "shard_route": (shard_route, ROUTE_SQL),
+    "plan_shards": (plan_shards, PLAN_SQL),
+    "split_residual": (split_residual, RESIDUAL_SQL),
     "split_point": (split_point, SPLIT_SQL),
     "run_progress": (run_progress, PROGRESS_SQL),
     "claim_order": (claim_order, CLAIM_SQL),

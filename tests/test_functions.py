@@ -147,3 +147,17 @@ def test_scan_finds_and_drops(spark):
     assert "é first line\ntoken".encode()[: r.root_start].decode().endswith("\n") and r.span_end - r.span_start == 40 and r.confidence == 5
     assert got[4, "github-token"].verdict == "valid" and got[8, "github-token"].verdict is None and got[8, "github-token"].depth == 1
     assert (got[8, "github-token"].root_start, got[8, "github-token"].root_end) == (5, 5 + len(wrapped))
+
+
+def test_two_phase_and_utf16(spark):
+    rule = """
+- name: two
+  regex: 'id=([0-9a-f]{8})'
+  anchors: [id=]
+  radius: 40
+  two_phase: {seed_radius: 12, full_radius: 40, confirm_any: [vendor]}
+"""
+    rules = R.parse(rule)
+    rows = [(1, "vendor id=0123abcd"), (2, "vendor" + "." * 20 + "id=0123abcd"), (3, "id=0123abcd vendor"), (4, "vendor id=89abcdef".encode("utf-16-le").decode("latin-1")), (5, "\u0000" + "vendor id=89abcdef".encode("utf-16-be").decode("latin-1"))]
+    got = {(r.object_id, r.depth, r.secret) for r in D.scan(spark.createDataFrame(rows, "object_id long, text string"), rules).collect()}
+    assert got == {(1, 0, "0123abcd"), (4, 1, "89abcdef"), (5, 1, "89abcdef")}
