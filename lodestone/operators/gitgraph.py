@@ -56,10 +56,12 @@ def introduced(edges: DataFrame, tips: DataFrame, marks: DataFrame) -> DataFrame
 
     A watermark that the tip does not reach does not count.
     """
-    new = reach(edges, tips)
-    valid = marks.join(new, ["root", "c"], "left_semi")
-    old = reach(edges, valid)
-    return new.join(old, ["root", "c"], "left_anti").groupBy("c").agg(F.min("root").alias("root"))
+    # Tips and marks are followed in one walk; marks outside their tip's history are dropped after it.
+    tagged = lambda rows, tag: rows.select(F.struct(F.lit(tag).alias("tag"), F.col("root")).alias("root"), "c")
+    found = reach(edges, tagged(tips, "new").unionAll(tagged(marks, "old"))).select("root.tag", "root.root", "c")
+    new, old = found.where(F.col("tag") == "new").drop("tag"), found.where(F.col("tag") == "old").drop("tag")
+    valid = marks.join(new, ["root", "c"], "left_semi").select("root").distinct()
+    return new.join(old.join(valid, "root", "left_semi"), ["root", "c"], "left_anti").groupBy("c").agg(F.min("root").alias("root"))
 
 
 def topological(commits: DataFrame) -> DataFrame:
