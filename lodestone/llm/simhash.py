@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions, small_batches, stored, table
-from lodestone.llm.graph import components
+from lodestone.llm.graph import components, forest
 
 BITS, BLOCK, SUB_BITS = 64, 4096, 11
 #: Costs of a probe row in the units of a candidate pair.
@@ -294,7 +294,7 @@ def links(nodes: DataFrame, max_bits: int, parts: int, max_total: int | None) ->
             yield edges_of(held)
 
     dealt = cold.unionAll(cut).repartition(partitions(spark), "bucket", "pair").sortWithinPartitions("bucket", "pair")
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    return forest(dealt.mapInArrow(verify, "a long, b long"))
 
 
 def clusters(docs: DataFrame, shingle: int = 5, max_bits: int = 9, parts: int | None = None, max_total: int | None = None) -> DataFrame:

@@ -167,6 +167,17 @@ def test_near_copies_go_and_others_stay(spark):
     assert ids == set(range(12))
 
 
+def test_forest_keeps_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(400)] + [(i, j) for i in range(300, 330) for j in range(300, 330)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for chunk in (50, 10_000):
+        less = graph.forest(frame, chunk)
+        same = lambda e: {(r.v, r.c) for r in graph.components(e).collect()}
+        assert same(less) == same(frame)
+    assert less.count() <= 229
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.v: r.c for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
