@@ -28,8 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from lodestone.llm.common import small_batches, table
 
@@ -270,9 +269,17 @@ def _passes(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_col: str = "piece_ids", model: str | None = None, alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """docs with the sampled piece ids of its texts as a further column, in place of one of that name; no shuffle."""
-    docs = docs.drop(out_col)
+#: What encode can add: the ids, their number, a digest of them (32-bit little-endian), and whether decoding them gives the text.
+ADDED = {"piece_ids": ArrayType(IntegerType()), "n_pieces": LongType(), "ids_sha256": StringType(), "lossless": BooleanType()}
+
+
+def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", add: tuple[str, ...] = ("piece_ids",), model: str | None = None, alpha: float = 1.0, seed: int = 1) -> DataFrame:
+    """docs with the sampled piece ids of its texts, or what ADDED names of them, as further columns; no shuffle.
+
+    Columns of these names are replaced.  lossless decodes the ids in the same
+    task, so that they need not leave it.
+    """
+    docs = docs.drop(*add)
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))
@@ -284,12 +291,20 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", out
             texts, keys = [t or "" for t in batch.column(at).to_pylist()], [str(k) for k in batch.column(key_at).to_pylist()]
             for part in _passes(texts):
                 ids = sampler.encode(texts[part], keys[part])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                columns = {}
+                if "piece_ids" in add:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    columns["piece_ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                if "n_pieces" in add:
+                    columns["n_pieces"] = pa.array([len(x) for x in ids], pa.int64())
+                if "ids_sha256" in add:
+                    columns["ids_sha256"] = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
+                if "lossless" in add:
+                    columns["lossless"] = pa.array([sampler.decode(x.tolist()) == t for x, t in zip(ids, texts[part], strict=True)], pa.bool_())
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*batch.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(columns[c] for c in add)], names=[*batch.schema.names, *add])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, ADDED[c]) for c in add)]))
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
@@ -308,7 +323,5 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded"
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces, a digest of the ids, and whether decoding gave the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = decode(encode(docs))
-    ids = F.array_join("piece_ids", ",")
-    return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, add=("n_pieces", "ids_sha256", "lossless")).drop("text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -81,6 +82,8 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert key(first) == key(again)
     assert key(sentence_pieces.encode(docs, seed=2)) != key(first)
     assert sentence_pieces.encode(docs.limit(0)).count() == 0
+    facts = sentence_pieces.encode(docs, add=("n_pieces", "piece_ids", "lossless", "ids_sha256")).collect()
+    assert all(r.lossless and r.n_pieces == len(r.piece_ids) and r.ids_sha256 == hashlib.sha256(np.array(r.piece_ids, dtype="<i4").tobytes()).hexdigest() for r in facts)
 
 
 def test_pieces_follow_the_lattice():
