@@ -23,7 +23,6 @@ copies, and have no pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, sentence_pieces, simhash, substring_dedup, toxicity
 from lodestone.llm.common import stored, table
@@ -46,10 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = sentence_pieces.decode(sentence_pieces.encode(docs))
-    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
-    kept = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "lossless", "decoded")]
-    return rows.select(*kept, "piece_ids", F.size("piece_ids").alias("n_pieces"), same.alias("lossless"))
+    return sentence_pieces.encode(docs, add=("piece_ids", "n_pieces", "lossless"))
 
 
 STAGES = [
