@@ -6,9 +6,8 @@ again as the next stage's docs.  All but the last return the columns of
 ``documents``:
 
 1. toxicity: rows that score as toxic go;
-2. near duplicates: of each group of near copies (five-word shingles, a
-   resemblance of 0.8 or more as SimHash estimates it) the row with the
-   smallest doc_id stays;
+2. near duplicates: of each group of near copies (five-word shingles, an
+   exact resemblance of 0.8 or more) the row with the smallest doc_id stays;
 3. substrings: words in windows of 50 words that a document with a smaller
    doc_id also has are cut out; rows left without a word go;
 4. mixing: all rows stay, dealt and sorted in the order in which sources

@@ -1,0 +1,256 @@
+"""Near copies by exact shingle resemblance: a set similarity join by prefix filtering.
+
+A text is the set of its shingles' hashes; two texts are near copies if at
+least SIMILAR of the union of their sets lies in both.  In any one order of
+all shingles, two such sets share a shingle among their first
+n - ceil(SIMILAR * n) + 1, and what lies before the first shared one bounds
+their overlap.  Both follow from the definition, so that no pair is missed;
+pairs that meet are verified by their whole sets, so that none is made up.
+
+Shingles that are frequent in a sample of texts come last in the order.  The
+sample decides what the search costs, never what it finds.
+
+Texts with equal sets are one vertex.  In each bucket all vertices are first
+compared with the smallest one; then only those that are not yet in one
+component are compared with each other.  Buckets of more than ``BLOCK``
+vertices are cut into pairs of blocks.
+
+Null, empty and blank texts have the empty set and are copies of each other.
+Rows with a null doc_id have no component.  Rows that repeat a doc_id are one
+document if their sets are equal, else each links by its own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import partitions, small_batches, stored
+from lodestone.llm.graph import components, forest
+from lodestone.llm.simhash import shingle_hashes
+
+#: A resemblance of 4/5 or more, in whole numbers.
+SIMILAR = (4, 5)
+BLOCK = 2048
+#: Texts whose shingles are counted to order them (at least so many, or this share), and how many frequent shingles are kept.
+SAMPLE_ROWS, SAMPLE_SHARE, FREQUENT = 20_000, 1 / 64, 200_000
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def set_id(x: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 7)).view(np.int64))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+
+
+def sizes(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, id, n: the set's digest and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())], names=["doc_id", "id", "n"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, id long, n int")
+
+
+def frequent(docs: DataFrame, shingle: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and in how many; FREQUENT of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE_ROWS / max(1, rows)))
+    some = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    keys = np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["n"] for r in found], dtype=np.int64)[order]
+
+
+def prefix(x: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order: rare ones first, then by hash."""
+    most = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1 if len(x) else 0
+    n = np.zeros(len(x), dtype=np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        n = np.where(keys[at] == x, counts[at], 0)
+    return x[np.lexsort((x, n))[:most]]
+
+
+def may_link(n1, at1, n2, at2):
+    """Whether sets of these sizes can be near copies if their first shared shingle stands at these places (from 0)."""
+    p, q = SIMILAR
+    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
+    return (q * small >= p * large) & ((p + q) * np.minimum(n1 - at1, n2 - at2) >= p * (n1 + n2))
+
+
+def near(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows with equal first n_keys columns that has two rows or more; rows are sorted by them."""
+    held: list[np.ndarray] | None = None
+
+    def cut(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        new = np.zeros(len(cols[0]), dtype=bool)
+        for c in cols[:n_keys]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.r_[0, np.nonzero(new)[0]]
+        ends = np.r_[starts[1:], len(cols[0])]
+        for s, e in zip(*(v[ends - starts > 1].tolist() for v in (starts, ends)), strict=True):
+            yield [c[s:e] for c in cols]
+
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        # The last key may go on in the next batch.
+        other = np.zeros(len(cols[0]), dtype=bool)
+        for c in cols[:n_keys]:
+            other |= c != c[-1]
+        at = np.nonzero(other)[0]
+        end = int(at[-1]) + 1 if len(at) else 0
+        held = [c[end:].copy() for c in cols]
+        if end:
+            yield from cut([c[:end] for c in cols])
+    if held is not None and len(held[0]):
+        yield from cut(held)
+
+
+def shared(docs: DataFrame, shingle: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """bucket, id, n, at: the prefix shingles that two sets or more have."""
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast((keys, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = order.value
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            heads = [prefix(x, keys, counts) for x in sets]
+            n = np.array([len(h) for h in heads], dtype=np.int64)
+            if not n.sum():
+                continue
+            rep = lambda v, t: pa.array(np.repeat(np.array(v, dtype=t), n))  # noqa: B023, E731
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in n.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), rep([set_id(x) for x in sets], np.int64), rep([len(x) for x in sets], np.int32), pa.array(at)], names=["bucket", "id", "n", "at"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+        rows = 0
+        for bucket, ids, n, at in _groups(batches, 1):
+            keep = np.r_[True, ids[1:] != ids[:-1]]  # equal texts once
+            bucket, ids, n, at = bucket[keep], ids[keep], n[keep], at[keep]
+            if 1 < len(ids) <= BLOCK:  # only those that another one may be near to
+                ok = may_link(n[:, None], at[:, None], n[None, :], at[None, :])
+                np.fill_diagonal(ok, False)
+                keep = ok.any(axis=1)
+                bucket, ids, n, at = bucket[keep], ids[keep], n[keep], at[keep]
+            if len(ids) > 1:
+                out.append([bucket, ids, n, at])
+                rows += len(out[-1][0])
+            if rows > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["bucket", "id", "n", "at"])
+                out, rows = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["bucket", "id", "n", "at"])
+
+    schema = "bucket long, id long, n int, at int"
+    rows = _texts(docs).mapInArrow(run, schema)
+    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "id").mapInArrow(several, schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose sets are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = lambda c: [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in c]
+            ok = [near(x, y) for x, y in zip(read(batch.column(2)), read(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_struct_array(batch.to_struct_array().filter(pa.array(ok, pa.bool_()))).select(["a", "b"])
+
+    sides = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
+    return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def cross_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket, may be near and are in different components."""
+    spark = buckets.sparkSession
+    rows = buckets.join(labels, F.col("id") == F.col("v"), "left").select("bucket", "id", "n", "at", F.coalesce("c", "id").alias("c"))
+    open_ = stored(rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("m")), "open")
+    mine = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.least(o, mine) * 65536 + F.greatest(o, mine)))
+    dealt = rows.join(open_, "bucket").select("bucket", pair.alias("pair"), "id", "n", "at", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, ids, n, at, c in _groups(batches, 2):
+            for s in range(0, len(ids), 512):
+                part = slice(s, s + 512)
+                ok = may_link(n[part, None], at[part, None], n[None, :], at[None, :]) & (c[part, None] != c[None, :]) & (ids[part, None] < ids[None, :])
+                i, j = np.nonzero(ok)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][i]), pa.array(ids[j])], names=["a", "b"])
+
+    return dealt.repartition(partitions(spark), "bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, shingle: int, nodes: DataFrame, rows: int) -> DataFrame:
+    """Edges (a, b) between the ids of nodes (id, least) that connect whatever is near."""
+    buckets = stored(shared(docs, shingle, *frequent(docs, shingle, rows)), "buckets")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+    # Sets are larger than texts: only texts that met another one are turned into sets again.
+    met = stored(buckets.select("id").distinct().join(nodes, "id").select(F.col("least").alias("doc_id")).distinct(), "met")
+    sets = stored(_texts(docs).join(met, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(read, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    first = buckets.groupBy("bucket").agg(F.min(F.struct("n", "id", "at")).alias("first"))
+    p, q = SIMILAR
+    sized = (q * F.col("first.n") >= p * F.col("n")) & ((p + q) * F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at")) >= p * (F.col("n") + F.col("first.n")))
+    stars = buckets.join(first, "bucket").where((F.col("id") != F.col("first.id")) & sized).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+    edges = stored(verified(stars, sets), "stars")
+    rest = verified(cross_pairs(buckets, components(edges)), sets)
+    return forest(edges.unionAll(rest))
+
+
+def clusters(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id of every row with a doc_id: component_id is the least doc_id reachable by near copies."""
+    rows = stored(sizes(docs, shingle), "shingled")
+    nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least")), "nodes")
+    found = links(docs, shingle, nodes, rows.count())
+    # From sets to least doc_ids: a vertex is a document from here on, so that repeated ids join their links.
+    edges = found.join(nodes.withColumnsRenamed({"id": "a", "least": "x"}), "a").join(nodes.withColumnsRenamed({"id": "b", "least": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = components(edges)
+    return rows.join(nodes, "id").join(labels, F.col("least") == F.col("v"), "left").select("doc_id", F.coalesce("c", "least").alias("component_id"))
+
+
+def dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs without rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
+    rows = stored(clusters(docs, shingle), "clusters")
+    lost = rows.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")).distinct()
+    out = docs.join(lost, docs["doc_id"].cast("long") == lost["_lost"], "left_anti")
+    repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return out
+    named = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return named.unionAll(out.where(F.col("doc_id").isNull()))

@@ -315,20 +315,11 @@ def clusters(docs: DataFrame, shingle: int = 5, max_bits: int = 9, parts: int |
     return out
 
 
-#: cos(pi * d / 64) is the cosine of two texts' shingle counts; a resemblance of 0.8 is a cosine of 0.889 or 9.7 bits of 64, 19.4 of 128.
-SIMILAR_BITS, SIMILAR_TOTAL = 9, 19
-
-
-def dedup(docs: DataFrame, shingle: int = 5, max_bits: int = SIMILAR_BITS, max_total: int | None = SIMILAR_TOTAL) -> DataFrame:
-    """docs without rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
-    rows = stored(clusters(docs, shingle, max_bits, max_total=max_total), "clusters")
-    lost = rows.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")).distinct()
-    out = docs.join(lost, docs["doc_id"].cast("long") == lost["_lost"], "left_anti")
-    repeated = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return out
-    named = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionAll(out.where(F.col("doc_id").isNull()))
+def dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs without near copies of rows with a smaller doc_id: exact resemblance, not its estimate by fingerprints."""
+    from lodestone.llm import resemblance
+
+    return resemblance.dedup(docs, shingle)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lodestone.llm import graph, simhash, substring_dedup
+from lodestone.llm import graph, resemblance, simhash, substring_dedup
 from tests.llm.helpers import awkward_docs, clashing, words
 
 
@@ -167,6 +167,32 @@ def test_near_copies_go_and_others_stay(spark):
     assert ids == set(range(12))
 
 
+def test_near_copies_by_exact_resemblance(spark, monkeypatch):
+    """All pairs at 0.8 or more go, none below: edits that leave 0.7 to 0.9, a chain of copies and a bucket cut into blocks."""
+    monkeypatch.setattr(resemblance, "BLOCK", 8)
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        base = words(i, 60 + 5 * i).split()
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 5):
+            near = list(base)
+            for at in rng.sample(range(len(near)), max(1, len(near) * rng.randrange(1, 7) // 200)):
+                near[at] = f"edit{k}"
+            rows.append((10 * i + k, " ".join(near)))
+    line = words(990, 40)
+    rows += [(2000 + i, line + " " + words(3000 + i, rng.randrange(1, 30))) for i in range(80)]
+    sets = [{tuple(w[s : s + 5]) for s in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    ids = [i for i, _ in rows]
+    label = {i: i for i in ids}
+    while any(label[a] != label[b] for a, b in near):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], awkward_docs(spark).schema)
+    assert {r.doc_id: r.component_id for r in resemblance.clusters(docs).collect()} == label
+    assert {r.doc_id for r in simhash.dedup(docs).collect()} == {i for i in ids if label[i] == i}
+
+
 def test_forest_keeps_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(400)] + [(i, j) for i in range(300, 330) for j in range(300, 330)]
