@@ -204,13 +204,16 @@ def scan(objects: DataFrame, rules: list[dict] | None = None, id_col: str = "obj
 
 
 def decoded(level: DataFrame, key: str) -> DataFrame:
-    """Decoded runs of a level's texts: key (object_id, root_start, root_end) and text."""
+    """All decoded runs of a level's texts: key (object_id, root_start, root_end) and text.
+
+    A text is a whole object here, not a buffer of fixed size: no run is left out.
+    """
     from lodestone.functions import codecs as C
 
     wide = F.contains(F.col("text"), F.lit("\u0000"))
     raw = level.where(F.col("text").rlike("%[0-9A-Fa-f]{2}") | F.col("text").rlike("[A-Za-z0-9+/_-]{32}") | wide).select(key, B.latin1("text").alias("raw"))
-    url = raw.select(key, F.explode(C.url_spans("raw")).alias("s"), F.lit("url").alias("kind"))
-    b64 = raw.select(key, F.explode(C.base64_spans("raw")).alias("s"), F.lit("base64").alias("kind"))
+    url = raw.select(key, F.explode(C.url_spans("raw", most=None)).alias("s"), F.lit("url").alias("kind"))
+    b64 = raw.select(key, F.explode(C.base64_spans("raw", most=None)).alias("s"), F.lit("base64").alias("kind"))
     # Bytes with NULs are read as UTF-16 too, of either order and from the first or second byte on.
     whole = F.struct(F.col("raw").alias("match"), F.col("raw").alias("secret"), F.lit(0).alias("start"))
     utf16 = raw.where(F.contains(F.col("raw"), F.lit("\u0000"))).select(key, whole.alias("s"), F.explode(F.array(*[F.lit(f"utf16{e}{n}") for e in ("le", "be") for n in (0, 1)])).alias("kind"))

@@ -47,12 +47,12 @@ SELECT source, lang, count(*) AS n_secrets, count(DISTINCT doc_id) AS n_docs, ro
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All built-in rules over all documents, decoded runs too."""
     docs = table(spark, sf_dir, "documents")
-    return D.scan(docs, id_col="doc_id").select(F.col("object_id").alias("doc_id"), "name", "root_start", "root_end", "span_start", "span_end", "secret_hash", "confidence", "depth")
+    return D.scan(docs, id_col="doc_id", depth=3).select(F.col("object_id").alias("doc_id"), "name", "root_start", "root_end", "span_start", "span_end", "secret_hash", "confidence", "depth")
 
 
 def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
-    return D.scan(turns, id_col="id", depth=0).select("object_id.*", "name", "root_start", "root_end", "confidence")
+    return D.scan(turns, id_col="id", depth=3).select("object_id.*", "name", "root_start", "root_end", "confidence")
 
 
 def _values(spark, sf_dir):

@@ -161,3 +161,21 @@ def test_two_phase_and_utf16(spark):
     rows = [(1, "vendor id=0123abcd"), (2, "vendor" + "." * 20 + "id=0123abcd"), (3, "id=0123abcd vendor"), (4, "vendor id=89abcdef".encode("utf-16-le").decode("latin-1")), (5, "\u0000" + "vendor id=89abcdef".encode("utf-16-be").decode("latin-1"))]
     got = {(r.object_id, r.depth, r.secret) for r in D.scan(spark.createDataFrame(rows, "object_id long, text string"), rules).collect()}
     assert got == {(1, 0, "0123abcd"), (4, 1, "89abcdef"), (5, 1, "89abcdef")}
+
+
+def test_registered_scans_decode_three_levels_and_all_runs(spark, tmp_path):
+    import base64
+
+    from lodestone.plans import detection
+
+    payload = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+    good = "ghp_" + payload + base62(zlib.crc32(payload.encode()))
+    wrap = lambda s: base64.b64encode(s.encode()).decode()
+    thrice = f"data {wrap('first ' + wrap('second ' + wrap(f'third {good} and more') + ' x') + ' y')} end"
+    ninth = " | ".join([wrap(f"nothing to see in run number {i}, go on") for i in range(8)] + [wrap(f"see {good} there, and some more")])
+    rows = [(1, thrice), (2, ninth), (3, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, t) for i, t in rows], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.doc_id, r.name, r.depth) for r in detection.scan_documents(spark, str(tmp_path)).collect()}
+    assert got == {(1, "github-token", 3), (2, "github-token", 1)}
+    assert {(r.conv_id, r.name) for r in detection.scan_conversations(spark, str(tmp_path)).collect()} == {(1, "github-token"), (2, "github-token")}
