@@ -4,9 +4,11 @@ Unit vectors are turned by fast pseudo-rotations (three rounds of random signs
 and a Hadamard transform); the nearest signed axis is the bucket.  Each of
 ``tables`` independent rotations indexes every row; a query probes the
 ``probes`` nearest signed axes of each table and reranks all rows found there
-by their exact inner product on the original vectors.  Vectors of unequal
-length get one further coordinate (the largest norm minus their own, in
-squares), so that the largest inner product is the smallest angle.
+by their exact inner product on the original vectors.  Vectors are hashed by
+their direction alone, so that one long vector does not move the others; where
+lengths differ, long vectors count at wider angles and half as many axes again
+are probed.  Queries that meet fewer than k rows are answered by an exact
+search over all rows.
 
 Buckets and query lists are split into blocks of bounded size from counts of
 at most tables x 2 x dimensions numbers; nothing is capped or sampled.
@@ -100,32 +102,32 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     rows = usable(vectors, id_col, vec_col)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = stored(rows.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf"))), "vectors")
-    size = rows.agg(F.max(F.size("v")).alias("dims"), F.max("norm").alias("norm"), F.min("norm").alias("least")).first()
+    size = rows.agg(F.max(F.size("v")).alias("dims"), F.max("norm").alias("norm"), F.min("norm").alias("least"), F.count("*").alias("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if size["dims"] is None:
         return spark.createDataFrame([], schema)
     dims, most = size["dims"], size["norm"]
     uneven = size["least"] < most * (1 - 1e-6)
-    turns = Rotations(dims + uneven, tables, seed)
-    probes = min(probes, 2 * turns.dims)
+    turns = Rotations(dims, tables, seed)
+    probes = min(probes + (probes + 1) // 2 * uneven, 2 * turns.dims)
 
-    def hashed(n: int, is_query: bool):
+    def hashed(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.zeros((batch.num_rows, turns.dims))
                 x[:, :dims] = matrix(batch.column(1), dims)
-                if uneven and not is_query:
-                    x[:, dims] = np.sqrt(np.maximum(0.0, most * most - (x * x).sum(axis=1)))
                 x /= np.linalg.norm(x, axis=1, keepdims=True) if batch.num_rows else 1
                 found = turns.buckets(x, n).reshape(batch.num_rows, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["vec_id", "v", "buckets"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["vec_id", "v", "buckets"])
 
         return run
 
     plain = rows.select("vec_id", "v")
-    entry = plain.mapInArrow(hashed(1, False), "vec_id long, v array<double>, buckets array<int>").select("vec_id", "v", F.explode("buckets").alias("bucket"))
-    probe = plain.where(queries).mapInArrow(hashed(probes, True), "vec_id long, v array<double>, buckets array<int>").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("buckets").alias("bucket"))
+    asked = plain.where(queries)
+    hashes = "vec_id long, v array<double>, buckets array<int>"
+    entry = plain.mapInArrow(hashed(1), hashes).select("vec_id", "v", F.explode("buckets").alias("bucket"))
+    probe = asked.mapInArrow(hashed(probes), hashes).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("buckets").alias("bucket"))
     entry, probe = stored(entry, "entries"), stored(probe, "probes")
 
     # At most tables x 2 x dims rows on either side: the size of a broadcast is known.
@@ -153,10 +155,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 out.append((name, ids[keep].tobytes(), scores.tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[], [], []], packed, strict=True)], schema=packed)
 
-    lists = entry.groupBy("bucket", "i", "j").cogroup(probe.groupBy("bucket", "i", "j")).applyInArrow(rerank, "query_id long, ids binary, scores binary")
-    # One short list per probe and block; k entries each.
-    gathered = lists.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("found"))
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -167,7 +165,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 n = len(order)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array(ids[order]), pa.array(scores[first][order])], names=["query_id", "rank", "vec_id", "score"])
 
-    return gathered.mapInArrow(merge, schema)
+    def ranked(entry: DataFrame, probe: DataFrame) -> DataFrame:
+        keys = ["bucket", "i", "j"]
+        lists = entry.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInArrow(rerank, "query_id long, ids binary, scores binary")
+        # One short list per probe and block; k entries each.
+        gathered = lists.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("found"))
+        return gathered.mapInArrow(merge, schema)
+
+    found = stored(ranked(entry, probe), "found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, size["n"] - 1)).select("query_id")
+    short = stored(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(full, "query_id", "left_anti"), "short")
+    few = short.count() if size["n"] > 1 else 0
+    if not few:
+        return found
+    n, m = -(-size["n"] // BLOCK_ROWS), -(-few // BLOCK_QUERIES)
+    number = lambda x: F.sequence(F.lit(0), F.lit(x - 1))
+    every = rows.select(F.lit(0).alias("bucket"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("i"), F.explode(number(m)).alias("j"), "vec_id", "v")
+    again = short.select(F.lit(0).alias("bucket"), F.explode(number(n)).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("j"), "query_id", "q")
+    return found.join(short, "query_id", "left_anti").unionAll(ranked(every, again))
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

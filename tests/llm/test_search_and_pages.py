@@ -86,6 +86,26 @@ def test_ann_uneven_norms_and_empty(spark):
     assert ann.search(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_heavy_tailed_norms_and_small_tables(spark):
+    """One vector of 100 times the norm, norms over many powers of two, fewer rows than k."""
+    rng = np.random.default_rng(6)
+    norms = np.exp(rng.standard_normal(600))
+    norms[5] = 100 * norms.max()
+    x = rng.standard_normal((600, 64))
+    x *= (norms / np.linalg.norm(x, axis=1))[:, None]
+    vectors = spark.createDataFrame([(i, [float(c) for c in r], 1) for i, r in enumerate(x.astype(np.float32))], VECTORS)
+    v = dense(vectors.collect(), 64)
+    got = defaultdict(list)
+    for r in ann.search(vectors, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == 30 and all(len(set(f)) == 20 for f in got.values())
+    hits = sum(len(set(got[q]) & set(sorted((k for k in v if k != q), key=lambda k: -(v[q] @ v[k]))[:20])) for q in got)
+    assert hits / 600 >= 0.9
+    few = ann.search(vectors.where("vec_id < 15"), F.col("vec_id") % 5 == 0)
+    assert {(r.query_id, r.rank) for r in few.collect()} == {(q, i) for q in (0, 5, 10) for i in range(1, 15)}
+    assert ann.search(vectors.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+
+
 def test_warc_round_trip(spark):
     same, big = "s" * 1000, "é" * 700_000
     rows = [(1, "http://a/x y\n", same), (5, None, same), (3, "u", same), (2, "u", "short"), (9, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (None, "u", same), (5, "v", same)]
