@@ -9,15 +9,14 @@ from lodestone.functions.bytespace import col, spans
 
 URL_RUN = r"[A-Za-z0-9%+\-._~:/?#\[\]@!$&'()*,;=]{16,65536}"
 BASE64_RUN = r"[A-Za-z0-9+/_-][A-Za-z0-9+/_\-\r\n\t]{30,}={0,2}"
-MAX_SPANS = 8
 
 
 def _first(found: Column, most: int | None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
-def url_spans(text: Column | str, plus_too: bool = False, most: int | None = MAX_SPANS) -> Column:
-    """The first runs (all if most is None) of URL characters that hold a % (or +): (match, secret, start)."""
+def url_spans(text: Column | str, plus_too: bool = False, most: int | None = None) -> Column:
+    """All runs (the first ones if most is given) of URL characters that hold a % (or +): (match, secret, start)."""
     found = spans(text, URL_RUN)
     return _first(F.filter(found, lambda s: s["match"].rlike("[%+]" if plus_too else "%")), most)
 
@@ -29,8 +28,8 @@ def url_decode(raw: Column | str) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
-def base64_spans(text: Column | str, least: int = 32, most: int | None = MAX_SPANS) -> Column:
-    """The first runs (all if most is None) of base64 characters of a length: (match, secret, start)."""
+def base64_spans(text: Column | str, least: int = 32, most: int | None = None) -> Column:
+    """All runs (the first ones if most is given) of base64 characters of a length: (match, secret, start)."""
     return _first(F.filter(spans(text, BASE64_RUN), lambda s: F.length(F.regexp_replace(s["match"], r"[\s=]", "")) >= least), most)
 
 

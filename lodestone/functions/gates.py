@@ -116,26 +116,26 @@ def keyword_near(text: Column, start: Column, length: Column, keywords: list[str
     return contains_any(F.substring(text, left + 1, start + length + radius - left), keywords)
 
 
-def line_bounds(text: Column, start: Column, lookbehind: int, lookahead: int) -> tuple[Column, Column]:
+def line_bounds(text: Column, start: Column, lookbehind: Column | int, lookahead: Column | int) -> tuple[Column, Column]:
     """Part of the secret's line before it, and whether both line ends were in reach."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     left = F.greatest(start - lookbehind, F.lit(0))
     before = F.substring(text, left + 1, start - left)
-    after = F.substring(text, start + 1, F.lit(lookahead))
+    after = F.substring(text, start + 1, lit(lookahead))
     known = F.contains(before, F.lit("\n")) & F.contains(after, F.lit("\n"))
     return F.substring_index(before, "\n", -1), known
 
 
-def local_context_passes(text: Column, start: Column, length: Column, lookbehind: int = 256, lookahead: int = 128, same_line_assignment: bool = True, quoted: bool = False, key_names: list[str] | None = None) -> Column:
+def local_context_passes(text: Column, start: Column, length: Column, lookbehind: Column | int = 256, lookahead: Column | int = 128, same_line_assignment: Column | bool = True, quoted: Column | bool = False, key_names: Column | list[str] | None = None) -> Column:
     """Quoting, an assignment before the secret on its line, a key name there; unknown bounds pass."""
-    ok = F.lit(True)
-    if quoted:
-        l, r = F.substring(text, start, F.lit(1)), F.substring(text, start + length + 1, F.lit(1))
-        ok = ok & ((start == 0) | (r == "") | (l.isin("'", '"', "`") & (l == r)))
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    l, r = F.substring(text, start, F.lit(1)), F.substring(text, start + length + 1, F.lit(1))
+    ok = ~lit(quoted) | (start == 0) | (r == "") | (l.isin("'", '"', "`") & (l == r))
     line, known = line_bounds(text, start, lookbehind, lookahead)
-    on_line = F.lit(True)
-    if same_line_assignment:
-        on_line = on_line & line.rlike("[=:>]")
-    if key_names:
+    on_line = ~lit(same_line_assignment) | line.rlike("[=:>]")
+    if isinstance(key_names, Column):
+        on_line = on_line & (key_names.isNull() | contains_any(line, key_names))
+    elif key_names:
         on_line = on_line & contains_any(line, key_names)
     return ok & (~known | on_line)
 

@@ -20,13 +20,23 @@ from lodestone.functions.bytespace import col
 CHECK_BYTES = 8192
 # Budgets of archive expansion.
 BUDGET = {"depth": 3, "entries": 4096, "entry_bytes": 64 << 20, "archive_bytes": 256 << 20, "ratio": 128, "path_bytes": 1024}
-# Names of directories and files by kind.
+# Names of directories and files by kind, and extensions of sources.
 TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs", "fixture", "fixtures", "__fixtures__")
-VENDOR_DIRS = ("vendor", "third_party", "third-party", "node_modules", "bower_components")
-GENERATED_DIRS = ("generated", "gen", "build", "dist", "target", "out")
-LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "poetry.lock", "gemfile.lock", "composer.lock", "go.sum", "pipfile.lock")
-SOURCE_EXT = ("c", "cc", "cpp", "cs", "go", "h", "java", "js", "kt", "php", "pl", "py", "rb", "rs", "scala", "sh", "sql", "swift", "ts", "yaml", "yml", "json", "toml", "xml", "ini", "cfg", "env", "md", "txt")
-BINARY_EXT = ("png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ttf", "otf", "woff", "woff2", "eot", "pdf", "psd", "exe", "dll", "so", "dylib", "a", "o", "obj", "class", "pyc", "wasm", "bin", "iso", "dmg")
+VENDOR_DIRS = ("vendor", "third_party", "third-party", "thirdparty", "deps", "external", "extern", "node_modules")
+GENERATED_DIRS = ("generated", "gen", "autogen", "auto", "build", "dist", "out", "target", "bazel-bin", "bazel-out", "buck-out")
+LOCK_FILES = (
+    "berksfile.lock", "bun.lockb", "cargo.lock", "cartfile.resolved", "deno.lock", "flake.lock", "gemfile.lock", "go.sum", "gradle.lockfile", "mix.lock",
+    "package.resolved", "pdm.lock", "pnpm-lock.yaml", "podfile.lock", "poetry.lock", "pubspec.lock", "uv.lock",
+)
+SOURCE_EXT = (
+    "bash", "c", "cc", "cfg", "clj", "conf", "cpp", "cs", "css", "dart", "fs", "go", "gradle", "groovy", "h", "hpp", "htm", "html", "ini", "java", "js", "json", "jsx", "kt",
+    "less", "lua", "m", "md", "mm", "php", "proto", "ps1", "py", "rb", "rs", "scala", "scss", "sh", "sql", "swift", "toml", "ts", "tsx", "txt", "xml", "yaml", "yml", "zsh",
+)
+#: This library's own policy: extensions whose files are not scanned as text.  A parameter of path_class and scannable.
+BINARY_EXT = (
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ttf", "otf", "woff", "woff2", "eot", "pdf", "psd",
+    "exe", "dll", "so", "dylib", "a", "o", "obj", "class", "pyc", "wasm", "bin", "iso", "dmg",
+)
 PATH_BITS = {"source": 1, "test": 2, "vendor": 4, "generated": 8, "binary": 16, "unknown": 32, "lock_file": 64}
 
 
@@ -72,21 +82,22 @@ def archive_kind(path: Column | str, magic: Column | None = None) -> Column:
     return out
 
 
-def path_class(path: Column | str) -> Column:
-    """Bit set of PATH_BITS."""
-    dirs = F.slice(F.split(F.lower(col(path)), r"[/\\]"), 1, F.greatest(F.size(F.split(col(path), r"[/\\]")) - 1, F.lit(0)))
-    has = lambda names: F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names]))
-    ext, name = extension(path), basename(path)
+def path_class(path: Column | str, binary_ext: tuple[str, ...] = BINARY_EXT) -> Column:
+    """Bit set of PATH_BITS: segments between slashes in any case; lock files are no sources; unknown is no other bit."""
+    parts = F.split(F.lower(col(path)), "/")
+    has = lambda names: F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
+    name = F.element_at(parts, -1)
+    ext, lock = F.regexp_extract(name, r"^.+\.([^.]+)\z", 1), name.isin(*LOCK_FILES)
     bit = lambda cond, key: F.when(cond, PATH_BITS[key]).otherwise(0)
-    known = ext.isin(*SOURCE_EXT) | ext.isin(*BINARY_EXT) | name.isin(*LOCK_FILES)
-    return (
-        bit(ext.isin(*SOURCE_EXT), "source") + bit(has(TEST_DIRS), "test") + bit(has(VENDOR_DIRS), "vendor") + bit(has(GENERATED_DIRS), "generated")
-        + bit(ext.isin(*BINARY_EXT), "binary") + bit(~known, "unknown") + bit(name.isin(*LOCK_FILES), "lock_file")
+    known = (
+        bit(ext.isin(*SOURCE_EXT) & ~lock, "source") + bit(has(TEST_DIRS), "test") + bit(has(VENDOR_DIRS), "vendor") + bit(has(GENERATED_DIRS), "generated")
+        + bit(ext.isin(*binary_ext), "binary") + bit(lock, "lock_file")
     )
+    return F.when(known == 0, PATH_BITS["unknown"]).otherwise(known)
 
 
-def scannable(path: Column | str) -> Column:
-    return path_class(path).bitwiseAND(PATH_BITS["binary"] | PATH_BITS["lock_file"]) == 0
+def scannable(path: Column | str, binary_ext: tuple[str, ...] = BINARY_EXT) -> Column:
+    return path_class(path, binary_ext).bitwiseAND(PATH_BITS["binary"] | PATH_BITS["lock_file"]) == 0
 
 
 def virtual_path(parent: Column, entry: Column, most: int = BUDGET["path_bytes"]) -> Column:

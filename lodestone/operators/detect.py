@@ -1,16 +1,21 @@
 """Detection: anchors -> windows -> matches -> gates -> score -> dedup.
 
-All steps up to the dedup are narrow; the rule table rides along as a
-broadcast, its size is that of a rule file.  Anchors are found by one
-Aho-Corasick pass over each text in Arrow batches; windows, matches and gates
-are built-in functions on the few windows that are left.
+One narrow pass over the texts in Arrow batches finds anchors (Aho-Corasick),
+merges their windows, decodes encoded runs level by level, and matches each
+rule's pattern in the windows that pass the window's gates.  It sends on only
+what the gates of a match look at.  Those gates, the score and the dedups are
+built-in functions; the only shuffles are the dedups.  The rule table rides
+along as a broadcast, its size is that of a rule file.
 """
 
 from __future__ import annotations
 
+import binascii
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,92 +23,217 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import bytespace as B
+from lodestone.functions import codecs as C
 from lodestone.functions import gates as G
 from lodestone.functions import validators as V
-from lodestone.sources.rules import load, rules_df
+from lodestone.sources.rules import load, python_regex, rules_df
 
-MERGE_GAP, MAX_WINDOWS, PRESSURE_GAP, MAX_HITS = 64, 16, 128, 2048
+MERGE_GAP = 64
+#: Bytes before the first anchor of a window at which the pattern's search begins.
 BACK_SCAN = 64
+#: Bytes on either side of a match that its gates may look at, at least.
+CONTEXT = 64
 FINDINGS_CAP = 8192
+TRANSFORMS = ("url", "base64", "utf16")
+MODES = ("always", "if_no_findings", "disabled")
 
 
-def merged(hits: list[tuple[int, int]], gap: int = MERGE_GAP, most: int = MAX_WINDOWS) -> list[tuple[int, int]]:
-    """Sorted windows, joined where the gap is small; the gap doubles while there are too many."""
-    if len(hits) > MAX_HITS:
-        return [(min(a for a, _ in hits), max(b for _, b in hits))]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(hits):
-        if out and a <= out[-1][1] + gap:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+def merged(hits: list[tuple], gap: int = MERGE_GAP, most: int | None = None) -> list[tuple]:
+    """Sorted windows (start, end, ...), joined where the gap is small; the rest of a tuple is that of its first window.
+
+    With ``most`` the gap doubles (from 128) while there are more: wider
+    windows, which see more gates.  There is no such limit by default, so that
+    a finding does not depend on what else is in its text.
+    """
+    out: list[tuple] = []
+    for hit in sorted(hits):
+        if out and hit[0] <= out[-1][1] + gap:
+            out[-1] = (out[-1][0], max(hit[1], out[-1][1]), *out[-1][2:])
         else:
-            out.append((a, b))
-    if len(out) > most:
-        return merged(out, max(PRESSURE_GAP, gap * 2), most)
-    return out
+            out.append(hit)
+    return merged(out, max(2 * MERGE_GAP, gap * 2), most) if most and len(out) > most else out
 
 
-@lru_cache(maxsize=4)
-def _automaton(anchors: tuple[tuple[str, tuple[int, ...]], ...]):
-    import ahocorasick
+def window_islands(hits: DataFrame, keys: list[str], start: str = "w_start", end: str = "w_end", gap: int = MERGE_GAP) -> DataFrame:
+    """Merge intervals per key where the gap is at most ``gap``: running maximum, island number, group."""
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(reach.isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = hits.withColumn("_reach", reach).withColumn("_island", island)
+    return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_hits")).drop("_island")
 
-    found = ahocorasick.Automaton()
-    for literal, rules in anchors:
-        found.add_word(literal, (len(literal), rules))
-    found.make_automaton()
-    return found
 
+# -- the pass over texts ---------------------------------------------------------------------------
 
-def anchor_windows(objects: DataFrame, rules: list[dict], id_col: str = "object_id", text_col: str = "text", whole_text: bool = False) -> DataFrame:
-    """(object_id, rule_id, w_start, w_end, window): windows around the rules' anchors, merged per object and rule.
+_URL, _BASE64 = re.compile(C.URL_RUN.encode()), re.compile(C.BASE64_RUN.encode())
+_SHAPE = re.compile(rb"""[^=:>]*[=:>][ \t"'`=>]*[A-Za-z0-9_.-]{10,}""")
+_LOWER = bytes(range(97, 123))
+#: Everything that cannot stand in a base64 run becomes a space.
+_RUNS = bytes(c if chr(c).isalnum() and c < 128 or c in b"+/_-\r\n\t" else 32 for c in range(256))
 
-    Offsets are bytes.  whole_text takes the text as one window instead.
-    """
-    by_literal: dict[str, list[int]] = {}
-    for r in rules:
+
+@lru_cache(maxsize=4)
+def _compiled(text: str) -> tuple:
+    """Automata of exact and of case-folded anchors, and each rule with its compiled pattern."""
+    import ahocorasick
+    import regex
+
+    exact, folded, rules = ahocorasick.Automaton(), ahocorasick.Automaton(), {}
+    ids: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+    for r in json.loads(text):
+        rules[r["rule_id"]] = {**r, "rx": regex.compile(python_regex(r["pattern"]).encode("latin-1"), regex.V1)}
         for a in r["anchors"]:
-            for literal in {a, a.upper()}:
-                by_literal.setdefault(literal, []).append(r["rule_id"])
-    anchors = tuple(sorted((k, tuple(v)) for k, v in by_literal.items()))
-    # Two-phase rules look at a seed window first and widen it only if a confirming literal is in it.
-    confirm = {r["rule_id"]: r["confirm_any"] for r in rules if r["confirm_any"]}
-    radius = {r["rule_id"]: r["seed_radius"] or r["radius"] if r["confirm_any"] else r["radius"] for r in rules}
-    wider = {r["rule_id"]: r["radius"] - radius[r["rule_id"]] for r in rules}
-    row = pa.struct([("rule_id", pa.int32()), ("w_start", pa.int32()), ("w_end", pa.int32()), ("window", pa.string())])
-    found_type = T.StructType([T.StructField("rule_id", T.IntegerType()), T.StructField("w_start", T.IntegerType()), T.StructField("w_end", T.IntegerType()), T.StructField("window", T.StringType())])
-    schema = objects.select(F.col(id_col).alias("object_id")).schema.add("windows", T.ArrayType(found_type))
+            ids[r["ignore_case"]].setdefault(a.lower() if r["ignore_case"] else a, set()).add(r["rule_id"])
+    for found, by in zip((exact, folded), ids, strict=True):
+        for literal, of in by.items():
+            raw = literal.encode().decode("latin-1")
+            found.add_word(raw, (len(raw), tuple(sorted(of))))
+        if len(found):
+            found.make_automaton()
+    return exact, folded, rules
+
+
+def _windows(buf: bytes, automata: tuple, rules: dict, whole: bool) -> Iterator[tuple[dict, int, int, int]]:
+    """(rule, start, end, first anchor) of every merged window of a buffer."""
+    raw = buf.decode("latin-1")
+    hits: dict[int, list[tuple[int, int, int]]] = {}
+    for found, line in zip(automata, (raw, None), strict=True):
+        if len(found):
+            for end, (n, ids) in found.iter(raw if line is not None else buf.lower().decode("latin-1")):
+                for i in ids:
+                    r = rules[i]
+                    around = (r["seed_radius"] or r["radius"]) if r["confirm_any"] else r["radius"]
+                    hits.setdefault(i, []).append((max(0, end + 1 - n - around), min(len(buf), end + 1 + around), end + 1 - n))
+    for i, spans in hits.items():
+        r = rules[i]
+        for a, b, first in [(0, len(buf), 0)] if whole else merged(spans):
+            # Two-phase rules look at a seed window first and widen it only if a confirming literal is in it.
+            if r["confirm_any"]:
+                if not any(x.encode() in buf[a:b] for x in r["confirm_any"]):
+                    continue
+                more = r["radius"] - (r["seed_radius"] or r["radius"])
+                a, b = max(0, a - more), min(len(buf), b + more)
+            yield r, a, b, 0 if whole else max(0, first - a - BACK_SCAN)
+
+
+def window_passes(r: dict, window: bytes) -> bool:
+    """The gates of a window: literals that must be in it, keywords, assignment shape, share of a-z."""
+    seen = window.lower() if r["ignore_case"] else window
+    has = lambda x: (x.lower() if r["ignore_case"] else x).encode() in seen
+    if r["must_contain"] and r["must_contain"].encode() not in window:
+        return False
+    if not all(has(x) for x in r["confirm_all"]) or (r["keywords_any"] and not any(has(x) for x in r["keywords_any"])):
+        return False
+    if r["assignment_shape"] and not _SHAPE.match(window):
+        return False
+    lower = len(window) - len(window.translate(None, _LOWER))
+    return r["max_lower_pct"] is None or len(window) < (r["min_window_len"] or 0) or lower * 100 <= len(window) * r["max_lower_pct"]
+
+
+def secret_span(m, group: int | None) -> tuple[int, int]:
+    """The rule's group if it is not empty, else the first group that is not, else the whole match."""
+    for g in ([group] if group is not None else []) + list(range(1, m.re.groups + 1)):
+        if m.end(g) > m.start(g):
+            return m.span(g)
+    return m.span()
+
+
+def _base64(run: bytes) -> bytes | None:
+    plain = run.translate(bytes.maketrans(b"-_", b"+/"), b"\r\n\t =")
+    plain = plain[:-1] if len(plain) % 4 == 1 else plain
+    try:
+        return binascii.a2b_base64(plain + b"=" * (-len(plain) % 4))
+    except binascii.Error:
+        return None
+
+
+def decoded_runs(buf: bytes, transforms: tuple[str, ...]) -> Iterator[tuple[str, int, int, bytes]]:
+    """(kind, start, end, bytes) of every encoded run of a buffer; bytes with NULs are read as UTF-16 from either byte on."""
+    if "url" in transforms and b"%" in buf:
+        for m in _URL.finditer(buf):
+            if b"%" in m[0] and (out := unquote_to_bytes(m[0])) != m[0]:
+                yield "url", m.start(), m.end(), out
+    if "base64" in transforms and any(len(x) >= 32 for x in buf.translate(_RUNS).split(b" ")):
+        for m in _BASE64.finditer(buf):
+            if len(m[0].translate(None, b"\r\n\t =")) >= 32 and (out := _base64(m[0])):
+                yield "base64", m.start(), m.end(), out
+    if "utf16" in transforms and b"\0" in buf:
+        for order in ("le", "be"):
+            for parity in (0, 1):
+                body = buf[parity : len(buf) - (len(buf) - parity) % 2]
+                yield f"utf16{order}{parity}", 0, len(buf), body.decode(f"utf-16-{order}", "replace").encode("utf-8", "surrogatepass")
+
+
+_STEP = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_MATCH = pa.struct([
+    ("rule_id", pa.int32()), ("steps", pa.list_(_STEP)), ("root_start", pa.int64()), ("root_end", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64()),
+    ("context", pa.string()), ("at", pa.int32()), ("size", pa.int32()), ("inside", pa.int32()), ("secret", pa.string()),
+])
+_STEP_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_MATCH_TYPE = T.StructType([
+    T.StructField("rule_id", T.IntegerType()), T.StructField("steps", T.ArrayType(_STEP_TYPE)), *[T.StructField(c, T.LongType()) for c in ("root_start", "root_end", "span_start", "span_end")],
+    T.StructField("context", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("at", "size", "inside")], T.StructField("secret", T.StringType()),
+])
+
+
+def found_in(text: bytes, exact, folded, rules: dict, depth: int, transforms: tuple[str, ...], whole: bool, items: int | None, size: int | None) -> tuple[list[dict], int]:
+    """The matches of a text and of what is decoded from it, and how many runs a budget left undecoded."""
+    out, dropped, n, total = [], 0, 0, 0
+    todo = [(text, [])]
+    while todo:
+        buf, steps = todo.pop()
+        for r, a, b, skip in _windows(buf, (exact, folded), rules, whole):
+            window = buf[a:b]
+            if not window_passes(r, window):
+                continue
+            for m in r["rx"].finditer(window[skip:]):
+                start, end = m.start() + skip, m.end() + skip
+                if start == end:
+                    continue
+                s, e = (x + skip for x in secret_span(m, r["secret_group"]))
+                wide = max(CONTEXT, r["lookbehind"] or 0, r["lookahead"] or 0)
+                left, right = max(0, start - wide), min(len(window), end + wide)
+                root = (steps[0]["start"], steps[0]["end"]) if steps else (a + start, a + end)
+                out.append({
+                    "rule_id": r["rule_id"], "steps": steps, "root_start": root[0], "root_end": root[1], "span_start": a + s, "span_end": a + e,
+                    "context": window[left:right].decode("latin-1"), "at": start - left, "size": end - start, "inside": s - left, "secret": window[s:e].decode("latin-1"),
+                })
+        if len(steps) < depth:
+            for kind, start, end, body in decoded_runs(buf, transforms):
+                if (items is not None and n >= items) or (size is not None and total + len(body) > size):
+                    dropped += 1
+                    continue
+                n, total = n + 1, total + len(body)
+                todo.append((body, [*steps, {"kind": kind, "start": start, "end": end}]))
+    return out, dropped
+
+
+def text_matches(objects: DataFrame, rules: list[dict], id_col: str, text_col: str, depth: int, modes: dict[str, str] | None = None, whole_text: bool = False, items: int | None = None, size: int | None = None) -> DataFrame:
+    """object_id, found (array of matches), dropped of every object: one narrow pass."""
+    modes = {**dict.fromkeys(TRANSFORMS, "always"), **(modes or {})}
+    if not set(modes) <= set(TRANSFORMS) or not set(modes.values()) <= set(MODES):
+        raise ValueError(f"transforms are {TRANSFORMS}, modes are {MODES}")
+    transforms = tuple(t for t in TRANSFORMS if modes[t] != "disabled")
+    table = json.dumps(rules)
+    picked = objects.select(F.col(id_col).alias("object_id"), F.col(text_col).alias("text"))
+    binary = isinstance(picked.schema["text"].dataType, T.BinaryType)
+    schema = picked.select("object_id").schema.add("found", T.ArrayType(_MATCH_TYPE)).add("dropped", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(anchors)
+        exact, folded, by_id = _compiled(table)
         for batch in batches:
-            out = []
+            found, dropped = [], []
             for text in batch.column(1).to_pylist():
-                raw = (text or "").encode("utf-8", "surrogatepass").decode("latin-1")
-                hits: dict[int, list[tuple[int, int]]] = {}
-                for end, (n, ids) in automaton.iter(raw):
-                    for i in ids:
-                        hits.setdefault(i, []).append((max(0, end + 1 - n - radius[i]), min(len(raw), end + 1 + radius[i])))
-                found = []
-                for i, spans in hits.items():
-                    for a, b in [(0, len(raw))] if whole_text else merged(spans):
-                        if i in confirm:
-                            if not any(c in raw[a:b] for c in confirm[i]):
-                                continue
-                            a, b = max(0, a - wider[i]), min(len(raw), b + wider[i])
-                        found.append({"rule_id": i, "w_start": a, "w_end": b, "window": raw[a:b]})
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(row))], names=["object_id", "windows"])
-
-    hit = objects.select(F.col(id_col).alias("object_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return hit.where(F.size("windows") > 0).select("object_id", F.explode("windows").alias("w")).select("object_id", "w.*")
+                raw = (text or b"") if binary else (text or "").encode("utf-8", "surrogatepass")
+                rows, lost = found_in(raw, exact, folded, by_id, depth, transforms, whole_text, items, size)
+                found.append(rows)
+                dropped.append(lost)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_MATCH)), pa.array(dropped, pa.int32())], names=["object_id", "found", "dropped"])
 
+    return picked.mapInArrow(run, schema)
 
-def window_islands(hits: DataFrame, keys: list[str], start: str = "w_start", end: str = "w_end", gap: int = MERGE_GAP) -> DataFrame:
-    """Merge intervals per key where the gap is at most ``gap``: running maximum, island number, group."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = hits.withColumn("_reach", reach).withColumn("_island", island)
-    return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_hits")).drop("_island")
+
+# -- gates of a match ------------------------------------------------------------------------------
 
 
 def offline_verdict(spec: F.Column, secret: F.Column, rules: list[dict]):
@@ -119,39 +249,26 @@ def offline_verdict(spec: F.Column, secret: F.Column, rules: list[dict]):
     return out
 
 
-def matches(windows: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per regex match in a window that passes the window gates, with the extracted secret."""
-    w = windows.join(F.broadcast(rules), "rule_id")
-    window = F.col("window")
-    gate = F.coalesce(F.contains(window, F.col("must_contain")), F.lit(True))
-    gate = gate & (F.col("keywords_any").isNull() | B.contains_any(window, F.col("keywords_any")))
-    gate = gate & (~F.col("assignment_shape") | G.assignment_shape(window))
-    gate = gate & (F.col("max_lower_pct").isNull() | G.char_class_passes(window, F.col("max_lower_pct"), F.col("min_window_len")))
-    group = F.coalesce("secret_group", F.least(F.lit(1), F.col("n_groups")))
-    found = w.where(gate).select("*", F.explode(B.spans("window", F.col("regex"), group)).alias("m"))
-    inside = F.instr(F.col("m.match"), F.col("m.secret")) - 1
-    return found.select(
-        "*", F.col("m.match").alias("full_match"), F.col("m.secret").alias("secret"),
-        F.col("m.start").alias("at"), (F.col("w_start") + F.col("m.start")).alias("root_start"), (F.col("w_start") + F.col("m.start") + F.length("m.match")).alias("root_end"),
-        (F.col("w_start") + F.col("m.start") + inside).alias("span_start"), (F.col("w_start") + F.col("m.start") + inside + F.length("m.secret")).alias("span_end"),
-    ).drop("m")
-
-
 def gated(found: DataFrame, rules: list[dict]) -> DataFrame:
-    """Matches that pass the match gates in order, with their confidence."""
-    secret = F.col("secret")
+    """Matches (joined with their rules) that pass the match gates in order, with their confidence.
+
+    Decoded matches are neither held against the context safelist nor
+    validated offline.
+    """
+    secret, root = F.col("secret"), F.size("steps") == 0
+    context = F.when(F.col("ignore_case"), F.lower("context")).otherwise(F.col("context"))
+    keywords = F.when(F.col("ignore_case"), F.transform("keywords_any", F.lower)).otherwise(F.col("keywords_any"))
     entropy = F.when(F.col("min_bits").isNotNull(), G.entropy_outcome(secret, F.col("min_bits"), F.col("min_len"), F.col("max_len"), F.col("min_entropy_bits"), F.col("digit_penalty")))
     rows = found.withColumn("entropy", entropy).where(F.coalesce(F.col("entropy") != "failed", F.lit(True)))
-    keyword = F.col("keywords_any").isNotNull() & G.keyword_near(F.col("window"), F.col("at"), F.length("full_match"), F.col("keywords_any"))
+    keyword = F.col("keywords_any").isNotNull() & G.keyword_near(context, F.col("at"), F.col("size"), keywords)
     rows = rows.withColumn("keyword", F.coalesce(keyword, F.lit(False)))
     rows = rows.where(F.col("value_suppressors_any").isNull() | ~G.suppressed(secret, F.col("value_suppressors_any")))
-    start = F.col("span_start") - F.col("w_start")
-    line, known = G.line_bounds(F.col("window"), start, 256, 256)
-    local = F.col("lookbehind").isNull() | ~known | ((~F.coalesce("same_line_assignment", F.lit(False)) | line.rlike("[=:>]")) & (F.col("key_names").isNull() | B.contains_any(line, F.col("key_names"))))
-    rows = rows.where(local)
-    rows = rows.where(~G.context_safelisted("full_match") & ~G.secret_safelisted(secret))
+    local = G.local_context_passes(F.col("context"), F.col("inside"), F.length("secret"), F.col("lookbehind"), F.col("lookahead"), F.coalesce("same_line_assignment", F.lit(False)), F.coalesce("quoted", F.lit(False)), F.col("key_names"))
+    rows = rows.where(F.col("lookbehind").isNull() | local)
+    full = F.substring(F.col("context"), F.col("at") + 1, F.col("size"))
+    rows = rows.where((~root | ~G.context_safelisted(full)) & ~G.secret_safelisted(secret))
     rows = rows.where(F.col("uuid_format_secret") | ~G.uuid_shaped(secret))
-    rows = rows.withColumn("verdict", offline_verdict(F.col("offline"), secret, rules)).where(F.coalesce(F.col("verdict") != "invalid", F.lit(True)))
+    rows = rows.withColumn("verdict", F.when(root, offline_verdict(F.col("offline"), secret, rules))).where(F.coalesce(F.col("verdict") != "invalid", F.lit(True)))
     score = G.confidence(F.coalesce(F.col("entropy") == "passed", F.lit(False)), F.col("keyword"), F.col("assignment_shape"), F.coalesce(F.col("verdict") == "valid", F.lit(False)))
     return rows.withColumn("confidence", score).where(F.col("confidence") >= F.col("min_confidence"))
 
@@ -161,9 +278,16 @@ def best_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") == 1).drop("_n")
 
 
-def in_object_dedup(rows: DataFrame) -> DataFrame:
-    """Per object, rule and span: decoded before raw, then the longer match, then confidence."""
-    return best_of(rows, ["object_id", "rule_id", "span_start", "span_end"], F.desc("depth"), F.desc("root_end"), F.desc("confidence"), "root_start")
+IN_OBJECT = ["object_id", "rule_id", "root_start", "root_end", "span_start", "span_end"]
+
+
+def in_object_dedup(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per object, rule, root and span one finding: the deepest decoded, then the most confident.
+
+    Spans of decoded buffers are offsets in their own buffer, so that the root
+    is part of the key; scans add the secret's hash and the way of decoding.
+    """
+    return best_of(rows, keys or IN_OBJECT, F.desc("depth"), F.desc("confidence"))
 
 
 def cross_rule_dedup(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -177,53 +301,45 @@ def capped(rows: DataFrame, keys: list[str], *order, cap: int = FINDINGS_CAP) ->
     return rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("dropped", F.greatest(F.count("*").over(w) - cap, F.lit(0))).where(F.col("_n") <= cap).drop("_n")
 
 
-FINDING = ["object_id", "rule_id", "name", "root_start", "root_end", "span_start", "span_end", "secret", "secret_hash", "confidence", "verdict", "depth"]
+def without_skipped(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """Findings without those from buffers that transforms of mode if_no_findings would not have decoded.
 
+    Such a transform leaves a buffer alone that has findings of its own.
+    """
+    if not kinds:
+        return found
+    has = found.select("object_id", F.col("steps").alias("_buffer")).distinct()
+    at = F.filter(F.sequence(F.lit(1), F.size("steps")), lambda i: F.regexp_replace(F.element_at("steps", i.cast("int"))["kind"], "^utf16.*", "utf16").isin(kinds))
+    parents = F.transform(F.when(F.size("steps") > 0, at).otherwise(F.array().cast("array<int>")), lambda i: F.slice("steps", F.lit(1), i - 1))
+    rows = found.withColumn("_f", F.struct(*[c for c in found.columns if c != "object_id"]))
+    held = rows.select("object_id", "steps", F.explode(parents).alias("_buffer")).join(has, ["object_id", "_buffer"], "left_semi").select("object_id", "steps").distinct()
+    return found.join(held, ["object_id", "steps"], "left_anti")
 
-def scan(objects: DataFrame, rules: list[dict] | None = None, id_col: str = "object_id", text_col: str = "text", depth: int = 1, whole_text: bool = False) -> DataFrame:
-    """Findings of every object.
 
-    depth: how many times base64 and URL-percent runs are decoded and scanned
-    again; findings of decoded buffers carry the run's place as root and are
-    not validated offline.
+FINDING = ["object_id", "rule_id", "name", "root_start", "root_end", "span_start", "span_end", "secret", "secret_hash", "confidence", "verdict", "depth", "steps"]
+
+
+def scan(objects: DataFrame, rules: list[dict] | None = None, id_col: str = "object_id", text_col: str = "text", depth: int = 1, whole_text: bool = False, modes: dict[str, str] | None = None, items: int | None = None, size: int | None = None) -> DataFrame:
+    """Findings of every object (text or binary content).
+
+    depth: how many times encoded runs are decoded and scanned again.
+    Findings of decoded buffers carry the run's place in the object as root and
+    the way to their buffer as steps.  modes: always, if_no_findings or
+    disabled for url, base64 and utf16.  items and size bound the decoded
+    buffers and bytes of an object (``undecoded`` counts what they leave out);
+    there is no bound unless one is given.
     """
     rules = rules or load()
     dim = rules_df(objects.sparkSession, rules)
-    level = objects.select(F.col(id_col).alias("object_id"), F.col(text_col).alias("text"))
-    found = None
-    for n in range(depth + 1):
-        text = "text"
-        rows = gated(matches(anchor_windows(level, rules, "object_id" if n == 0 else "key", text, whole_text), dim), rules if n == 0 else [])
-        if n:
-            rows = rows.select("object_id.*", *[c for c in rows.columns if c not in ("object_id", "root_start", "root_end")])
-        rows = rows.withColumn("depth", F.lit(n)).withColumn("secret_hash", F.sha2(F.encode("secret", "ISO-8859-1"), 256)).select(*FINDING)
-        found = rows if found is None else found.unionByName(rows)
-        if n < depth:
-            level = decoded(level, "object_id" if n == 0 else "key")
-    return cross_rule_dedup(in_object_dedup(found))
-
-
-def decoded(level: DataFrame, key: str) -> DataFrame:
-    """All decoded runs of a level's texts: key (object_id, root_start, root_end) and text.
-
-    A text is a whole object here, not a buffer of fixed size: no run is left out.
-    """
-    from lodestone.functions import codecs as C
-
-    wide = F.contains(F.col("text"), F.lit("\u0000"))
-    raw = level.where(F.col("text").rlike("%[0-9A-Fa-f]{2}") | F.col("text").rlike("[A-Za-z0-9+/_-]{32}") | wide).select(key, B.latin1("text").alias("raw"))
-    url = raw.select(key, F.explode(C.url_spans("raw", most=None)).alias("s"), F.lit("url").alias("kind"))
-    b64 = raw.select(key, F.explode(C.base64_spans("raw", most=None)).alias("s"), F.lit("base64").alias("kind"))
-    # Bytes with NULs are read as UTF-16 too, of either order and from the first or second byte on.
-    whole = F.struct(F.col("raw").alias("match"), F.col("raw").alias("secret"), F.lit(0).alias("start"))
-    utf16 = raw.where(F.contains(F.col("raw"), F.lit("\u0000"))).select(key, whole.alias("s"), F.explode(F.array(*[F.lit(f"utf16{e}{n}") for e in ("le", "be") for n in (0, 1)])).alias("kind"))
-    content = F.encode("s.match", "ISO-8859-1")
-    text = F.when(F.col("kind") == "url", C.url_decode("s.match")).when(F.col("kind") == "base64", F.decode(C.base64_decode("s.match"), "ISO-8859-1"))
-    for e in ("le", "be"):
-        for n in (0, 1):
-            text = text.when(F.col("kind") == f"utf16{e}{n}", C.utf16_decode(content, e == "be", n))
-    rows = url.unionAll(b64).unionAll(utf16).withColumn("text", text).where(F.col("text").isNotNull())
-    if key == "object_id":
-        place = F.struct(F.col("object_id"), F.col("s.start").alias("root_start"), (F.col("s.start") + F.length("s.match")).alias("root_end"))
-        return rows.select(place.alias("key"), "text")
-    return rows.select("key", "text")
+    found = text_matches(objects, rules, id_col, text_col, depth, modes, whole_text, items, size)
+    rows = found.where(F.size("found") > 0).select("object_id", F.explode("found").alias("m")).select("object_id", "m.*")
+    rows = gated(rows.join(F.broadcast(dim), "rule_id"), rules)
+    rows = rows.withColumn("depth", F.size("steps")).withColumn("secret_hash", F.sha2(F.encode("secret", "ISO-8859-1"), 256)).select(*FINDING)
+    rows = without_skipped(rows, [t for t, m in (modes or {}).items() if m == "if_no_findings"])
+    way = F.array_join(F.transform("steps", lambda s: s["kind"]), "/")
+    return cross_rule_dedup(in_object_dedup(rows.withColumn("_way", way), [*IN_OBJECT, "secret_hash", "_way"]).drop("_way"))
+
+
+def undecoded(objects: DataFrame, rules: list[dict] | None = None, id_col: str = "object_id", text_col: str = "text", depth: int = 3, items: int | None = 256, size: int | None = 512 << 10) -> DataFrame:
+    """Objects in which a decode budget leaves runs out, and how many."""
+    return text_matches(objects, rules or load(), id_col, text_col, depth, None, False, items, size).where("dropped > 0").select("object_id", "dropped")

@@ -43,12 +43,13 @@ def _in(names) -> str:
     return "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
 
-_ANY_DIR = "len(list_filter(string_split(lower(path), '/')[1:-2], lambda d: d IN {}) ) > 0"
+_ANY_DIR = "len(list_filter(string_split(lower(path), '/'), lambda d: d IN {}) ) > 0"
 PATH_POLICY_SQL = f"""
 WITH p AS (SELECT {_PATH_SQL} AS path, count(*) AS n FROM part GROUP BY 1), e AS (SELECT *, {_EXT} AS ext, {_BASE} AS base FROM p),
-b AS (SELECT path, n, CASE WHEN ext IN {_in(C.SOURCE_EXT)} THEN 1 ELSE 0 END + CASE WHEN {_ANY_DIR.format(_in(C.TEST_DIRS))} THEN 2 ELSE 0 END + CASE WHEN {_ANY_DIR.format(_in(C.VENDOR_DIRS))} THEN 4 ELSE 0 END + CASE WHEN {_ANY_DIR.format(_in(C.GENERATED_DIRS))} THEN 8 ELSE 0 END
-  + CASE WHEN ext IN {_in(C.BINARY_EXT)} THEN 16 ELSE 0 END + CASE WHEN ext IN {_in(C.SOURCE_EXT)} OR ext IN {_in(C.BINARY_EXT)} OR base IN {_in(C.LOCK_FILES)} THEN 0 ELSE 32 END + CASE WHEN base IN {_in(C.LOCK_FILES)} THEN 64 ELSE 0 END AS bits FROM e)
-SELECT path, n, bits, bits & 80 = 0 AS scannable FROM b
+b AS (SELECT path, n, CASE WHEN ext IN {_in(C.SOURCE_EXT)} AND base NOT IN {_in(C.LOCK_FILES)} THEN 1 ELSE 0 END + CASE WHEN {_ANY_DIR.format(_in(C.TEST_DIRS))} THEN 2 ELSE 0 END + CASE WHEN {_ANY_DIR.format(_in(C.VENDOR_DIRS))} THEN 4 ELSE 0 END + CASE WHEN {_ANY_DIR.format(_in(C.GENERATED_DIRS))} THEN 8 ELSE 0 END
+  + CASE WHEN ext IN {_in(C.BINARY_EXT)} THEN 16 ELSE 0 END + CASE WHEN base IN {_in(C.LOCK_FILES)} THEN 64 ELSE 0 END AS known FROM e),
+f AS (SELECT path, n, CASE WHEN known = 0 THEN 32 ELSE known END AS bits FROM b)
+SELECT path, n, bits, bits & 80 = 0 AS scannable FROM f
 """
 
 

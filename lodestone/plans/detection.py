@@ -165,7 +165,7 @@ def in_object_dedup(spark, sf_dir):
     return D.in_object_dedup(_raw_findings(spark, sf_dir)).select("object_id", "rule_id", "span_start", "span_end", "root_start", "root_end", "confidence", "depth")
 
 
-IN_OBJECT_SQL = f"SELECT object_id, rule_id, span_start, span_end, root_start, root_end, confidence, depth FROM {RAW_FINDINGS_SQL} QUALIFY row_number() OVER (PARTITION BY object_id, rule_id, span_start, span_end ORDER BY depth DESC, root_end DESC, confidence DESC, root_start) = 1"
+IN_OBJECT_SQL = f"SELECT object_id, rule_id, span_start, span_end, root_start, root_end, confidence, depth FROM {RAW_FINDINGS_SQL} QUALIFY row_number() OVER (PARTITION BY object_id, rule_id, root_start, root_end, span_start, span_end ORDER BY depth DESC, confidence DESC) = 1"
 
 
 def cross_rule_dedup(spark, sf_dir):
@@ -272,11 +272,19 @@ UTF16_SQL = "SELECT c_custkey, c_name AS le, c_name AS be FROM customer"
 
 
 def redacted_context(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 40)
-    return docs.select("doc_id", E.redacted_context(F.col("text"), F.lit(10), F.lit(30), "k", 8).alias("shown"))
+    """Every address in every document, redacted in its surroundings."""
+    rows = match_spans(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", B.latin1("text").alias("raw")), "doc_id")
+    return rows.select("doc_id", "start", E.redacted_context(F.col("raw"), F.col("start").cast("int"), (F.col("start") + F.length("matched")).cast("int"), "k", 24).alias("shown"))
 
 
-REDACTED_SQL = "SELECT doc_id, substring(text, 3, 8) || '[redacted:' || substring(sha256('k:' || substring(text, 11, 20)), 1, 16) || ']' || substring(text, 31, 8) AS shown FROM documents WHERE length(text) > 40"
+REDACTED_SQL = f"""
+WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS whole, regexp_split_to_array(text, '{EMAIL}') AS gaps FROM documents WHERE contains(text, '@')),
+x AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+y AS (SELECT doc_id, whole[i] AS matched, encode(text) AS b, (list_sum(list_transform(gaps[1:i], lambda g: octet_length(encode(g)))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: octet_length(encode(g)))), 0))::BIGINT AS start FROM x),
+h AS (SELECT doc_id, start, matched, hex(b) AS b FROM y),
+s AS (SELECT doc_id, start, matched, substring(b, (2 * greatest(start - 24, 0) + 1)::BIGINT, (2 * least(start, 24))::BIGINT) AS l, substring(b, (2 * (start + len(matched)) + 1)::BIGINT, 48) AS r FROM h)
+SELECT doc_id, start, array_to_string(list_transform(range(0, len(l) // 2), lambda i: chr(('0x' || substring(l, 2 * i + 1, 2))::INT)), '') || '[redacted:' || substring(sha256('k:' || matched), 1, 16) || ']' || array_to_string(list_transform(range(0, len(r) // 2), lambda i: chr(('0x' || substring(r, 2 * i + 1, 2))::INT)), '') AS shown FROM s
+"""
 
 QUERIES = {
     "secrets_by_source": (secrets_by_source, SECRETS_SQL),

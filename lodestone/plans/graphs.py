@@ -44,10 +44,10 @@ SELECT c, min(root) AS root FROM (SELECT root, c FROM n EXCEPT SELECT root, c FR
 
 def history_walk(spark, sf_dir):
     tips, _ = _tips(spark, sf_dir)
-    return G.reach(_edges(spark, sf_dir).where("parent_idx = 0").select("c", "parent"), tips.where("c % 5 = 1")).groupBy("root").agg(F.count("*").alias("commits"), F.min("c").alias("oldest"))
+    return G.reach(_edges(spark, sf_dir).where("parent_idx = 0").select("c", "parent"), tips).groupBy("root").agg(F.count("*").alias("commits"), F.min("c").alias("oldest"))
 
 
-WALK_SQL = "SELECT 'r' || (o_orderkey // 32) AS root, 32 AS commits, o_orderkey - 31 AS oldest FROM orders WHERE o_orderkey % 32 = 31 AND o_orderkey % 5 = 1"
+WALK_SQL = "SELECT 'r' || (o_orderkey // 32) AS root, 32 AS commits, o_orderkey - 31 AS oldest FROM orders WHERE o_orderkey % 32 = 31"
 
 
 def topological(spark, sf_dir):

@@ -111,14 +111,17 @@ def test_decoders(spark):
     assert one(spark, "plain", C.url_decode("s")) == "plain"
     assert bytes(one(spark, "aGVs\nbG8-_w", C.base64_decode("s"))) == b"hello>\xff"
     assert one(spark, "!!", C.base64_decode("s")) is None
-    assert len(one(spark, " ".join(["/" + "a%20" * 6] * 12), C.url_spans("s"))) == 8  # the ninth run is left
+    assert len(one(spark, " ".join(["/" + "a%20" * 6] * 12), C.url_spans("s"))) == 12  # no run is left
+    assert len(one(spark, " ".join(["/" + "a%20" * 6] * 12), C.url_spans("s", most=8))) == 8
 
 
 def test_windows_merge():
     assert D.merged([(0, 10), (70, 80), (200, 210)]) == [(0, 80), (200, 210)]
     assert D.merged([(0, 10), (75, 80)]) == [(0, 10), (75, 80)]
-    assert len(D.merged([(i * 200, i * 200 + 10) for i in range(40)])) <= 16
-    assert D.merged([(i, i + 1) for i in range(0, 9000, 2)][:3000]) == [(0, 5999)]
+    assert len(D.merged([(i * 200, i * 200 + 10) for i in range(40)])) == 40
+    assert len(D.merged([(i * 200, i * 200 + 10) for i in range(40)], most=16)) <= 16
+    assert len(D.merged([(i * 100, i * 100 + 1) for i in range(3000)])) == 3000
+    assert D.merged([(5, 9, "b"), (0, 4, "a")]) == [(0, 9, "a")]
 
 
 def test_rules_loader():
@@ -179,3 +182,82 @@ def test_registered_scans_decode_three_levels_and_all_runs(spark, tmp_path):
     got = {(r.doc_id, r.name, r.depth) for r in detection.scan_documents(spark, str(tmp_path)).collect()}
     assert got == {(1, "github-token", 3), (2, "github-token", 1)}
     assert {(r.conv_id, r.name) for r in detection.scan_conversations(spark, str(tmp_path)).collect()} == {(1, "github-token"), (2, "github-token")}
+
+
+def test_scan_keeps_equal_spans_of_different_runs(spark):
+    """Findings of decoded buffers differ by the run that they come from; they do not depend on what else is in the row."""
+    import base64
+
+    tokens = [f"ghp_{p}{base62(zlib.crc32(p.encode()))}" for p in (f"a1B2c3D4e5F6g7H8i9J0k1L2m3N4{i:02d}" for i in range(12))]
+    wrap = lambda s: base64.b64encode(s.encode()).decode()
+    runs = [wrap(f"see {t} there, and some more") for t in tokens]
+    rows = [(0, " | ".join(runs)), *[(i + 1, r) for i, r in enumerate(runs)], (100, (" " * 1000).join(tokens * 2))]
+    got = D.scan(spark.createDataFrame(rows, "object_id long, text string"), depth=1).collect()
+    secrets = lambda i: sorted(r.secret for r in got if r.object_id == i)
+    assert secrets(0) == tokens and all(secrets(i + 1) == [t] for i, t in enumerate(tokens)) and secrets(100) == sorted(tokens * 2)
+    few = D.undecoded(spark.createDataFrame(rows, "object_id long, text string"), depth=1, items=8)
+    assert {(r.object_id, r.dropped) for r in few.collect()} == {(0, 4), (100, 16)}  # tokens look like runs too
+
+
+RULE_ROWS = [
+    (1, '\nkey "abcd1234"\n'), (2, "\nkey abcd1234\n"), (3, '\nkey = "abcd1234"\n'), (4, "key :abcd1234"), (5, "KEY abcd1234"), (6, "kex abcd1234"),
+    (7, "key " + "." * 80 + " abcd1234"), (8, "\nnote key abcd1234\n"), (9, "key mack abcd1234"),
+]
+
+
+@pytest.mark.parametrize(("fields", "want"), [
+    ("", {1, 2, 3, 4, 7, 8, 9}),
+    ("ignore_case: true", {1, 2, 3, 4, 5, 7, 8, 9}),
+    ("local_context: {lookbehind: 64, lookahead: 64, require_quoted: true}", {1, 3, 4, 7, 9}),  # a window's end passes
+    ("local_context: {lookbehind: 64, lookahead: 64, require_same_line_assignment: true}", {3, 4, 7, 9}),
+    ("local_context: {lookbehind: 4, lookahead: 64, require_same_line_assignment: true}", {1, 2, 3, 4, 7, 8, 9}),
+    ("local_context: {lookbehind: 64, lookahead: 64, key_names_any: [note]}", {4, 7, 8, 9}),
+    ("must_contain: '\"'", {1, 3}),
+    ("keywords_any: [note]", {8}),
+    ("radius: 40", {1, 2, 3, 4, 8, 9}),
+    ("value_suppressors_any: [cd12]", set()),
+    ("assignment_shape: true", set()),
+    ("entropy: {min_bits_per_byte: 3.5, min_len: 4, max_len: 64}", set()),
+    ("min_confidence: 1", set()),
+])
+def test_each_rule_field(spark, fields, want):
+    rules = R.parse("- name: r\n  regex: '(?i)ke[y][^\\n]*?([a-d]{4}[0-9]{4})'\n  anchors: [key]\n" + (f"  {fields}\n" if fields else ""))
+    assert {r.object_id for r in D.scan(spark.createDataFrame(RULE_ROWS, "object_id long, text string"), rules).collect()} == want
+
+
+def test_secret_groups_offsets_and_search_start(spark):
+    rules = R.parse("- {name: g, regex: 'k=(?:\"(\\w*)\"|(\\w+))', anchors: ['k=']}")
+    rows = spark.createDataFrame([(1, 'k=""'), (2, 'k="ab"'), (3, "k=kk")], "object_id long, text string")
+    got = {r.object_id: (r.secret, r.span_start, r.span_end) for r in D.scan(rows, rules).collect()}
+    assert got == {1: ('k=""', 0, 4), 2: ("ab", 3, 5), 3: ("kk", 2, 4)}
+    repeated = R.parse("- {name: o, regex: 'ab:(ab)', anchors: ['ab:']}")  # the secret also stands before its own place
+    assert [(r.span_start, r.span_end) for r in D.scan(spark.createDataFrame([(1, "ab:ab")], "object_id long, text string"), repeated).collect()] == [(3, 5)]
+    lazy = R.parse("- {name: s, regex: 'x[^y]*(z)', anchors: [z], radius: 500}")
+    near, far = "x" + "." * 60 + "z", "x" + "." * 200 + "z"
+    assert {r.object_id for r in D.scan(spark.createDataFrame([(1, near), (2, far)], "object_id long, text string"), lazy).collect()} == {1}
+    assert {r.object_id for r in D.scan(spark.createDataFrame([(1, near), (2, far)], "object_id long, text string"), lazy, whole_text=True).collect()} == {1, 2}
+
+
+def test_mandatory_literals():
+    assert R.mandatory_literals(r"\bghp_(?:abc|abd)x{2,}(key)+tail$") == ["ghp_ab", "key", "tail"]
+    assert R.mandatory_literals("(?i)token") == [] and R.mandatory_literals("(?i)token", True) == ["token"] and R.mandatory_literals("(abc)?(?:de|f)") == []
+    assert R.python_regex(r"a$[$]\$\z") == r"a\Z[$]\$\Z"
+
+
+def test_transform_modes(spark):
+    import base64
+
+    rules = R.parse("- {name: t, regex: 'tok_([a-z]{8})', anchors: [tok_]}")
+    wrap = lambda s: base64.b64encode(s.encode()).decode()
+    rows = spark.createDataFrame([(1, "tok_aaaaaaaa " + wrap("a longer text with tok_bbbbbbbb in it")), (2, "none " + wrap("a longer text with tok_cccccccc in it"))], "object_id long, text string")
+    run = lambda mode: {r.secret for r in D.scan(rows, rules, modes={"base64": mode}).collect()}
+    assert run("always") == {"aaaaaaaa", "bbbbbbbb", "cccccccc"} and run("disabled") == {"aaaaaaaa"} and run("if_no_findings") == {"aaaaaaaa", "cccccccc"}
+
+
+def test_context_safelist_is_for_root_matches(spark):
+    import base64
+
+    rules = R.parse("- {name: t, regex: 'for example tok_([a-z]{8})', anchors: [tok_]}")
+    text = "and this is for example tok_abcdefgh as text"
+    rows = spark.createDataFrame([(1, text), (2, base64.b64encode(text.encode()).decode())], "object_id long, text string")
+    assert {r.object_id for r in D.scan(rows, rules).collect()} == {2}
