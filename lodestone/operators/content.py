@@ -19,7 +19,7 @@ from lodestone.functions.bytespace import col
 
 CHECK_BYTES = 8192
 # Budgets of archive expansion.
-BUDGET = {"depth": 3, "entries": 4096, "entry_bytes": 64 << 20, "archive_bytes": 256 << 20, "ratio": 128, "path_bytes": 1024}
+BUDGET = {"depth": 3, "entries": 4096, "entry_bytes": 64 << 20, "archive_bytes": 256 << 20, "root_bytes": 512 << 20, "metadata_bytes": 16 << 20, "ratio": 128, "path_bytes": 1024}
 # Names of directories and files by kind, and extensions of sources.
 TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs", "fixture", "fixtures", "__fixtures__")
 VENDOR_DIRS = ("vendor", "third_party", "third-party", "thirdparty", "deps", "external", "extern", "node_modules")
@@ -69,8 +69,8 @@ def classify(path: Column | str, raw: Column) -> Column:
     return F.when(is_binary(raw), F.when(form.isNotNull(), extract).otherwise("binary")).otherwise(F.when(form.isin("dotenv", "ipynb"), extract).otherwise("text"))
 
 
-def archive_kind(path: Column | str, magic: Column | None = None) -> Column:
-    """By name first, then by the first bytes (hex)."""
+def archive_kind(path: Column | str, magic: Column | None = None, tar: Column | None = None) -> Column:
+    """By name first, then by the first bytes (hex), then by the five from byte 257 on."""
     name = basename(path)
     out = (
         F.when(name.rlike(r"\.(?:tar\.gz|tgz)\z"), "tar.gz").when(name.rlike(r"\.(?:tar\.bz2|tbz2?)\z"), "tar.bz2").when(name.rlike(r"\.tar\z"), "tar")
@@ -79,6 +79,8 @@ def archive_kind(path: Column | str, magic: Column | None = None) -> Column:
     if magic is not None:
         head = F.upper(F.substring(magic, 1, 8))
         out = out.when(head.startswith("1F8B"), "gzip").when(head.startswith("504B0304") | head.startswith("504B0506"), "zip").when(head.startswith("425A68"), "bzip2")
+        if tar is not None:
+            out = out.when(F.upper(tar) == "7573746172", "tar")
     return out
 
 
@@ -210,16 +212,24 @@ def extract_text(form: str, data: bytes) -> str | None:
     return None
 
 
-def extract(objects: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """path, format, text of extractable objects; text is null where the content is broken."""
-    picked = objects.select(F.col(path_col).alias("path"), extractable(path_col).alias("format"), F.col(content_col).alias("content")).where("format is not null")
+def extract(objects: DataFrame, path_col: str = "path", content_col: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """path, format, text of extractable objects, and columns to carry along (strings); text is null where the content is broken."""
+    picked = objects.select(F.col(path_col).alias("path"), extractable(path_col).alias("format"), F.col(content_col).alias("content"), *carry).where("format is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [extract_text(f, c or b"") for f, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["path", "format", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), *b.columns[3:]], names=["path", "format", "text", *carry])
 
-    return picked.mapInArrow(run, "path string, format string, text string")
+    _few_rows(objects.sparkSession)
+    return picked.mapInArrow(run, ", ".join(["path string, format string, text string", *[f"{c} string" for c in carry]]))
+
+
+def _few_rows(spark) -> None:
+    """Whole files go to Python: few at once, unless the user has chosen a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "64")
 
 
 def _kind(name: str, data: bytes) -> str | None:
@@ -227,7 +237,7 @@ def _kind(name: str, data: bytes) -> str | None:
     for suffixes, kind in (((".tar.gz", ".tgz"), "tar.gz"), ((".tar.bz2", ".tbz", ".tbz2"), "tar.bz2"), ((".tar",), "tar"), ((".zip",), "zip"), ((".gz",), "gzip"), ((".bz2",), "bzip2")):
         if low.endswith(suffixes):
             return kind
-    return "gzip" if data[:2] == b"\x1f\x8b" else "zip" if data[:4] == b"PK\x03\x04" else "bzip2" if data[:3] == b"BZh" else None
+    return "gzip" if data[:2] == b"\x1f\x8b" else "zip" if data[:4] in (b"PK\x03\x04", b"PK\x05\x06") else "bzip2" if data[:3] == b"BZh" else "tar" if data[257:262] == b"ustar" else None
 
 
 def _entries(name: str, data: bytes, budget: dict) -> Iterator[tuple[str, bytes | None, str]]:
@@ -268,25 +278,32 @@ def _checked(body: bytes, packed: int, budget: dict) -> tuple[bytes | None, str]
     return body, "ok"
 
 
-def expand_one(path: str, data: bytes, budget: dict, depth: int = 0) -> Iterator[tuple[str, bytes | None, str]]:
-    """Entries of an archive and of archives in it: (virtual path, content, outcome)."""
-    count = total = 0
+def expand_one(path: str, data: bytes, budget: dict, depth: int = 0, root: list[int] | None = None) -> Iterator[tuple[str, bytes | None, str]]:
+    """Entries of an archive and of archives in it: (virtual path, content, outcome).
+
+    root counts the bytes of all archives in one file; what inner archives
+    give counts there too.
+    """
+    count = total = names = 0
+    root = [0] if root is None else root
     try:
         for name, body, outcome in _entries(path, data, budget):
-            count += 1
-            if count > budget["entries"]:
-                yield path, None, "too_many_entries"
-                return
-            total += len(body or b"")
-            if total > budget["archive_bytes"]:
-                yield path, None, "archive_too_large"
+            count, names = count + 1, names + len(name.encode("utf-8", "surrogatepass"))
+            total, root[0] = total + len(body or b""), root[0] + len(body or b"")
+            over = (
+                "too_many_entries" if count > budget["entries"] else "metadata_too_large" if names > budget["metadata_bytes"]
+                else "archive_too_large" if total > budget["archive_bytes"] else "root_too_large" if root[0] > budget["root_bytes"]
+                else "ratio" if total > (1 << 20) and total > budget["ratio"] * max(1, len(data)) else None
+            )
+            if over:
+                yield path, None, over
                 return
             inner = f"{path}::{name}"
             if body is not None and _kind(name, body):
                 if depth + 1 >= budget["depth"]:
                     yield inner, None, "too_deep"
                 else:
-                    yield from expand_one(inner, body, budget, depth + 1)
+                    yield from expand_one(inner, body, budget, depth + 1, root)
             else:
                 yield inner, body, outcome
     except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, zlib.error, RuntimeError, NotImplementedError):
@@ -304,8 +321,9 @@ def expand_archives(objects: DataFrame, path_col: str = "path", content_col: str
                 for row in expand_one(path, data or b"", limits):
                     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
+    _few_rows(objects.sparkSession)
     magic = F.hex(F.substring(F.col(content_col), 1, 4))
-    picked = objects.where(archive_kind(path_col, magic).isNotNull()).select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    picked = objects.where(archive_kind(path_col, magic, F.hex(F.substring(F.col(content_col), 258, 5))).isNotNull()).select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
     return picked.mapInArrow(run, "path string, content binary, outcome string")
 
 

@@ -34,36 +34,46 @@ def candidates(findings: DataFrame, truth: DataFrame) -> DataFrame:
 MATCHED = "path string, start long, end long, rule string, confidence int, outcome string, truth_id long"
 
 
-def greedy_match(findings: DataFrame, truth: DataFrame) -> DataFrame:
+def greedy_match(findings: DataFrame, truth: DataFrame, require_rule_match: bool = False) -> DataFrame:
     """Classify findings (path, start, end, rule, confidence, f_start, f_end): tp, fp or unlabeled.
 
-    Most confident first, each positive truth item (truth_id, path,
-    line_start, line_end, label) is matched once.  The state is per path, and
-    so are the groups.
+    Most confident first, then by place and rule, each finding takes the first
+    positive truth item (truth_id, path, line_start, line_end, label, rule)
+    whose lines it overlaps and that no other has taken: tp.  Without one it
+    is fp where it overlaps a negative item, else unlabeled; placeholders and
+    taken items do not count.  With require_rule_match only items count whose
+    rule, or one of its parts between colons, is the finding's.
+
+    What is matched depends only on lines that overlap: a path's lines are cut
+    where neither findings nor truth go on, and the pieces are matched apart.
     """
+    f = findings.select("path", F.col("f_start").cast("long").alias("a"), F.col("f_end").cast("long").alias("b"), F.struct("start", "end", "rule", "confidence").alias("f"), F.lit(None).cast("struct<truth_id:long,label:string,rule:string>").alias("t"))
+    rule = F.col("rule") if "rule" in truth.columns else F.lit(None)
+    t = truth.select("path", F.col("line_start").cast("long").alias("a"), F.col("line_end").cast("long").alias("b"), F.lit(None).cast(f.schema["f"].dataType).alias("f"), F.struct(F.col("truth_id").cast("long").alias("truth_id"), F.col("label").cast("string").alias("label"), rule.cast("string").alias("rule")).alias("t"))
+    order = Window.partitionBy("path").orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = f.unionAll(t).withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
+    rows = rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.where("f is not null").select("path", "island", "a", "b", "f.*")
+    items = rows.where("t is not null").select("path", "island", "a", "b", F.col("t.truth_id").alias("truth_id"), F.col("t.label").alias("label"), F.col("t.rule").alias("t_rule"))
 
     def run(f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        items = t.sort_values(["line_start", "line_end", "truth_id"]).itertuples(index=False) if len(t) else []
-        items = list(items)
+        free = list(t[t.label == "positive"].sort_values(["a", "b", "truth_id"]).itertuples(index=False))
+        negative = list(t[t.label == "negative"].sort_values(["a", "b", "truth_id"]).itertuples(index=False))
         out = []
         for r in f.sort_values(["confidence", "start", "end", "rule"], ascending=[False, True, True, True]).itertuples(index=False):
-            over = [i for i in items if i.line_start <= r.f_end and i.line_end >= r.f_start]
-            free = [i for i in over if i.label == "positive" and i.truth_id not in used]
-            if free:
-                used.add(free[0].truth_id)
-                outcome, item = "tp", free[0].truth_id
-            elif any(i.label == "negative" for i in over):
-                outcome, item = "fp", next(i.truth_id for i in over if i.label == "negative")
-            elif any(i.label == "positive" for i in over):
-                outcome, item = "fp", None
+            meets = lambda i, r=r: i.a <= r.b and i.b >= r.a and (not require_rule_match or r.rule in (i.t_rule or "").split(":"))
+            at = next((k for k, i in enumerate(free) if meets(i)), None)
+            if at is not None:
+                outcome, item = "tp", free.pop(at).truth_id
             else:
-                outcome, item = "unlabeled", None
+                item = next((i.truth_id for i in negative if meets(i)), None)
+                outcome = "unlabeled" if item is None else "fp"
             out.append((r.path, r.start, r.end, r.rule, r.confidence, outcome, item))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in MATCHED.split(", ")])
         return frame.astype({"truth_id": "Int64"})
 
-    return findings.groupBy("path").cogroup(truth.groupBy("path")).applyInPandas(run, MATCHED)
+    return found.groupBy("path", "island").cogroup(items.groupBy("path", "island")).applyInPandas(run, MATCHED)
 
 
 def confusion(classified: DataFrame, positives: int | Column) -> DataFrame:
@@ -164,12 +174,20 @@ def redacted_context(text: Column, start: Column, end: Column, key: str, radius:
     return F.concat(F.substring(text, left + 1, start - left), F.lit("[redacted:"), tag, F.lit("]"), F.substring(text, end + 1, F.lit(radius)))
 
 
-def corpus_digest(files: DataFrame, path: str, content: str, levels: int = 256) -> DataFrame:
-    """One digest of all (path, content), whatever their order: digests per path range, then of those."""
+def corpus_digest(files: DataFrame, path: str, content: str, group: int = 4096) -> DataFrame:
+    """One digest of all (path, content), whatever their order: digests by leading hex digits, then of those, level by level.
+
+    There are so many levels that a group holds some ``group`` digests.
+    """
     one = F.sha2(F.concat_ws("\u0000", F.col(path).cast("string"), F.sha2(F.col(content).cast("string"), 256)), 256)
-    rows = files.select(one.alias("d")).withColumn("b", F.substring("d", 1, 2))
-    part = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "d"))), ""), 256).alias("digest"), F.sum("n").alias("files"))
+    count, digits = files.count(), 2
+    while count > group * 16**digits:
+        digits += 2
+    rows = files.select(one.alias("d"), F.lit(1).cast("long").alias("n"))
+    rows = rows.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.sum("n").alias("n"))
+    for width in range(digits - 2, -1, -2):
+        rows = rows.groupBy(F.substring("b", 1, width).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "d"))), ""), 256).alias("d"), F.sum("n").alias("n"))
+    return rows.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"), F.sum("n").alias("files"))
 
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:

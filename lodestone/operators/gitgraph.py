@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.detect import best_of
+from lodestone.shared import stored
 
 
 def start_set(refs: DataFrame, mode: str, explicit: list[str] | None = None) -> DataFrame:
@@ -22,33 +21,48 @@ def start_set(refs: DataFrame, mode: str, explicit: list[str] | None = None) ->
     return refs.where(chosen).orderBy("name")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        return df.persist()
-    to = f"{path.rstrip('/')}/lodestone-reach-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+def segments(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(v, head): linear runs of commits, each vertex with the run's first one on the side of the tips.
+
+    A vertex is inside a run if it has one child and is that child's one
+    parent; starts (c) always begin a run.  Pointers are doubled, so that the
+    rounds follow the logarithm of the longest run.
+    """
+    children, parents = edges.groupBy("parent").agg(F.count("*").alias("n"), F.min("c").alias("head")).where("n = 1"), edges.groupBy("c").agg(F.count("*").alias("m")).where("m = 1")
+    runs = children.join(parents, F.col("head") == F.col("c")).select(F.col("parent").alias("v"), "head").join(starts.select(F.col("c").alias("v")).distinct(), "v", "left_anti")
+    runs = stored(runs, "runs")
+    while True:
+        up = runs.select(F.col("v").alias("head"), F.col("head").alias("_up"))
+        step = stored(runs.join(up, "head", "left").select("v", F.coalesce("_up", "head").alias("head"), F.col("_up").isNotNull().alias("moved")), "runs")
+        if not step.where("moved").limit(1).count():
+            return runs
+        runs = step.select("v", "head")
 
 
-def reach(edges: DataFrame, tips: DataFrame, hops: int = 8) -> DataFrame:
+def reach(edges: DataFrame, tips: DataFrame, hops: int = 2) -> DataFrame:
     """Commits that tips (root, c) reach by edges (c, parent): pairs (root, c), tips included.
 
-    A round follows up to ``hops`` parents in one plan and keeps what is new;
-    rounds end when nothing is, after depth / hops of them.
+    Linear runs of commits are shrunk to one vertex first; a round then
+    follows up to ``hops`` edges between runs and keeps what is new, so that
+    the rounds follow the number of forks and merges on a way, not of commits.
     """
-    step = edges.select("c", "parent").distinct()
-    frontier = found = _cut(tips.select("root", "c").distinct())
+    step = stored(edges.select("c", "parent").distinct(), "parents")
+    runs = segments(step, tips)
+    inside = runs.select(F.col("v").alias("c"), F.col("head").alias("_head"))
+    between = step.join(runs.select(F.col("v").alias("parent")), "parent", "left_anti").join(inside, "c", "left").select(F.coalesce("_head", "c").alias("c"), "parent").distinct()
+    between = stored(between, "between")
+    frontier = found = stored(tips.select("root", "c").distinct(), "reach")
     while True:
         near, ahead = frontier, None
         for _ in range(hops):
-            near = near.join(step, "c").select("root", F.col("parent").alias("c"))
+            near = near.join(between, "c").select("root", F.col("parent").alias("c"))
             ahead = near if ahead is None else ahead.unionAll(near)
-        frontier = _cut(ahead.distinct().join(found, ["root", "c"], "left_anti"))
+        frontier = stored(ahead.distinct().join(found, ["root", "c"], "left_anti"), "reach")
         if not frontier.limit(1).count():
-            return found
+            break
         found = found.unionAll(frontier)
+    members = found.join(runs, F.col("c") == F.col("head")).select("root", F.col("v").alias("c"))
+    return found.unionAll(members)
 
 
 def introduced(edges: DataFrame, tips: DataFrame, marks: DataFrame) -> DataFrame:
@@ -64,6 +78,31 @@ def introduced(edges: DataFrame, tips: DataFrame, marks: DataFrame) -> DataFrame
     return new.join(old.join(valid, "root", "left_semi"), ["root", "c"], "left_anti").groupBy("c").agg(F.min("root").alias("root"))
 
 
+def snapshot_plan(refs: DataFrame, mode: str = "default") -> DataFrame:
+    """Every chosen ref's tip, compared with the empty tree: no history, no watermark, a tip of two refs comes twice."""
+    return start_set(refs, mode).select("name", "tip", F.lit(True).alias("snapshot_root"))
+
+
+def blob_findings(found: DataFrame) -> DataFrame:
+    """Findings of each blob, once per (root_start, root_end, rule_id, secret_hash), with the greatest confidence, and their number."""
+    one = found.groupBy("oid", "root_start", "root_end", "rule_id", "secret_hash").agg(F.max("confidence").alias("confidence"))
+    return one.groupBy("oid").agg(F.count("*").alias("n_findings"), F.max("confidence").alias("most"), F.count_distinct("secret_hash").alias("n_secrets"))
+
+
+def diff_candidates(commits: DataFrame, entries: DataFrame, merges: str = "all") -> DataFrame:
+    """Candidates of a history: for every commit and parent the entries that the commit adds or changes.
+
+    commits: (c, parent, parent_idx, topo), parent null for a root commit.
+    entries: (c, path, oid, mode), the flat tree of every commit.
+    """
+    pairs = merge_parents(commits, merges)
+    new = pairs.join(entries, "c").select("c", "parent_idx", "topo", "path", "oid", "mode")
+    old = pairs.join(entries.withColumnRenamed("c", "parent"), "parent").select("c", "parent_idx", "path", F.col("oid").alias("old_oid"), F.col("mode").alias("old_mode"))
+    rows = new.where(F.col("mode") != "160000").join(old, ["c", "parent_idx", "path"], "left")
+    was = F.col("old_oid").isNotNull() & (F.col("old_mode") != "160000")
+    return rows.where(~was | (F.col("oid") != F.col("old_oid"))).select("c", "parent_idx", "topo", "path", "oid", F.when(was, "modify").otherwise("add").alias("change"))
+
+
 def topological(commits: DataFrame) -> DataFrame:
     return commits.orderBy("generation", "oid")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shared import partitions, stored
+
 ACTIVE, SPLIT, DONE, PARKED = 0, 1, 2, 3
 OP_LOG = 16
 
@@ -31,20 +36,27 @@ def in_range(key: Column, start: Column, end: Column) -> Column:
     return ((start == "") | (key >= start)) & ((end == "") | (key < end))
 
 
+def by_key_range(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows dealt to ranges of whole keys of even size, with the range's number as _p, in the shared folder: ranges stay as they are."""
+    dealt = rows.repartitionByRange(4 * partitions(rows.sparkSession), F.col(key)).withColumn("_p", F.spark_partition_id())
+    return stored(dealt, name)
+
+
 def route(objects: DataFrame, shards: DataFrame, key: str = "key") -> DataFrame:
     """Each object with the shard whose range holds its key.
 
-    Shard starts and object keys are sorted together; the last start before a
-    key is its shard: one window per first characters of the key, no range join.
+    Shard starts and object keys are dealt to ranges of keys together and
+    sorted; the last start before a key, in its range or one before it, is its
+    shard.  No range join, no window over more than a range.
     """
     starts = shards.select(F.col("start").alias("_k"), F.lit(0).alias("_kind"), F.struct("shard_id", "start", "end").alias("_s"), F.lit(None).cast(objects.select(F.struct("*")).schema[0].dataType).alias("_o"))
     rows = objects.select(F.col(key).alias("_k"), F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_s"].dataType).alias("_s"), F.struct("*").alias("_o"))
-    both = starts.unionAll(rows).withColumn("_p", F.substring("_k", 1, 2))
+    both = by_key_range(starts.unionAll(rows), "_k", "routed")
     near = both.withColumn("_s", F.last("_s", True).over(Window.partitionBy("_p").orderBy("_k", "_kind")))
-    # A shard that starts under other first characters: the last one before them, few rows.
-    carry = starts.groupBy(F.substring("_k", 1, 2).alias("_p")).agg(F.max_by("_s", "_k").alias("_c"))
-    firsts = both.select("_p").distinct().join(carry, "_p", "left").withColumn("_c", F.last("_c", True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    out = near.where(F.col("_kind") == 1).join(firsts, "_p", "left").withColumn("_s", F.coalesce("_s", "_c"))
+    # The last start of the ranges before: one row per range.
+    ends = both.groupBy("_p").agg(F.max_by("_s", F.when(F.col("_kind") == 0, F.col("_k"))).alias("_c"))
+    carry = ends.select("_p", F.last("_c", True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    out = near.where(F.col("_kind") == 1).join(F.broadcast(carry), "_p", "left").withColumn("_s", F.coalesce("_s", "_c"))
     return out.where(in_range(F.col("_k"), F.col("_s.start"), F.col("_s.end"))).select("_o.*", F.col("_s.shard_id").alias("shard_id"))
 
 
@@ -69,17 +81,75 @@ def split_residual(shards: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def plan_shards(items: DataFrame, key: str, weight: str, n: int) -> DataFrame:
-    """About n ranges of even weight that tile all keys, cut between two-character prefixes.
+    """About n ranges of even weight that tile all keys, cut between any two keys.
 
-    One sum per prefix; the running total is over those, not over the items.
+    A key belongs to the range that its weight begins in, counted from the
+    least key.  Running sums are over ranges of keys, then inside each.
     """
-    sums = items.groupBy(F.substring(key, 1, 2).alias("p")).agg(F.sum(weight).alias("w"))
-    total = F.sum("w").over(Window.partitionBy(F.lit(1)))
-    before = F.sum("w").over(Window.partitionBy(F.lit(1)).orderBy("p")) - F.col("w")
-    cut = sums.withColumn("bucket", F.floor(before * n / total)).groupBy("bucket").agg(F.min("p").alias("start"), F.sum("w").alias("weight"))
-    order = Window.partitionBy(F.lit(1)).orderBy("start")
-    rows = cut.withColumns({"shard_id": F.row_number().over(order), "end": F.coalesce(F.lead("start").over(order), F.lit(""))})
-    return rows.select("shard_id", F.when(F.col("shard_id") == 1, "").otherwise(F.col("start")).alias("start"), "end", "weight")
+    sums = items.groupBy(F.col(key).alias("k")).agg(F.sum(weight).alias("w"))
+    rows = by_key_range(sums, "k", "planned")
+    parts = rows.groupBy("_p").agg(F.sum("w").alias("w"))
+    base = parts.select("_p", (F.sum("w").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")).alias("_base"), F.sum("w").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    before = F.col("_base") + F.sum("w").over(Window.partitionBy("_p").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    cut = rows.join(F.broadcast(base), "_p").withColumn("bucket", F.floor(before * n / F.col("_total"))).groupBy("bucket").agg(F.min("k").alias("start"), F.sum("w").alias("weight"))
+    order = Window.orderBy("start")
+    out = cut.withColumns({"shard_id": F.row_number().over(order), "end": F.coalesce(F.lead("start").over(order), F.lit(""))})
+    return out.select("shard_id", F.when(F.col("shard_id") == 1, "").otherwise(F.col("start")).alias("start"), "end", "weight")
+
+
+def list_shards(shards: DataFrame, now: int, status: int | None = None, leased: bool | None = None) -> DataFrame:
+    """Shards of a status, leased or free at a time; a lease whose deadline has passed is none."""
+    held = (F.col("status") == ACTIVE) & (F.coalesce("deadline", F.lit(0)) > now)
+    rows = shards.withColumn("is_leased", held)
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    return rows if leased is None else rows.where(F.col("is_leased") == leased)
+
+
+def claim_cooldown(claims: DataFrame, now: int, cooldown: int) -> DataFrame:
+    """Workers (worker, at, succeeded) with whether they may claim now, and when they may: a successful claim bars the next for a while."""
+    last = claims.groupBy("worker").agg(F.max(F.when(F.col("succeeded"), F.col("at"))).alias("_last"))
+    retry = F.coalesce(F.col("_last") + cooldown, F.lit(0))
+    return last.select("worker", (retry <= now).alias("may_claim"), retry.cast("long").alias("retry_at"))
+
+
+def hint(kind: Column, prefix: Column, manifest: Column, first: Column, end: Column) -> Column:
+    """A shard's routing hint in hex: range, prefix with its length, or rows of a manifest; null for rows that run backwards."""
+    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
+    return (
+        F.when(kind == "range", F.lit("00"))
+        .when(kind == "prefix", F.concat(F.lit("01"), wide(F.octet_length(prefix), 8), F.hex(prefix)))
+        .when((kind == "manifest") & (first < end), F.concat(F.lit("02"), wide(manifest, 16), wide(first, 16), wide(end, 16)))
+    )
+
+
+def hint_parts(code: Column) -> Column:
+    """A hint read back: kind, prefix, manifest, first, end, error."""
+    number = lambda at: F.conv(F.substring(code, at, 16), 16, -10).cast("long")
+    tag, size = F.substring(code, 1, 2), F.conv(F.substring(code, 3, 8), 16, 10).cast("long")
+    error = (
+        F.when(F.coalesce(F.length(code), F.lit(0)) == 0, "empty").when(~tag.isin("00", "01", "02"), "unknown tag")
+        .when((tag == "01") & ((F.length(code) < 10) | (F.length(code) < 10 + 2 * size)), "truncated prefix")
+        .when((tag == "02") & (F.length(code) < 50), "truncated manifest").when((tag == "02") & (number(19) >= number(35)), "rows inverted")
+    )
+    ok = error.isNull()
+    kind = F.when(ok, F.element_at(F.array(F.lit("range"), F.lit("prefix"), F.lit("manifest")), (F.conv(tag, 16, 10) + 1).cast("int")))
+    prefix = F.when(ok & (tag == "01"), F.decode(F.unhex(F.substring(code, F.lit(11), (2 * size).cast("int"))), "UTF-8"))
+    rows = lambda at: F.when(ok & (tag == "02"), number(at))
+    return F.struct(kind.alias("kind"), prefix.alias("prefix"), rows(3).alias("manifest"), rows(19).alias("first"), rows(35).alias("end"), error.alias("error"))
+
+
+def byte_midpoint(low: Column, high: Column) -> Column:
+    """A hex key half way between two hex keys: their mean as fractions of one byte more than the longer; null unless low < high."""
+
+    def half(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            n = max(len(x or ""), len(y or "")) + 2
+            mid = (int((x or "").ljust(n, "0"), 16) + int((y or "").ljust(n, "0"), 16)) // 2 if x is not None and y is not None and x < y else None
+            out.append(None if mid is None else re.sub("(?:00)+$", "", f"{mid:0{n}X}"))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(half, "string")(F.upper(low), F.upper(high))
 
 
 def run_progress(shards: DataFrame, now: int) -> DataFrame:
@@ -115,6 +185,47 @@ def op_conflicts(log: DataFrame) -> DataFrame:
 LEASE_SCHEMA = "shard_id long, seq long, op string, outcome string, fence long, owner long, deadline long, status int, cursor string"
 
 
+@dataclass
+class Lease:
+    """A shard's state between two operations."""
+
+    status: int = ACTIVE
+    fence: int = 0
+    owner: int | None = None
+    deadline: int = 0
+    cursor: str | None = None
+
+    def refusal(self, r) -> str | None:
+        """Why an operation is refused, if it is."""
+        if r.op == "unpark":
+            return None if self.status == PARKED else "not_parked"
+        if self.status != ACTIVE:
+            return "terminal"
+        if r.op == "acquire":
+            return "leased" if self.deadline > r.now else None
+        if r.fence != self.fence:
+            return "stale_fence"
+        if self.deadline <= r.now:
+            return "expired"
+        if self.owner != r.worker:
+            return "not_owner"
+        return "cursor_back" if r.op == "checkpoint" and self.cursor is not None and r.cursor < self.cursor else None
+
+    def apply(self, r) -> str:
+        if (refused := self.refusal(r)) is not None:
+            return refused
+        if r.op == "acquire":
+            self.fence, self.owner, self.deadline = self.fence + 1, r.worker, r.now + r.ttl
+        elif r.op == "renew":
+            self.deadline = max(self.deadline, r.now + r.ttl)
+        elif r.op == "checkpoint":
+            self.cursor = r.cursor
+        else:
+            self.status = {"unpark": ACTIVE, "complete": DONE}.get(r.op, PARKED)
+            self.owner, self.deadline = None, 0
+        return "ok"
+
+
 def replay(log: DataFrame) -> DataFrame:
     """Each operation of each shard's ordered log with its outcome and the shard's state after it.
 
@@ -123,54 +234,27 @@ def replay(log: DataFrame) -> DataFrame:
     depends on its own log only; a log is as long as its shard's life.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        status, fence, owner, deadline, cursor = ACTIVE, 0, None, 0, None
-        seen: dict[int, tuple[int, str]] = {}
-        out = []
-        for r in rows.sort_values("seq").itertuples():
-            done = seen.get(r.op_id)
-            if done is not None:
-                outcome = done[1] if done[0] == r.payload_hash else "op_conflict"
-                out.append((r.shard_id, r.seq, r.op, "replayed" if outcome == "ok" else outcome, fence, owner, deadline, status, cursor))
-                continue
-            outcome = "ok"
-            if r.op == "acquire":
-                if status != ACTIVE:
-                    outcome = "terminal"
-                elif deadline > r.now:
-                    outcome = "leased"
-                else:
-                    fence, owner, deadline = fence + 1, r.worker, r.now + r.ttl
-            elif r.op == "unpark":
-                if status != PARKED:
-                    outcome = "not_parked"
-                else:
-                    status, deadline, owner = ACTIVE, 0, None
-            elif status != ACTIVE:
-                outcome = "terminal"
-            elif r.fence != fence:
-                outcome = "stale_fence"
-            elif deadline <= r.now:
-                outcome = "expired"
-            elif owner != r.worker:
-                outcome = "not_owner"
-            elif r.op == "renew":
-                deadline = max(deadline, r.now + r.ttl)
-            elif r.op == "checkpoint":
-                if cursor is not None and r.cursor < cursor:
-                    outcome = "cursor_back"
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, lease, seen = None, Lease(), {}
+        for rows in parts:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.shard_id != shard:
+                    shard, lease, seen = r.shard_id, Lease(), {}
+                if r.op_id in seen:
+                    outcome = "replayed" if seen[r.op_id] == r.payload_hash else "op_conflict"
                 else:
-                    cursor = r.cursor
-            else:
-                status, deadline, owner = (DONE if r.op == "complete" else PARKED), 0, None
-            if outcome == "ok":
-                seen[r.op_id] = (r.payload_hash, outcome)
-                if len(seen) > OP_LOG:
-                    seen.pop(next(iter(seen)))
-            out.append((r.shard_id, r.seq, r.op, outcome, fence, owner, deadline, status, cursor))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LEASE_SCHEMA.split(", ")]).astype({"owner": "Int64"})
-
-    return log.groupBy("shard_id").applyInPandas(fold, LEASE_SCHEMA)
+                    outcome = lease.apply(r)
+                    if outcome == "ok":
+                        seen[r.op_id] = r.payload_hash
+                        if len(seen) > OP_LOG:
+                            seen.pop(next(iter(seen)))
+                out.append((r.shard_id, r.seq, r.op, outcome, lease.fence, lease.owner, lease.deadline, lease.status, lease.cursor))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEASE_SCHEMA.split(", ")]).astype({"owner": "Int64"})
+
+    # Logs pass through in order; what is kept of them is one lease and the last operations, whatever their length.
+    dealt = log.repartition(partitions(log.sparkSession), "shard_id").sortWithinPartitions("shard_id", "seq")
+    return dealt.select("shard_id", "seq", "now", "op", "worker", "fence", "ttl", "cursor", "op_id", "payload_hash").mapInPandas(fold, LEASE_SCHEMA)
 
 
 def child_id(parent: Column, op: Column, index: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.functions import bytespace as B
 from lodestone.operators import content as C
+from lodestone.operators import detect as D
+from lodestone.operators import wholescan as W
+from lodestone.shared import scratch, stored
+from lodestone.sources import readers, sinks
 from lodestone.sources.readers import table
+from lodestone.sources.rules import parse
 from lodestone.streaming import pipeline as S
 
 _NAMES = ("a.py", "b.test.js", "c.PNG", "Cargo.lock", ".env", ".env.local", "n.ipynb", "K.class", "app.jar", "m.pyc", "noext", "x.tar.gz", "y.tgz", "z.zip", "q.bz2", "r.gz", "t.tar")
@@ -152,23 +155,94 @@ def event_windows(spark, sf_dir):
 EVENT_WINDOWS_SQL = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
+TOKEN_RULE = """
+- name: hex-token
+  regex: 'token = "([0-9a-f]{40})"'
+  anchors: [token]
+  radius: 128
+"""
+
+
 def stream_scan(spark, sf_dir):
-    """Events read as a stream; findings (purchases) and ledger entries merged batch by batch; run twice, the second adds nothing."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone").rstrip("/") + f"/lodestone-stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    items = stream.selectExpr("'t' AS tenant_id", "'p' AS policy_hash", "cast(event_id AS string) AS ovid_hash", "user_id", "event_type", "value")
+    """Documents read as a stream, each with one token line, scanned by one rule; findings and ledger entries merged batch by batch."""
+    base, rules = scratch(spark, "stream"), parse(TOKEN_RULE)
+    schema = table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    line = F.concat(F.lit('\ntoken = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('"\n'))
+    items = stream.select(F.lit("t").alias("tenant_id"), F.lit("p").alias("policy_hash"), F.col("doc_id").cast("string").alias("ovid_hash"), F.concat("text", line).alias("text"))
 
     def scan(rows):
-        found = rows.where("event_type = 'purchase' OR value > 50").select("ovid_hash", "user_id", "event_type")
-        entries = rows.selectExpr("tenant_id", "policy_hash", "ovid_hash", "CASE WHEN event_type = 'purchase' OR value > 50 THEN 11 ELSE 10 END AS status", "1L AS bytes_scanned", "CASE WHEN event_type = 'purchase' OR value > 50 THEN 1 ELSE 0 END AS findings_count", "1L AS run_id", "1L AS shard_id", "1L AS fence_epoch", "1L AS started_at", "2L AS finished_at", "cast(NULL AS string) AS error_code")
+        found = D.scan(rows, rules, id_col="ovid_hash").select(F.col("object_id").alias("ovid_hash"), "name", "root_start", "span_start", "span_end", "secret_hash")
+        some = found.groupBy("ovid_hash").agg(F.count("*").cast("int").alias("findings_count"))
+        long = lambda x, name: F.lit(x).cast("long").alias(name)
+        entries = rows.join(some, "ovid_hash", "left").select("tenant_id", "policy_hash", "ovid_hash", F.when(F.col("findings_count") > 0, 11).otherwise(10).alias("status"), F.octet_length("text").cast("long").alias("bytes_scanned"), F.coalesce("findings_count", F.lit(0)).alias("findings_count"), *[long(1, c) for c in ("run_id", "shard_id", "fence_epoch", "started_at", "finished_at")], F.lit(None).cast("string").alias("error_code"))
         return found, entries
 
-    S.scan_stream(items, scan, base + "/findings", base + "/ledger", base + "/checkpoint", ["ovid_hash"])
-    return spark.read.parquet(base + "/findings").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    S.scan_stream(items, scan, base + "/findings", base + "/ledger", base + "/checkpoint", ["ovid_hash", "span_start", "secret_hash"])
+    found, done = sinks.read_table(spark, base + "/findings"), sinks.read_table(spark, base + "/ledger")
+    both = done.join(found.groupBy("ovid_hash").agg(F.count("*").alias("n"), F.max("span_start").alias("last")), "ovid_hash", "left")
+    return both.select(F.col("ovid_hash").cast("long").alias("doc_id"), "status", F.coalesce("n", F.lit(0)).alias("n"), "last", "bytes_scanned")
+
+
+STREAM_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'token = "' || sha1(doc_id::VARCHAR) || '"' || chr(10) AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_extract_all(t, 'token = "[0-9a-f]{40}"') AS w FROM d)
+SELECT doc_id, 11 AS status, len(w) AS n, octet_length(encode(t)) - 42 AS last, octet_length(encode(t)) AS bytes_scanned FROM m
+"""
+
+
+def whole_scan(spark, sf_dir):
+    """Every document as a file (text, .env, notebook, gzip, binary or lock file in turn), through the whole scan: status and findings of each."""
+    import gzip
+
+    names = ("a.txt", ".env", "n.ipynb", "z.gz", "p.png", "go.sum")
+    line = F.concat(F.lit('token = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('"'))
+    kind = (F.col("doc_id") % len(names)).cast("int")
+    plain = F.concat(F.translate(F.coalesce("text", F.lit("")), "\"'\\", "   "), F.lit("\n"), line, F.lit("\n"))
+    note = F.concat(F.lit('{"cells":[{"cell_type":"code","source":'), F.to_json(F.struct(line.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(line.alias("x")))) - 6), F.lit("}]}"))
+    body = F.when(kind == 1, F.concat(F.lit("K='"), line, F.lit("'\n"))).when(kind == 2, note).otherwise(plain)
+    path = F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(F.array(*[F.lit(n) for n in names]), kind + 1))
+
+    def pack(parts):
+        for pdf in parts:
+            pdf["content"] = [gzip.compress(c) if p.endswith(".gz") else c for p, c in zip(pdf.path, pdf.content, strict=True)]
+            yield pdf
+
+    files = table(spark, sf_dir, "documents").where("doc_id is not null").select(path.alias("path"), F.encode(body, "UTF-8").alias("content")).mapInPandas(pack, "path string, content binary")
+    findings, ledger = W.scan_files(stored(files, "files"), parse(TOKEN_RULE), depth=1)
+    some = findings.groupBy("ovid_hash").agg(F.count_distinct("finding_id").alias("n_found"), F.max("object_id").alias("path"))
+    return ledger.join(some, "ovid_hash", "left").groupBy("status", F.regexp_extract("path", "[^/]*$", 0).alias("file")).agg(F.count("*").alias("n_files"), F.sum(F.when(F.col("n_found") > 0, 1).otherwise(0)).alias("n_with"))
+
+
+WHOLE_SQL = """
+SELECT CASE WHEN doc_id % 6 < 4 THEN 11 ELSE 3 END AS status, CASE WHEN doc_id % 6 < 4 THEN ['a.txt', '.env', 'n.ipynb', 'z.gz'][(doc_id % 6)::INT + 1] END AS file, count(*) AS n_files, sum(CASE WHEN doc_id % 6 < 4 THEN 1 ELSE 0 END)::BIGINT AS n_with FROM documents WHERE doc_id IS NOT NULL GROUP BY 1, 2
+"""
+
 
+def source_findings(spark, sf_dir):
+    """Findings written as JSON lines and read again."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("concat('f', l_orderkey) AS path", "l_partkey AS start", "l_partkey + 10 AS end", "concat('r', l_suppkey % 7) AS rule", "cast(l_quantity AS int) % 11 AS confidence")
+    path = scratch(spark, "jsonl")
+    sinks.write_jsonl(rows, path)
+    return readers.findings_jsonl(spark, path).where("ok").groupBy("rule").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("confidence_score").alias("confidence"))
 
-STREAM_SQL = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'purchase' OR value > 50 GROUP BY event_type"
+
+SOURCE_FINDINGS_SQL = "SELECT 'r' || (l_suppkey % 7) AS rule, count(*) AS n, sum(l_partkey)::BIGINT AS starts, sum(l_quantity::INT % 11)::BIGINT AS confidence FROM lineitem GROUP BY 1"
+
+
+def source_creddata(spark, sf_dir):
+    """Labelled rows written as CSV and read again, some of them bad."""
+    line = lambda c: f"CASE WHEN o_orderkey % 10 = 3 THEN 'x' ELSE cast({c} AS string) END"
+    rows = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey AS string) AS Id", "'f' AS FileID", "'d' AS Domain", "'r' AS RepoName", "concat('p', o_custkey) AS FilePath", f"{line('o_custkey')} AS LineStart", "cast(o_custkey + o_orderkey % 5 - 1 AS string) AS LineEnd", "element_at(array('T', 'F', 'X', 'Q'), cast(o_orderkey % 4 AS int) + 1) AS GroundTruth", "'' AS ValueStart", "'' AS ValueEnd", "'' AS CryptographyKey", "'' AS PredefinedPattern", "'Secret:Key' AS Category")
+    path = scratch(spark, "creddata")
+    rows.write.option("header", "true").csv(path)
+    return readers.creddata(spark, path).groupBy("label", "skipped").agg(F.count("*").alias("n"), F.sum("line_start").alias("starts"))
+
+
+SOURCE_CREDDATA_SQL = """
+WITH r AS (SELECT ['positive', 'negative', 'placeholder', NULL][(o_orderkey % 4)::INT + 1] AS label, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END AS a, o_custkey + o_orderkey % 5 - 1 AS b FROM orders)
+SELECT label, CASE WHEN label IS NULL THEN 'unknown label' WHEN a IS NULL THEN 'bad line' WHEN a < 1 OR b < a THEN 'bad range' END AS skipped, count(*) AS n, sum(a)::BIGINT AS starts FROM r GROUP BY 1, 2
+"""
 
 QUERIES = {
     "classify_content": (classify_content, CLASSIFY_SQL),
@@ -180,4 +254,7 @@ QUERIES = {
     "extract_files": (extract_files, EXTRACT_SQL),
     "event_windows": (event_windows, EVENT_WINDOWS_SQL),
     "stream_scan": (stream_scan, STREAM_SQL),
+    "whole_scan": (whole_scan, WHOLE_SQL),
+    "source_findings": (source_findings, SOURCE_FINDINGS_SQL),
+    "source_creddata": (source_creddata, SOURCE_CREDDATA_SQL),
 }

@@ -12,6 +12,7 @@ from lodestone.functions import validators as V
 from lodestone.operators import detect as D
 from lodestone.operators import evaluation as E
 from lodestone.sources.readers import table
+from lodestone.sources.rules import parse
 
 TOKEN = r'(?i)token\s{0,3}=\s{0,3}"([0-9a-f]{40})"'
 
@@ -141,6 +142,24 @@ SELECT doc_id, whole[i] AS matched, (list_sum(list_transform(gaps[1:i], lambda g
 """
 
 
+EMAIL_RULE = f"- {{name: address, regex: '{EMAIL}', anchors: ['@'], radius: 256}}"
+
+
+def scan_rule(spark, sf_dir):
+    """The whole scan with a file of one rule: addresses and where they stand."""
+    docs = table(spark, sf_dir, "documents")
+    found = D.scan(docs, parse(EMAIL_RULE), id_col="doc_id", depth=0)
+    return found.select(F.col("object_id").alias("doc_id"), F.col("secret").alias("matched"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), "confidence")
+
+
+SCAN_RULE_SQL = f"""
+WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS whole, regexp_split_to_array(text, '{EMAIL}') AS gaps FROM documents WHERE contains(text, '@')),
+x AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+y AS (SELECT doc_id, whole[i] AS matched, (list_sum(list_transform(gaps[1:i], lambda g: octet_length(encode(g)))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: octet_length(encode(g)))), 0))::BIGINT AS start FROM x)
+SELECT doc_id, matched, start, start + len(matched) AS "end", 0 AS confidence FROM y
+"""
+
+
 def window_islands(spark, sf_dir):
     hits = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 2000).alias("w_start"), (F.col("l_partkey") % 2000 + F.col("l_quantity").cast("long") * 4).alias("w_end"))
     return D.window_islands(hits, ["l_orderkey"])
@@ -295,6 +314,7 @@ QUERIES = {
     "gate_safelists": (gate_safelists, GATE_SAFELISTS_SQL),
     "gate_local_context": (gate_local_context, GATE_LOCAL_SQL),
     "match_spans": (match_spans, MATCH_SPANS_SQL),
+    "scan_rule": (scan_rule, SCAN_RULE_SQL),
     "window_islands": (window_islands, WINDOW_ISLANDS_SQL),
     "in_object_dedup": (in_object_dedup, IN_OBJECT_SQL),
     "cross_rule_dedup": (cross_rule_dedup, CROSS_RULE_SQL),

@@ -72,6 +72,34 @@ def start_refs(spark, sf_dir):
 START_REFS_SQL = "SELECT ['refs/heads/', 'refs/tags/'][(c_custkey % 4)::INT + 1] || c_name AS name, c_custkey AS tip FROM customer WHERE c_custkey % 4 < 2"
 
 
+def snapshot_plan(spark, sf_dir):
+    refs = table(spark, sf_dir, "customer").selectExpr("concat(element_at(array('refs/heads/', 'refs/tags/', 'refs/remotes/', 'refs/notes/'), cast(c_custkey % 4 AS int) + 1), c_name) AS name", "c_custkey % 9 AS tip", "c_custkey = 8 AS is_default")
+    return G.snapshot_plan(refs, "remotes")
+
+
+SNAPSHOT_SQL = "SELECT 'refs/remotes/' || c_name AS name, c_custkey % 9 AS tip, true AS snapshot_root FROM customer WHERE c_custkey % 4 = 2"
+
+
+def blob_findings(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS oid", "l_linenumber AS root_start", "l_linenumber + 9 AS root_end", "l_suppkey % 3 AS rule_id", "l_returnflag AS secret_hash", "cast(l_quantity AS int) % 11 AS confidence")
+    return G.blob_findings(rows)
+
+
+BLOB_SQL = "WITH o AS (SELECT l_partkey AS oid, l_linenumber, l_suppkey % 3 AS r, l_returnflag AS h, max(l_quantity::INT % 11) AS c FROM lineitem GROUP BY ALL) SELECT oid, count(*) AS n_findings, max(c) AS most, count(DISTINCT h) AS n_secrets FROM o GROUP BY oid"
+
+
+def diff_history(spark, sf_dir):
+    """Candidates of histories of 32 orders: an order's lines are its tree; excluded paths do not introduce; each blob once."""
+    commits = _edges(spark, sf_dir).selectExpr("c", "parent", "parent_idx", "c AS topo")
+    entries = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS c", "concat(element_at(array('src/', 'vendor/'), cast(l_linenumber % 2 AS int) + 1), l_linenumber, '.c') AS path", "l_partkey % 500 AS oid", "'100644' AS mode").groupBy("c", "path", "mode").agg(F.min("oid").alias("oid"))
+    return G.first_introductions(G.diff_candidates(commits, entries, "first"), "^vendor/").select("oid", "topo", "path", "change")
+
+
+DIFF_SQL = f"""WITH {EDGES_SQL}, n AS (SELECT l_orderkey AS c, ['src/', 'vendor/'][(l_linenumber % 2)::INT + 1] || l_linenumber || '.c' AS path, min(l_partkey % 500) AS oid FROM lineitem GROUP BY 1, 2),
+d AS (SELECT n.oid, e.c AS topo, n.path, CASE WHEN o.oid IS NULL THEN 'add' ELSE 'modify' END AS change FROM e JOIN n ON n.c = e.c LEFT JOIN n o ON o.c = e.parent AND o.path = n.path WHERE e.parent_idx = 0 AND (o.oid IS NULL OR o.oid <> n.oid) AND NOT n.path LIKE 'vendor/%')
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY oid ORDER BY topo, path) = 1"""
+
+
 def _trees(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     old = li.where("l_linenumber <> 3").selectExpr("concat(l_orderkey, '/', l_linenumber) AS path", "l_partkey AS oid", "CASE WHEN l_partkey % 29 = 0 THEN '160000' ELSE '100644' END AS mode")
@@ -174,7 +202,27 @@ SELECT f.path, label, count(*) AS pairs FROM f JOIN t ON f.path = t.path AND t.a
 
 
 def greedy_match(spark, sf_dir):
-    return E.greedy_match(_lined(spark, sf_dir), _truth(spark, sf_dir))
+    """Paths of sixteen orders each: findings are their lines, truth items their orders."""
+    f = table(spark, sf_dir, "lineitem").selectExpr("concat('f', floor(l_orderkey / 16)) AS path", *[f"{e} AS {n}" for n, e in _FINDINGS.items() if n != "path"])
+    f = E.dedup_by_rule(f).withColumns({"f_start": F.col("start") + 0, "f_end": F.col("start") + 1})
+    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS truth_id", "concat('f', floor(o_orderkey / 16)) AS path", "o_custkey % 50 AS line_start", "o_custkey % 50 + 2 AS line_end", "CASE o_orderkey % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'placeholder' ELSE 'positive' END AS label", "concat('group:rule-', o_custkey % 3, ':rule-', o_orderkey % 7) AS rule")
+    return E.greedy_match(f, t, require_rule_match=False).unionAll(E.greedy_match(f.withColumn("path", F.concat(F.lit("by-rule/"), "path")), t.withColumn("path", F.concat(F.lit("by-rule/"), "path")), require_rule_match=True))
+
+
+GREEDY_SQL = """
+WITH RECURSIVE f0 AS (SELECT 'f' || (l_orderkey // 16) AS path, l_partkey % 50 AS s, l_partkey % 50 + 10 AS e, 'rule-' || (l_suppkey % 7) AS rule, max(l_quantity::INT % 11) AS conf FROM lineitem GROUP BY ALL),
+f1 AS (SELECT path, s, e, rule, conf, false AS strict FROM f0 UNION ALL SELECT 'by-rule/' || path, s, e, rule, conf, true FROM f0),
+f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY conf DESC, s, e, rule) AS k FROM f1),
+t0 AS (SELECT o_orderkey AS id, 'f' || (o_orderkey // 16) AS path, o_custkey % 50 AS a, o_custkey % 50 + 2 AS b, o_orderkey % 4 AS l, ['group', 'rule-' || (o_custkey % 3), 'rule-' || (o_orderkey % 7)] AS parts FROM orders),
+t1 AS (SELECT * FROM t0 UNION ALL SELECT id, 'by-rule/' || path, a, b, l, parts FROM t0),
+t AS (SELECT path, list({'id': id, 'a': a, 'b': b, 'l': l, 'parts': parts} ORDER BY a, b, id) AS items FROM t1 GROUP BY path),
+c AS (SELECT f.*, list_transform(list_filter(coalesce(items, []), lambda x: x.l >= 2 AND x.a <= s + 1 AND x.b >= s AND (NOT strict OR list_contains(x.parts, rule))), lambda x: x.id) AS pos,
+  list_transform(list_filter(coalesce(items, []), lambda x: x.l = 0 AND x.a <= s + 1 AND x.b >= s AND (NOT strict OR list_contains(x.parts, rule))), lambda x: x.id) AS neg FROM f LEFT JOIN t ON f.path = t.path),
+w AS (SELECT path, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS hit FROM (SELECT DISTINCT path FROM f)
+  UNION ALL SELECT w.path, c.k, CASE WHEN len(list_filter(c.pos, lambda x: NOT list_contains(w.used, x))) > 0 THEN list_append(w.used, list_filter(c.pos, lambda x: NOT list_contains(w.used, x))[1]) ELSE w.used END,
+    list_filter(c.pos, lambda x: NOT list_contains(w.used, x))[1] FROM w JOIN c ON c.path = w.path AND c.k = w.k + 1)
+SELECT c.path, c.s AS start, c.e AS "end", c.rule, c.conf AS confidence, CASE WHEN hit IS NOT NULL THEN 'tp' WHEN len(neg) > 0 THEN 'fp' ELSE 'unlabeled' END AS outcome, coalesce(hit, neg[1]) AS truth_id FROM c JOIN w ON c.path = w.path AND c.k = w.k
+"""
 
 
 def _scored(spark, sf_dir):
@@ -338,6 +386,9 @@ QUERIES = {
     "git_topological": (topological, TOPO_SQL),
     "git_merge_parents": (merge_parents, MERGE_SQL),
     "git_start_refs": (start_refs, START_REFS_SQL),
+    "git_snapshot_plan": (snapshot_plan, SNAPSHOT_SQL),
+    "git_blob_findings": (blob_findings, BLOB_SQL),
+    "git_diff_history": (diff_history, DIFF_SQL),
     "git_tree_diff": (tree_diff, TREE_DIFF_SQL),
     "git_first_introductions": (first_introductions, FIRST_SQL),
     "git_unseen_blobs": (unseen_blobs, UNSEEN_SQL),
@@ -346,7 +397,7 @@ QUERIES = {
     "eval_dedup_by_rule": (dedup_by_rule, BY_RULE_SQL),
     "eval_dedup_across_rules": (dedup_across_rules, ACROSS_SQL),
     "eval_truth_candidates": (truth_candidates, CANDIDATE_SQL),
-    "eval_greedy_match": (greedy_match, None),
+    "eval_greedy_match": (greedy_match, GREEDY_SQL),
     "eval_pr_curve": (pr_curve, PR_SQL),
     "eval_average_precision": (average_precision, AP_SQL),
     "eval_confusion": (confusion, CONFUSION_SQL),

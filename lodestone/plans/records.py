@@ -211,27 +211,73 @@ SELECT parent_id, count(*) AS n_children, min(CASE WHEN e <= s THEN 'inverted' W
 """
 
 
+_FILE = "concat('/data/repo/file', lpad(cast({} as string), 9, '0'))"
+_FILE_SQL = "'/data/repo/file' || lpad(({})::VARCHAR, 9, '0')"
+
+
 def shard_route(spark, sf_dir):
-    objects = table(spark, sf_dir, "customer").selectExpr("c_custkey", "md5(cast(c_name AS binary)) AS key")
-    shards = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS shard_id", "CASE WHEN n_nationkey = 0 THEN '' ELSE lower(lpad(hex(n_nationkey * 10), 2, '0')) END AS start", "CASE WHEN n_nationkey = 24 THEN '' ELSE lower(lpad(hex(n_nationkey * 10 + 10), 2, '0')) END AS end")
+    """Keys with a long common prefix; shards of 25 customers each, the outer ones open."""
+    c = table(spark, sf_dir, "customer")
+    objects = c.selectExpr("c_custkey", _FILE.format("c_custkey") + " AS key")
+    shards = c.selectExpr("floor(c_custkey / 25) AS shard_id").distinct().selectExpr("shard_id", f"CASE WHEN shard_id = 0 THEN '' ELSE {_FILE.format('shard_id * 25')} END AS start", f"CASE WHEN shard_id % 7 = 6 THEN {_FILE.format('shard_id * 25 + 20')} ELSE {_FILE.format('shard_id * 25 + 25')} END AS end")
     return S.route(objects, shards).select("c_custkey", "shard_id")
 
 
-ROUTE_SQL = "SELECT c_custkey, n_nationkey AS shard_id FROM customer JOIN nation ON (n_nationkey = 0 OR md5(c_name) >= lower(lpad(to_hex(n_nationkey * 10), 2, '0'))) AND (n_nationkey = 24 OR md5(c_name) < lower(lpad(to_hex(n_nationkey * 10 + 10), 2, '0')))"
+ROUTE_SQL = "SELECT c_custkey, (c_custkey // 25)::BIGINT AS shard_id FROM customer WHERE NOT ((c_custkey // 25) % 7 = 6 AND c_custkey % 25 >= 20)"
 
 
 def plan_shards(spark, sf_dir):
-    return S.plan_shards(table(spark, sf_dir, "orders").selectExpr("md5(cast(cast(o_orderkey AS string) AS binary)) AS key", "o_custkey AS w"), "key", "w", 16)
+    return S.plan_shards(table(spark, sf_dir, "orders").selectExpr(_FILE.format("o_orderkey") + " AS key", "o_custkey AS w"), "key", "w", 16)
 
 
-PLAN_SQL = """
-WITH s AS (SELECT substring(md5(o_orderkey::VARCHAR), 1, 2) AS p, sum(o_custkey)::BIGINT AS w FROM orders GROUP BY 1),
-b AS (SELECT p, w, floor((sum(w) OVER (ORDER BY p) - w) * 16 / sum(w) OVER ()) AS b FROM s), c AS (SELECT b, min(p) AS s, sum(w)::BIGINT AS weight FROM b GROUP BY b),
+PLAN_SQL = f"""
+WITH s AS (SELECT {_FILE_SQL.format('o_orderkey')} AS k, sum(o_custkey)::BIGINT AS w FROM orders GROUP BY 1),
+b AS (SELECT k, w, floor((sum(w) OVER (ORDER BY k) - w) * 16 / sum(w) OVER ()) AS b FROM s), c AS (SELECT b, min(k) AS s, sum(w)::BIGINT AS weight FROM b GROUP BY b),
 r AS (SELECT *, row_number() OVER (ORDER BY s) AS shard_id, coalesce(lead(s) OVER (ORDER BY s), '') AS e FROM c)
 SELECT shard_id, CASE WHEN shard_id = 1 THEN '' ELSE s END AS start, e AS "end", weight FROM r
 """
 
 
+def list_shards(spark, sf_dir):
+    return S.list_shards(_shards(spark, sf_dir), 100, S.ACTIVE, True).groupBy("run_id").agg(F.count("*").alias("n"), F.min("shard_id").alias("first"))
+
+
+LIST_SQL = "SELECT o_custkey % 100 AS run_id, count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 200 > 100 GROUP BY 1"
+
+
+def claim_cooldown(spark, sf_dir):
+    claims = table(spark, sf_dir, "events").selectExpr("user_id AS worker", "event_id AS at", "event_type = 'purchase' AS succeeded")
+    return S.claim_cooldown(claims, 900, 100)
+
+
+COOLDOWN_SQL = "WITH c AS (SELECT user_id AS worker, coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) + 100, 0)::BIGINT AS retry_at FROM events GROUP BY 1) SELECT worker, retry_at <= 900 AS may_claim, retry_at FROM c"
+
+
+def shard_hints(spark, sf_dir):
+    """Hints of three kinds, some cut short, read back."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "element_at(array('range', 'prefix', 'manifest'), cast(c_custkey % 3 AS int) + 1) AS kind", "c_name AS prefix", "c_custkey AS manifest", "c_nationkey AS first", "cast(c_custkey % 40 AS long) AS end")
+    code = S.hint(*[F.col(x) for x in ("kind", "prefix", "manifest", "first", "end")])
+    cut = F.when(F.col("c_custkey") % 11 == 0, F.expr("substring(code, 1, length(code) - 2)")).otherwise(F.col("code"))
+    return rows.withColumn("code", code).select("c_custkey", "code", S.hint_parts(cut).alias("h")).select("c_custkey", "code", "h.*")
+
+
+HINTS_SQL = """
+WITH r AS (SELECT c_custkey, c_custkey % 3 AS k, c_name, c_nationkey AS a, c_custkey % 40 AS b, c_custkey % 11 = 0 AS cut FROM customer),
+c AS (SELECT *, CASE k WHEN 0 THEN '00' WHEN 1 THEN '01' || lpad(to_hex(octet_length(encode(c_name))), 8, '0') || hex(encode(c_name)) ELSE CASE WHEN a < b THEN '02' || lpad(to_hex(c_custkey), 16, '0') || lpad(to_hex(a), 16, '0') || lpad(to_hex(b), 16, '0') END END AS code FROM r),
+e AS (SELECT *, CASE WHEN code IS NULL OR (cut AND k = 0) THEN 'empty' WHEN cut AND k = 1 THEN 'truncated prefix' WHEN cut THEN 'truncated manifest' END AS error FROM c)
+SELECT c_custkey, code, CASE WHEN error IS NULL THEN ['range', 'prefix', 'manifest'][k::INT + 1] END AS kind, CASE WHEN error IS NULL AND k = 1 THEN c_name END AS prefix,
+  CASE WHEN error IS NULL AND k = 2 THEN c_custkey END AS manifest, CASE WHEN error IS NULL AND k = 2 THEN a END AS first, CASE WHEN error IS NULL AND k = 2 THEN b END AS "end", error FROM e
+"""
+
+
+def byte_midpoints(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "lpad(hex(c_custkey * 7 % 65536), 4, '0') AS low", "lpad(hex(c_custkey * 13 % 65536), 4, '0') AS high")
+    return rows.select("c_custkey", S.byte_midpoint(F.col("low"), F.col("high")).alias("mid"))
+
+
+MIDPOINT_SQL = "WITH m AS (SELECT c_custkey, c_custkey * 7 % 65536 AS a, c_custkey * 13 % 65536 AS b FROM customer) SELECT c_custkey, CASE WHEN a < b THEN regexp_replace(upper(lpad(to_hex(((a + b) * 256) // 2), 6, '0')), '(00)+$', '') END AS mid FROM m"
+
+
 def split_residual(spark, sf_dir):
     shards = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS shard_id", "lpad(cast(n_nationkey * 10 AS string), 3, '0') AS start", "CASE WHEN n_nationkey = 24 THEN '' ELSE lpad(cast(n_nationkey * 10 + 10 AS string), 3, '0') END AS end")
     points = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("shard_id")).agg(F.lpad((F.max("c_nationkey") * 10 + F.count("*") % 15).cast("string"), 3, "0").alias("point"))
@@ -331,6 +377,10 @@ QUERIES = {
     "shard_coverage": (shard_coverage, COVERAGE_SQL),
     "shard_route": (shard_route, ROUTE_SQL),
     "plan_shards": (plan_shards, PLAN_SQL),
+    "list_shards": (list_shards, LIST_SQL),
+    "claim_cooldown": (claim_cooldown, COOLDOWN_SQL),
+    "shard_hints": (shard_hints, HINTS_SQL),
+    "byte_midpoints": (byte_midpoints, MIDPOINT_SQL),
     "split_residual": (split_residual, RESIDUAL_SQL),
     "split_point": (split_point, SPLIT_SQL),
     "run_progress": (run_progress, PROGRESS_SQL),

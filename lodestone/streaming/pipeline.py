@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import ledger as L
-from lodestone.sources.sinks import merge_into
+from lodestone.sources.sinks import merge_into, read_table
 
 
 def scan_stream(objects: DataFrame, scan: Callable[[DataFrame], tuple[DataFrame, DataFrame]], findings_path: str, ledger_path: str, checkpoint: str, finding_keys: list[str]):
@@ -20,16 +20,10 @@ def scan_stream(objects: DataFrame, scan: Callable[[DataFrame], tuple[DataFrame,
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        try:
-            done = spark.read.parquet(ledger_path)
-            rows = L.left_to_scan(rows, done)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        found, entries = scan(rows)
-        merge_into(findings_path, found, lambda all_: all_.dropDuplicates(finding_keys))
-        merge_into(ledger_path, entries, L.merge)
+        done = read_table(rows.sparkSession, ledger_path)
+        found, entries = scan(rows if done is None else L.left_to_scan(rows, done))
+        merge_into(findings_path, found, lambda all_: all_.dropDuplicates(finding_keys), finding_keys)
+        merge_into(ledger_path, entries, L.merge, L.KEYS)
 
     query = objects.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
