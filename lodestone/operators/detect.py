@@ -26,6 +26,7 @@ from lodestone.functions import bytespace as B
 from lodestone.functions import codecs as C
 from lodestone.functions import gates as G
 from lodestone.functions import validators as V
+from lodestone.shared import spread
 from lodestone.sources.rules import load, python_regex, rules_df
 
 MERGE_GAP = 64
@@ -153,7 +154,7 @@ def decoded_runs(buf: bytes, transforms: tuple[str, ...]) -> Iterator[tuple[str,
         for m in _URL.finditer(buf):
             if b"%" in m[0] and (out := unquote_to_bytes(m[0])) != m[0]:
                 yield "url", m.start(), m.end(), out
-    if "base64" in transforms and any(len(x) >= 32 for x in buf.translate(_RUNS).split(b" ")):
+    if "base64" in transforms and max(map(len, buf.translate(_RUNS).split(b" "))) >= 32:
         for m in _BASE64.finditer(buf):
             if len(m[0].translate(None, b"\r\n\t =")) >= 32 and (out := _base64(m[0])):
                 yield "base64", m.start(), m.end(), out
@@ -230,7 +231,7 @@ def text_matches(objects: DataFrame, rules: list[dict], id_col: str, text_col: s
                 dropped.append(lost)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_MATCH)), pa.array(dropped, pa.int32())], names=["object_id", "found", "dropped"])
 
-    return picked.mapInArrow(run, schema)
+    return spread(picked).mapInArrow(run, schema)
 
 
 # -- gates of a match ------------------------------------------------------------------------------

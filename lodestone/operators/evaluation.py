@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.detect import best_of
+from lodestone.shared import partitions
 
 EPS = 1e-12
 BLOCK_DROP, WARN_DROP = 0.02, 0.005
@@ -54,26 +58,43 @@ def greedy_match(findings: DataFrame, truth: DataFrame, require_rule_match: bool
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = f.unionAll(t).withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = rows.where("f is not null").select("path", "island", "a", "b", "f.*")
-    items = rows.where("t is not null").select("path", "island", "a", "b", F.col("t.truth_id").alias("truth_id"), F.col("t.label").alias("label"), F.col("t.rule").alias("t_rule"))
-
-    def run(f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        free = list(t[t.label == "positive"].sort_values(["a", "b", "truth_id"]).itertuples(index=False))
-        negative = list(t[t.label == "negative"].sort_values(["a", "b", "truth_id"]).itertuples(index=False))
-        out = []
-        for r in f.sort_values(["confidence", "start", "end", "rule"], ascending=[False, True, True, True]).itertuples(index=False):
-            meets = lambda i, r=r: i.a <= r.b and i.b >= r.a and (not require_rule_match or r.rule in (i.t_rule or "").split(":"))
+    names = ["start", "end", "rule", "confidence", "truth_id", "label", "t_rule"]
+    flat = rows.select("path", "island", "a", "b", "f.start", "f.end", "f.rule", "f.confidence", "t.truth_id", "t.label", F.col("t.rule").alias("t_rule"))
+    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("confidence", pa.int32()), ("outcome", pa.string()), ("truth_id", pa.int64())])
+
+    def judged(island: list[dict]) -> Iterator[tuple]:
+        def items(label: str) -> list[dict]:
+            return sorted((r for r in island if r["label"] == label), key=lambda r: (r["a"], r["b"], r["truth_id"]))
+
+        free, negative = items("positive"), items("negative")
+        found = sorted((r for r in island if r["label"] is None and r["start"] is not None), key=lambda r: (-r["confidence"], r["start"], r["end"], r["rule"]))
+        for r in found:
+            meets = lambda i, r=r: i["a"] <= r["b"] and i["b"] >= r["a"] and (not require_rule_match or r["rule"] in (i["t_rule"] or "").split(":"))
             at = next((k for k, i in enumerate(free) if meets(i)), None)
             if at is not None:
-                outcome, item = "tp", free.pop(at).truth_id
+                outcome, item = "tp", free.pop(at)["truth_id"]
             else:
-                item = next((i.truth_id for i in negative if meets(i)), None)
+                item = next((i["truth_id"] for i in negative if meets(i)), None)
                 outcome = "unlabeled" if item is None else "fp"
-            out.append((r.path, r.start, r.end, r.rule, r.confidence, outcome, item))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in MATCHED.split(", ")])
-        return frame.astype({"truth_id": "Int64"})
+            yield r["path"], r["start"], r["end"], r["rule"], r["confidence"], outcome, item
 
-    return found.groupBy("path", "island").cogroup(items.groupBy("path", "island")).applyInPandas(run, MATCHED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if held and (held[0]["path"], held[0]["island"]) != (row["path"], row["island"]):
+                    out.extend(judged(held))
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
+        out = list(judged(held))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
+
+    # Islands pass through one after the other: a task holds one of them.
+    dealt = flat.repartition(partitions(findings.sparkSession), "path", "island").sortWithinPartitions("path", "island")
+    typed = dealt.select("path", "island", "a", "b", *[F.col(n).cast(t).alias(n) for n, t in zip(names, ("long", "long", "string", "int", "long", "string", "string"), strict=True)])
+    return typed.mapInArrow(run, MATCHED)
 
 
 def confusion(classified: DataFrame, positives: int | Column) -> DataFrame:

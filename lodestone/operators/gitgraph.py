@@ -39,7 +39,7 @@ def segments(edges: DataFrame, starts: DataFrame) -> DataFrame:
         runs = step.select("v", "head")
 
 
-def reach(edges: DataFrame, tips: DataFrame, hops: int = 2) -> DataFrame:
+def reach(edges: DataFrame, tips: DataFrame, hops: int = 4) -> DataFrame:
     """Commits that tips (root, c) reach by edges (c, parent): pairs (root, c), tips included.
 
     Linear runs of commits are shrunk to one vertex first; a round then

@@ -37,3 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Inputs up to this size are dealt to all cores before costly work.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt to all cores: one file of one row group would be one task.  Larger ones stay where they are read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES and not df.isStreaming else df
