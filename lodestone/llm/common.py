@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.shared import partitions, scratch, shared_dir, stored
+
+__all__ = ["BATCH_ROWS", "partitions", "scratch", "shared_dir", "small_batches", "stored", "table", "unused"]
+
 #: Rows per Arrow batch handed to Python; texts are long, so the Spark default of 10,000 is too many.
 BATCH_ROWS = 512
 
@@ -22,41 +23,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the setting is absent (single-machine tests) a temporary
-    folder is made and set as checkpoint directory.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(columns: list[str], name: str) -> str:
     """The name, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}
     while name.lower() in taken:
         name = "_" + name
     return name
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
