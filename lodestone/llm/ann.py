@@ -100,8 +100,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = stored(rows.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf"))), "vectors")
+    # Squares of very small or large components leave the doubles' range: the norm is taken of components over the largest.
+    most = F.array_max(F.transform("v", F.abs))
+    norm = F.col("most") * F.sqrt(F.aggregate(F.transform("v", lambda x: x / F.col("most")), F.lit(0.0), lambda a, x: a + x * x))
+    rows = stored(rows.withColumn("most", most).where(F.col("most") > 0).withColumn("norm", norm).drop("most"), "vectors")
     size = rows.agg(F.max(F.size("v")).alias("dims"), F.max("norm").alias("norm"), F.min("norm").alias("least"), F.count("*").alias("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if size["dims"] is None:
@@ -116,7 +118,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             for batch in batches:
                 x = np.zeros((batch.num_rows, turns.dims))
                 x[:, :dims] = matrix(batch.column(1), dims)
-                x /= np.linalg.norm(x, axis=1, keepdims=True) if batch.num_rows else 1
+                if batch.num_rows:
+                    x /= np.abs(x).max(axis=1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
                 found = turns.buckets(x, n).reshape(batch.num_rows, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["vec_id", "v", "buckets"])

@@ -5,7 +5,8 @@ A template is a line of licence wording with markup: text between
 ``<<var;name="...";max=N>>`` stands for 0 to N arbitrary words.  A template is
 compiled into a token automaton; it accepts a run of words whose mandatory
 wording matches exactly, word for word.  Base phrases are templates without
-markup whose every place is counted.
+markup whose every place is counted.  Optional regions at a template's edges
+would change nothing, since a template may match anywhere.
 
 Rows: one result per input row.  A null text counts as empty: no words, no
 labels, score 0.  Very long texts are scanned whole.  Repeated rows give
@@ -30,16 +31,38 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
+_NO_WARRANTY = 'this software is provided by <<var;name="by";max=12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;name="who";max=12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage'
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_1_2 = f'{_BSD} <<var;name="item";max=1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<var;name="item";max=1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution'
+_BSD_NAMES = '<<var;name="item";max=1>> neither the name of <<var;name="holder";max=12>> nor the names of <<var;name="others";max=4>> may be used to endorse or promote products derived from this software without specific prior written permission'
+_BSD_AD = '<<var;name="item";max=1>> all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<var;name="holder";max=12>>'
+_GNU = 'is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version <<var;name="version";max=2>> of the license or <<beginOptional>> at your option <<endOptional>> any later version'
+
 # Licence wordings with optional and replaceable regions.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2.0 <<beginOptional>> the license <<endOptional>>",
-    "bsd": 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met',
-    "cc-by-nc-4.0": "<<beginOptional>> licensed under <<endOptional>> cc by nc 4.0 <<beginOptional>> international <<endOptional>>",
-    "cc-by-sa-4.0": "<<beginOptional>> licensed under <<endOptional>> cc by sa 4.0 <<beginOptional>> international <<endOptional>>",
+    "0bsd": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties",
+    "agpl-notice": _GNU.format("affero general"),
+    "apache-2.0": "licensed under the apache license version 2.0",
+    "apache-2.0-notice": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<beginOptional>> https <<endOptional>> <<beginOptional>> http <<endOptional>> <<beginOptional>> www apache org licenses license 2.0 <<endOptional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd": _BSD,
+    "bsd-2-clause": f"{_BSD_1_2} {_NO_WARRANTY}",
+    "bsd-3-clause": f"{_BSD_1_2} {_BSD_NAMES} {_NO_WARRANTY}",
+    "bsd-4-clause": f"{_BSD_1_2} {_BSD_AD} {_BSD_NAMES} {_NO_WARRANTY}",
+    "cc-by-nc-4.0": "cc by nc 4.0",
+    "cc-by-nc-4.0-notice": 'licensed under <<beginOptional>> a <<endOptional>> creative commons attribution <<beginOptional>> noncommercial <<endOptional>> <<beginOptional>> non commercial <<endOptional>> 4.0 international <<beginOptional>> public <<endOptional>> license',
+    "cc-by-sa-4.0": "cc by sa 4.0",
     "copyright-notice": 'copyright <<beginOptional>> c <<endOptional>> <<var;name="holder";max=8>> all rights reserved',
-    "gpl-notice": 'licensed under the <<beginOptional>> gnu <<endOptional>> general public license <<beginOptional>> as published by the free software foundation <<endOptional>> <<beginOptional>> either <<endOptional>> version <<var;name="version";max=1>>',
+    "gpl-header": _GNU.format("general"),
+    "gpl-notice": 'licensed under the <<beginOptional>> gnu <<endOptional>> general public license <<beginOptional>> as published by the free software foundation <<endOptional>> <<beginOptional>> either <<endOptional>> version',
+    "isc": "permission to use copy modify <<beginOptional>> and <<endOptional>> <<beginOptional>> or <<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;name=\"who\";max=6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;name=\"who\";max=6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "lgpl-notice": _GNU.format("lesser general"),
     "mit": "released under the mit license",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>> including the next paragraph <<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;name=\"who\";max=8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-text": 'permission is hereby granted free of charge to any person obtaining a copy of this software <<var;name="files";max=6>> to deal in the software without restriction',
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at <<beginOptional>> https <<endOptional>> <<beginOptional>> http <<endOptional>> mozilla org mpl 2.0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
@@ -132,9 +155,10 @@ def scan_text(text: str | None, base: dict[str, str], templates: tuple[tuple[str
     base_labels, labels = set(), set()
     for phrase, label in base.items():
         needle = b" " + phrase.encode() + b" "
-        at = line.find(needle)
+        at, blanks, last = line.find(needle), 0, 0
         while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+            blanks, last = blanks + line.count(b" ", last, at), at  # each stretch is counted once
+            starts.append(blanks)
             base_labels.add(label)
             at = line.find(needle, at + 1)
     for label, literal, automaton in compiled(templates):
@@ -179,7 +203,22 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def sql_pattern(markup: str) -> str:
+    """A template as a regular expression over words that are each followed by a space."""
+    out = [" "]
+    for kind, rest, text in _MARK.findall(markup):
+        if text:
+            out += [w.decode() + " " for w in words_of(text)]
+        elif kind == "var":
+            most = re.search(r"max=(\d+)", rest)
+            out.append("([^ ]+ ){0,%s}" % (most[1] if most else 1))
+        else:
+            out.append("(" if kind == "beginOptional" else ")?")
+    return "".join(out)
+
+
 _NORMAL = r"regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+_TEMPLATE_CASES = ",\n      ".join(f"CASE WHEN regexp_matches(t, '{sql_pattern(m)}') THEN '{label}' END" for label, m in sorted(TEMPLATES.items()))
 OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, ' ' || trim({_NORMAL}, ' ') || ' ' AS t FROM documents
@@ -195,14 +234,7 @@ WITH d AS (
   SELECT *, list_concat(cc, list_concat(gpl, res)) AS places,
     list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base,
     list_filter([
-      CASE WHEN regexp_matches(t, ' licensed under the apache license version 2 0 ') THEN 'apache-2.0' END,
-      CASE WHEN regexp_matches(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd' END,
-      CASE WHEN regexp_matches(t, ' cc by nc 4 0 ') THEN 'cc-by-nc-4.0' END,
-      CASE WHEN regexp_matches(t, ' cc by sa 4 0 ') THEN 'cc-by-sa-4.0' END,
-      CASE WHEN regexp_matches(t, ' copyright (c )?([^ ]+ ){{0,8}}all rights reserved ') THEN 'copyright-notice' END,
-      CASE WHEN regexp_matches(t, ' licensed under the (gnu )?general public license (as published by the free software foundation )?(either )?version ') THEN 'gpl-notice' END,
-      CASE WHEN regexp_matches(t, ' released under the mit license ') THEN 'mit' END,
-      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of this software ([^ ]+ ){{0,6}}to deal in the software without restriction ') THEN 'mit-text' END
+      {_TEMPLATE_CASES}
     ], lambda x: x IS NOT NULL) AS found
   FROM p
 )

@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in an order drawn from a hash of their ids, are cut
-into blocks of about ``block_size`` characters.  With weight w, block j
-(from 0) may be released at slot floor(j / w) and is due by slot
-ceil((j + 1) / w).  In every slot the earliest deadline among the released
-blocks goes first.  Weights are rounded to whole slots of a period, so that
-the schedule repeats: one period is worked out once (a table of ``period``
-rows) and a block's slot follows from its number alone.  As long as no source
-has run out, no source is a whole block ahead of or behind its weight; slots
-of a source that has run out stay empty, and every row keeps its place.
+into blocks of ``block_size`` characters.  With weight w (an exact fraction of
+the sum of all weights), block j (from 0) may be released at slot floor(j / w)
+and is due by slot ceil((j + 1) / w).  In every slot the earliest deadline
+among the released blocks goes first.  As long as no source has run out, no
+source is a whole block ahead of or behind its weight; slots that would be those
+of a source that has run out stay empty where nothing else is released, and every row keeps its
+place within its block's release and deadline.
+
+The schedule is worked out once, block by block, from the sources' sizes: the
+blocks are at most ``max_slots`` and one for each source, since larger tables
+get larger blocks.  Sources are named by one row each on the driver: more than
+``MAX_SOURCES`` are refused, for so many a weight of their own says nothing.
 
 Block numbers come from sums per (source, hash range) and a running sum
 inside each range: no source is ever in one task.
@@ -21,97 +25,96 @@ result.  Extra columns stay.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions, table
+from lodestone.llm.common import partitions, stored, table
 
 MIX = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset")
-BLOCK_SIZE, PERIOD, RANGE_BITS = 1 << 16, 1024, 12
-
-
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source: largest remainders, one slot at least."""
-    names = sorted(weights)
-    if any(not weights[n] > 0 for n in names):
-        raise ValueError("weights must be positive")
-    period, total = max(period, len(names)), sum(weights.values())
-    exact = {n: weights[n] / total * period for n in names}
-    got = {n: max(1, int(exact[n])) for n in names}
-    while sum(got.values()) < period:
-        got[max(names, key=lambda n: exact[n] - got[n])] += 1
-    while sum(got.values()) > period:
-        got[min((n for n in names if got[n] > 1), key=lambda n: exact[n] - got[n])] -= 1
-    return got
-
-
-def period_schedule(got: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    period = sum(got.values())
-    done, order = dict.fromkeys(got, 0), []
-    for slot in range(period):
-        ready = [(-(-(done[n] + 1) * period // q), n) for n, q in got.items() if done[n] < q and done[n] * period // q <= slot]
-        name = min(ready)[1]
-        done[name] += 1
-        order.append(name)
-    return order
-
-
-def natural_weights(docs: DataFrame, source_col: str, text_col: str, temperature: float) -> dict[str, float]:
-    """Weights by size to the power of temperature; one number per source reaches the driver."""
-    size = F.greatest(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1))
-    rows = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).agg(F.sum(size).alias("n")).collect()
-    return {r["s"]: float(r["n"]) ** temperature for r in rows}
-
-
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, block_size: int = BLOCK_SIZE, period: int = PERIOD, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+#: Least characters of a block, most blocks of a schedule (it is broadcast: some 30 bytes each), most sources.
+BLOCK_SIZE, MAX_SLOTS, RANGE_BITS, MAX_SOURCES = 1 << 16, 1 << 20, 12, 100_000
+
+
+def fractions(weights: dict[str, float | Fraction]) -> dict[str, Fraction]:
+    """Exact shares of the sum."""
+    if any(not w > 0 or w == float("inf") for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    exact = {n: Fraction(w) for n, w in weights.items()}
+    total = sum(exact.values())
+    return {n: w / total for n, w in exact.items()}
+
+
+def release(j: int, w: Fraction) -> int:
+    return j * w.denominator // w.numerator
+
+
+def deadline(j: int, w: Fraction) -> int:
+    return -(-(j + 1) * w.denominator // w.numerator)
+
+
+def edf(blocks: dict[str, int], weights: dict[str, Fraction]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks: in each slot the earliest deadline among the released goes first."""
+    waiting = [(0, n) for n, count in sorted(blocks.items()) if count]
+    heapq.heapify(waiting)
+    done, ready, slot = dict.fromkeys(blocks, 0), [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, n = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline(done[n], weights[n]), n))
+        due, n = heapq.heappop(ready)
+        j = done[n]
+        yield n, j, release(j, weights[n]), due, slot
+        done[n], slot = j + 1, slot + 1
+        if j + 1 < blocks[n]:
+            heapq.heappush(waiting, (release(j + 1, weights[n]), n))
+
+
+def sizes_of(rows: DataFrame) -> dict[str, int]:
+    """Characters of each source, from sums per (source, hash range); one number per source reaches the driver."""
+    found = rows.groupBy("_src").agg(F.sum("_sum").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: name groups of them")
+    return {r["_src"]: int(r["n"]) for r in found}
+
+
+def schedule(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, temperature: float = 0.7, block_size: int = BLOCK_SIZE, max_slots: int = MAX_SLOTS, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with mix_block, mix_release, mix_deadline, mix_slot, mix_offset, in place of columns of these names.
 
-    Weights default to the sources' sizes to the power of temperature.  A
-    source without a weight gets the least weight given.  mix_offset orders
-    the rows of one block.
+    Weights default to the sources' sizes to the power of temperature; they
+    may be Fractions.  A source without a weight gets the least weight given.
+    mix_offset orders the rows of one block.
     """
     spark = docs.sparkSession
     docs = docs.drop(*MIX)
-    weights = dict(weights or natural_weights(docs, source_col, text_col, temperature))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    if not weights:
-        return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in MIX])
-    named = {r["s"] for r in docs.select(source.alias("s")).distinct().collect()}
-    least = min(weights.values())
-    got = quotas({n: weights.get(n, least) for n in named | set(weights)}, period)
-    order = period_schedule(got)
-    total, seen, table_rows = len(order), dict.fromkeys(got, 0), []
-    for slot, name in enumerate(order):
-        table_rows.append((name, seen[name], got[name], slot))
-        seen[name] += 1
-    plan = spark.createDataFrame(table_rows, "_s string, _nth long, _quota long, _slot long")
-
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), source.alias("_src"), F.greatest(F.length(text), F.lit(1)).cast("long").alias("_size"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.sha1(text.cast("binary"))), F.lit(seed)).alias("_h"), F.xxhash64(text).alias("_t"))
     rows = rows.withColumn("_range", F.shiftrightunsigned("_h", 64 - RANGE_BITS))
-    sums = rows.groupBy("_src", "_range").agg(F.sum("_size").alias("_sum"))
+    sums = stored(rows.groupBy("_src", "_range").agg(F.sum("_size").alias("_sum")), "sizes")
+    sizes = sizes_of(sums)
+    if not sizes:
+        return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in MIX])
+    given = dict(weights or {n: float(size) ** temperature for n, size in sizes.items()})
+    least = min(given.values())
+    shares = fractions({n: given.get(n, least) for n in sizes.keys() | given.keys()})
+    block_size = max(block_size, -(-sum(sizes.values()) // max_slots))
+    order = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*edf({n: -(-size // block_size) for n, size in sizes.items()}, shares), strict=True), (pa.string(), *[pa.int64()] * 4), strict=True)], names=["_s", "_block", "mix_release", "mix_deadline", "mix_slot"])
+    plan = stored(spark.createDataFrame(order), "slots")
+
     base = sums.select("_src", "_range", (F.sum("_sum").over(Window.partitionBy("_src").orderBy("_range")) - F.col("_sum")).alias("_base"))
     run = Window.partitionBy("_src", "_range").orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(base, ["_src", "_range"]).withColumn("_at", F.col("_base") + F.sum("_size").over(run) - F.col("_size"))
+    # One row per source and hash range, and one per block: both sizes are bounded by parameters.
+    rows = rows.join(F.broadcast(base) if len(sizes) <= 256 else base, ["_src", "_range"]).withColumn("_at", F.col("_base") + F.sum("_size").over(run) - F.col("_size"))
     rows = rows.withColumn("mix_block", F.floor(F.col("_at") / block_size))
-    quota = F.create_map(*[x for n, q in got.items() for x in (F.lit(n), F.lit(q))]) if len(got) <= 64 else None
-    if quota is None:
-        small = spark.createDataFrame(list(got.items()), "_n string, _q long")
-        rows = rows.join(small, rows["_src"] == small["_n"])
-    else:
-        rows = rows.withColumn("_q", F.element_at(quota, F.col("_src")).cast("long"))
-    rows = rows.withColumn("_k", F.col("mix_block") % F.col("_q"))
-    # One period: its size is a parameter.
-    rows = rows.join(F.broadcast(plan.select("_s", "_nth", "_slot")), (F.col("_src") == F.col("_s")) & (F.col("_k") == F.col("_nth")))
-    whole = F.floor(F.col("mix_block") / F.col("_q"))
-    return rows.select(
-        "_row.*", "mix_block",
-        F.floor(F.col("mix_block") * total / F.col("_q")).alias("mix_release"),
-        F.ceil((F.col("mix_block") + 1) * total / F.col("_q")).alias("mix_deadline"),
-        (whole * total + F.col("_slot")).alias("mix_slot"),
-        (F.col("_at") - F.col("mix_block") * block_size).alias("mix_offset"),
-    )
+    rows = rows.join(F.broadcast(plan), (F.col("_src") == F.col("_s")) & (F.col("mix_block") == F.col("_block")))
+    return rows.select("_row.*", "mix_block", "mix_release", "mix_deadline", "mix_slot", (F.col("_at") - F.col("mix_block") * block_size).alias("mix_offset"))
 
 
 def interleave(docs: DataFrame, **options) -> DataFrame:

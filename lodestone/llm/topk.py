@@ -12,8 +12,12 @@ scores exactly.
 Queries meet all rows in blocks (at most ``BLOCK_QUERIES`` x ``BLOCK_ROWS``);
 only entries that pass a cutoff leave a task.
 
-Components are ``floor(scale * x)``, clipped to 2^28 in size so that 64
-products fit a long.  Vectors that are null, empty or hold null or non-finite
+Components are ``floor(scale * x)``.  Rows with a component of more than LIMIT
+in size go another way, since sums of their products may pass what a double
+holds exactly: they meet all rows, as queries and as candidates, in blocks of
+Python integers, and the best of both ways are ranked together.  Scores that do
+not fit a long are given as its nearest end; their ranks are exact up to 38
+digits.  Vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id; shorter vectors are
 filled with zeros; rows that repeat an id count once (the greatest vector).
 Ties go to the smaller id.  Extra columns are ignored.
@@ -21,39 +25,70 @@ Ties go to the smaller id.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.llm.ann import usable
 from lodestone.llm.common import stored, table
 
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
-LIMIT = 1 << 28
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_LARGE = 4096, 512, 1024
+#: Components up to this size are multiplied as doubles: up to 2,048 products of them sum up exactly.
+LIMIT = 1 << 21
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    whole = F.transform("v", lambda x: F.floor(F.least(F.greatest(x * F.lit(scale), F.lit(-float(LIMIT))), F.lit(float(LIMIT)))))
-    return usable(vectors, id_col, vec_col).select("vec_id", whole.alias("v"))
+    """vec_id, v (whole numbers as doubles), large (whether any passes LIMIT)."""
+    scaled = F.transform("v", lambda x: x * F.lit(scale))
+    # From 2^53 on doubles are whole numbers.
+    whole = F.transform(scaled, lambda y: F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y))
+    rows = usable(vectors, id_col, vec_col).select("vec_id", whole.alias("v"))
+    return rows.withColumn("large", F.exists("v", lambda x: F.abs(x) > F.lit(float(LIMIT))) | (F.size("v") > 2048))
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     column = column.combine_chunks()
-    flat, lengths = np.asarray(column.flatten(), dtype=np.int64), np.diff(np.asarray(column.offsets))
+    flat, lengths = np.asarray(column.flatten(), dtype=np.float64), np.diff(np.asarray(column.offsets))
     if len(lengths) and (lengths == dims).all():
         return flat.reshape(-1, dims)
-    out = np.zeros((len(lengths), dims), dtype=np.int64)
+    out = np.zeros((len(lengths), dims))
     out[np.arange(dims)[None, :] < lengths[:, None]] = flat
     return out
 
 
 def partials(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point where sums stay below 2^53."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if top < 2.0**53:
-        return np.rint(q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+    """Exact integer products of rows that are not large."""
+    return np.rint(q @ x.T).astype(np.int64)
+
+
+def large_pairs(rows: DataFrame, queries: Column, k: int, n: int, n_large: int) -> DataFrame:
+    """query_id, vec_id, exact (decimal): the k best of each query among the pairs with a large row, by block."""
+    scale = lambda x: max(1, -(-x // BLOCK_LARGE))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+
+    def paired(candidates: DataFrame, asked: DataFrame, nb: int, nq: int) -> DataFrame:
+        c = candidates.select(F.pmod(F.xxhash64("vec_id"), F.lit(nb)).cast("int").alias("b"), every(nq).alias("qb"), "vec_id", "v")
+        q = asked.select(every(nb).alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        return c.groupBy("b", "qb").cogroup(q.groupBy("b", "qb")).applyInArrow(exact, "query_id long, vec_id long, exact decimal(38,0)")
+
+    def exact(left: pa.Table, right: pa.Table) -> pa.Table:
+        most = 10**38 - 1
+        whole = lambda column: [[int(x) for x in v] for v in column.to_pylist()]
+        ids, x = left["vec_id"].to_pylist(), whole(left["v"])
+        out: list[tuple[int, int, Decimal]] = []
+        for name, q in zip(right["query_id"].to_pylist(), whole(right["q"]), strict=True):
+            scores = ((sum(a * b for a, b in zip(q, v, strict=False)), i) for i, v in zip(ids, x, strict=True) if i != name)
+            out += [(name, i, Decimal(max(-most, min(most, s)))) for s, i in heapq.nsmallest(k, scores, key=lambda t: (-t[0], t[1]))]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[], [], []], (pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], names=["query_id", "vec_id", "exact"])
+
+    big, asked = rows.where("large"), rows.where(queries)
+    small = paired(big, asked.where(~F.col("large")), scale(n_large), scale(n))
+    return small.unionAll(paired(rows, asked.where("large"), scale(n), scale(n_large)))
 
 
 ENTRY = "query_id long, list int, vec_id long, partial long, low long"
@@ -71,9 +106,22 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     depth = max(k, depth or 4 * k)
     rows = stored(integers(vectors, id_col, vec_col, scale), "integers")
     schema = "query_id long, rank int, vec_id long, score long"
+    total = rows.agg(F.count("*").alias("n"), F.count_if("large").alias("large")).first()
+    found = small_pairs(rows.where(~F.col("large")).drop("large"), queries, k, lists, depth).withColumn("exact", F.col("score").cast("decimal(38,0)"))
+    if total["large"]:
+        both = found.select("query_id", "vec_id", "exact").unionAll(large_pairs(rows, queries, k, total["n"], total["large"]))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))
+        clamped = F.least(F.greatest(F.col("exact"), F.lit(-(1 << 63)).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)"))
+        found = both.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", clamped.cast("long"))
+    return found.select("query_id", "rank", "vec_id", "score").to(StructType.fromDDL(schema))
+
+
+def small_pairs(rows: DataFrame, queries: Column, k: int, lists: int, depth: int) -> DataFrame:
+    """query_id, rank, vec_id, score of rows that are not large, in three phases."""
+    spark = rows.sparkSession
     size = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q"), F.max(F.size("v")).alias("dims")).first()
     if not size["q"]:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = -(-size["dims"] // lists)
     nb, nq = -(-size["n"] // BLOCK_ROWS), -(-size["q"] // BLOCK_QUERIES)
     cut = F.explode(F.array(*[F.struct(F.lit(g).alias("list"), F.slice("v", g * width + 1, width).alias("part")) for g in range(lists)]))
@@ -135,7 +183,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     def resolved(pairs: DataFrame) -> DataFrame:
         """The exact scores of (query_id, vec_id)."""
         both = pairs.join(rows, "vec_id").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
-        product = F.zip_with("v", "q", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long")))
+        product = F.zip_with("v", "q", lambda a, b: F.coalesce((a * b).cast("long"), F.lit(0).cast("long")))
         return both.select("query_id", "vec_id", total(product).alias("score"))
 
     one = stored(sides(None).applyInArrow(first_phase, ENTRY), "topk1")

@@ -1,28 +1,34 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
 Texts are folded first: lower case, homoglyphs (Cyrillic, Greek, full-width)
-to Latin letters, digit and sign substitutions (``1d10t``, ``$cum``) to the
-letters that they stand for, everything else that is no letter to one space.
+to Latin letters, digit and sign substitutions (``1d10t``, ``$cum``) in words
+that hold a letter to the letters that they stand for (but ``!`` and ``|`` after
+the last letter are punctuation), everything else that is no letter to one
+space.
 Lexicon entries are whole words or word beginnings; at each word the strongest
-entry counts, entries inside an exception phrase do not count.  The summed
+entry counts, entries inside an exception phrase do not count; exceptions are
+fixed phrases and word pairs that labelled rows show to be harmless.  The summed
 weight, its share of the text's length, the strongest entry and their logs go
 into a logistic score.
 
 Weights and the logistic score are learned from a bounded sample of labelled
 rows (``max_labels``, chosen by a hash of the id): document frequencies by
-label in one part of them give the entries' log-odds, the other part fits the
+label in one part of them give the entries' log-odds (an entry needs support and
+weight; their number follows from the sample's bound), the other part fits the
 score.  Scoring covers every row and whole texts in one narrow pass.
 
 Null and empty texts have no entries and get the score of a text without any.
 With no labelled rows, or only one label among them, every row gets the share
 of label 1 among the sampled rows (0 if there are none).  Labels that are null
-are skipped; of repeated labels of one id the largest counts.  Repeated rows
+are skipped; of repeated labels of one id the largest counts, of its repeated
+texts the greatest.  Repeated rows
 give repeated results; extra columns stay or are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +43,9 @@ from lodestone.llm.common import small_batches, table, unused
 
 #: Labelled rows that are read at most; the bound on what is joined by broadcast.
 MAX_LABELS = 20_000
-#: Entries of a lexicon at most; it travels to every task.
-MAX_ENTRIES = 4_000
 MIN_STEM, MAX_STEM = 4, 8
+#: A word pair with an entry is an exception if so many rows of label 0 and none of label 1 have it.
+SAFE_DOCS = 4
 
 # Letters that look like Latin ones.
 HOMOGLYPHS = {
@@ -57,16 +63,24 @@ EXCEPTIONS = (
 
 _FULL = {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(0xFF10 + i): chr(48 + i) for i in range(10)}
 _ODD = str.maketrans(HOMOGLYPHS | _FULL)
-_BYTES = bytearray(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-for _k, _v in SUBSTITUTES.items():
-    _BYTES[ord(_k)] = ord(_v)
-_BYTES = bytes(_BYTES)
+#: Letters stay, everything else becomes a space; and the same with substitutes read as letters.
+_PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_AS_LETTERS = bytes(ord(SUBSTITUTES[chr(c)]) if chr(c) in SUBSTITUTES else x for c, x in enumerate(_PLAIN))
+_SIGNS = "".join(SUBSTITUTES).encode()
+_RUN = re.compile(rb"[a-z\x80-\xff" + re.escape(_SIGNS) + rb"]*[" + re.escape(_SIGNS) + rb"][a-z\x80-\xff" + re.escape(_SIGNS) + rb"]*")
+_LETTER = re.compile(rb"[a-z\x80-\xff]")
 #: Lead bytes of the letters above: IPA, Greek, Cyrillic, Armenian, dotless i, full width; and general punctuation.
 _ODD_LEADS = [bytes([x]) for x in (0xC4, 0xC9, 0xCA, 0xCD, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xEF)]
-_MARKS = str.maketrans(dict.fromkeys("‐‑‒–—‘’“”… «»", " ") | dict.fromkeys("​‌‍⁠­", ""))
+_MARKS = str.maketrans(dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u00a0\u00ab\u00bb", " ") | dict.fromkeys("\u200b\u200c\u200d\u2060\u00ad", ""))
 _MARK_LEADS = (b"\xe2\x80", b"\xe2\x81", b"\xc2")
 
 
+def _substituted(m: re.Match) -> bytes:
+    """A run of letters and substitutes: no word without a letter; ! and | after the last letter are punctuation."""
+    run = m[0]
+    return run.rstrip(b"!|").translate(_AS_LETTERS) + b" " if _LETTER.search(run) else b" "
+
+
 def fold(text: str | None) -> str:
     """The folded words, each after one space, and a last space; one char per UTF-8 byte."""
     low = (text or "").lower()
@@ -77,12 +91,26 @@ def fold(text: str | None) -> str:
             raw = low.encode("utf-8", "surrogatepass")
         if any(x in raw for x in _MARK_LEADS):
             raw = low.translate(_MARKS).encode("utf-8", "surrogatepass")
-    return (b" " + b" ".join(raw.translate(_BYTES).split()) + b" ").decode("latin-1")
+    return (b" " + b" ".join(_RUN.sub(_substituted, raw).translate(_PLAIN).split()) + b" ").decode("latin-1")
 
 
 def word_features(word: str) -> list[str]:
-    """The whole word, and its beginnings (in bytes) that can be entries."""
-    return [f" {word} ", *(f" {word[:n]}" for n in range(MIN_STEM, min(MAX_STEM, len(word)) + 1))]
+    """The whole word, and its beginnings of MIN_STEM to MAX_STEM characters, that can be entries."""
+    if word.isascii():
+        return [f" {word} ", *(f" {word[:n]}" for n in range(MIN_STEM, min(MAX_STEM, len(word)) + 1))]
+    chars = word.encode("latin-1").decode("utf-8", "replace")
+    return [f" {word} ", *(" " + chars[:n].encode("utf-8").decode("latin-1") for n in range(MIN_STEM, min(MAX_STEM, len(chars)) + 1))]
+
+
+def outside(places: list[int], spans: list[tuple[int, int]]) -> set[int]:
+    """The places that lie in none of the spans; one walk over both."""
+    spans, out, at, reach = sorted(spans), set(), 0, -1
+    for x in sorted(places):
+        while at < len(spans) and spans[at][0] <= x:
+            reach, at = max(reach, spans[at][1]), at + 1
+        if x >= reach:
+            out.add(x)
+    return out
 
 
 @dataclass
@@ -93,6 +121,8 @@ class Model:
     coef: list[float] = field(default_factory=list)
     prior: float = 0.0
     exceptions: tuple[str, ...] = EXCEPTIONS
+    #: Word pairs with an entry that labelled rows show to be harmless.
+    learned: tuple[str, ...] = ()
 
     def automaton(self):
         import ahocorasick
@@ -100,7 +130,7 @@ class Model:
         found = ahocorasick.Automaton()
         for pattern, weight in self.entries.items():
             found.add_word(pattern, (len(pattern), weight))
-        for phrase in self.exceptions:
+        for phrase in (*self.exceptions, *self.learned):
             if fold(phrase) not in self.entries:
                 found.add_word(fold(phrase), (len(fold(phrase)), None))
         if len(found):
@@ -117,7 +147,7 @@ class Model:
                 spans.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        hits = [w for at, w in best.items() if not any(a <= at < b for a, b in spans)]
+        hits = [best[at] for at in sorted(outside(list(best), spans))]
         words = line.count(" ") - 1
         total = sum(hits)
         return [1.0, math.log1p(total), max(hits, default=0.0), 10.0 * total / (words + 20.0)]
@@ -138,10 +168,12 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     picked = one.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return texts.join(F.broadcast(picked), "_id").select("_id", "_text", "_y", (F.crc32(F.col("_id").cast("string").cast("binary")) % 5 == 4).alias("_fit"))
+    # An id that repeats is one row, the greatest text: the bound holds for rows too.
+    texts = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.max("_text").alias("_text"))
+    return texts.select("_id", "_text", "_y", (F.crc32(F.col("_id").cast("string").cast("binary")) % 5 == 4).alias("_fit"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, max_entries: int = MAX_ENTRIES, min_docs: int = 3, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, min_docs: int = 3, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learn the lexicon from document frequencies, then fit the score on other rows."""
     rows = labelled(docs, labels, id_col, text_col, label_col, max_labels).cache()
     try:
@@ -169,9 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows.where(~F.col("_fit")).select("_text", "_y").mapInArrow(counts, "entry string, pos long, neg long")
             .groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .where((F.col("pos") >= min_docs) & (F.col("neg") * n1 * 20 <= F.col("pos") * n0))
-            .select("entry", "pos", weight.alias("w")).orderBy(F.desc(F.col("w") * F.log1p("pos")), "entry").limit(max_entries).collect()
+            .select("entry", weight.alias("w")).collect()
         )
         model.entries = {r["entry"]: float(r["w"]) for r in found}
+        model.learned = safe_pairs(rows.where(~F.col("_fit")).select("_text", "_y"), model)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = model.automaton()
@@ -188,6 +221,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows.unpersist()
 
 
+def safe_pairs(rows: DataFrame, model: Model) -> tuple[str, ...]:
+    """Pairs of an entry's word and the word before or after it that SAFE_DOCS rows of label 0 have and none of label 1."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Model(entries=model.entries, exceptions=()).automaton()
+        for batch in batches:
+            out = []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                line, seen = fold(text), set()
+                for end, (n, _) in automaton.iter(line) if len(automaton) else ():
+                    at = end - n + 1
+                    last = line.index(" ", at + 1)
+                    before, after = line.rfind(" ", 0, at), line.find(" ", last + 1)
+                    seen |= {line[before:last + 1]} if before >= 0 else set()
+                    seen |= {line[at:after + 1]} if after >= 0 else set()
+                out += [(x, int(not y), int(bool(y))) for x in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[], [], []], (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["pair", "neg", "pos"])
+
+    found = rows.mapInArrow(pairs, "pair string, neg long, pos long").groupBy("pair").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where((F.col("neg") >= SAFE_DOCS) & (F.col("pos") == 0))
+    return tuple(sorted(r["pair"].encode("latin-1").decode("utf-8", "replace") for r in found.select("pair").collect()))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> list[float]:
     """Newton's method with a small ridge, which keeps separable data finite."""
     w = np.zeros(x.shape[1])

@@ -52,9 +52,24 @@ def test_topk_small_and_empty(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(rows, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 3, 32768), (0, 2, 50, -65536), (50, 1, 3, -32768), (50, 2, 0, -65536)]
     assert topk.search(rows.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    wide = spark.createDataFrame([(0, [3e9] * 4, 1), (1, [3e9, 1.0, 2.0, -3e9], 1), (2, [1.0] * 4, 1)], VECTORS)
-    best = topk.search(wide, F.col("vec_id") == 0).orderBy("rank").first()
-    assert (best.vec_id, best.score) == (2, 4 * 256 * topk.LIMIT)
+
+
+def test_topk_of_large_components(spark):
+    """Scores are those of Python integers; what no long holds is given as its end, in the right order."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((80, 6)) * np.where(np.arange(80) % 4 == 0, 3e6, 1.0)[:, None]
+    rows = [(i, [float(c) for c in r.astype(np.float32)], 1) for i, r in enumerate(x)] + [(100, [3e6, 0.0], 1), (101, [2e6, 0.0], 1), (200, [3e9] * 4, 1), (250, [3e12, 1e-3], 1)]
+    v = {i: [int(np.floor(256 * c)) for c in r] for i, r, _ in rows}
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=False))
+    got = defaultdict(list)
+    for r in topk.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == {0, 50, 100, 200, 250}
+    for q, found in got.items():
+        want = sorted(((i, dot(v[q], x)) for i, x in v.items() if i != q), key=lambda t: (-t[1], t[0]))[:5]
+        assert found == [(i, max(-(1 << 63), min((1 << 63) - 1, s))) for i, s in want]
+    two = spark.createDataFrame([(0, [1.0], 1), (1, [3e6], 1), (2, [2e6], 1)], VECTORS)
+    assert [(r.vec_id, r.score) for r in topk.search(two, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 256 * 768_000_000), (2, 256 * 512_000_000)]
 
 
 def test_ann_recall_and_exact_scores(spark):
@@ -104,6 +119,8 @@ def test_ann_heavy_tailed_norms_and_small_tables(spark):
     few = ann.search(vectors.where("vec_id < 15"), F.col("vec_id") % 5 == 0)
     assert {(r.query_id, r.rank) for r in few.collect()} == {(q, i) for q in (0, 5, 10) for i in range(1, 15)}
     assert ann.search(vectors.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+    tiny = spark.createDataFrame([(i, [1e-30 * (i + 1), 1e-30], 1) for i in range(6)] + [(9, [1e30, -1e30], 1)], VECTORS)
+    assert ann.search(tiny, F.col("vec_id") == 0, k=3).count() == 3 and ann.search(tiny, F.col("vec_id") == 9, k=9).count() == 6
 
 
 def test_warc_round_trip(spark):

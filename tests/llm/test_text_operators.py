@@ -31,6 +31,24 @@ def test_license_scan_places_and_labels(spark):
     assert {r["score"] for r in found} == {0.0, 0.5, 1.0}
 
 
+def test_license_texts_of_each_kind():
+    """Every template's wording, its replaceable parts filled and its optional ones left out, is found as itself; clauses are told apart; long texts in linear time."""
+    import time
+
+    marked = tuple(sorted(license_scan.TEMPLATES.items()))
+    labels = lambda t: set(license_scan.scan_text(t, license_scan.BASE_PHRASES, marked)[5].split(","))
+    for label, markup in license_scan.TEMPLATES.items():
+        text = re.sub(r"<<var[^>]*>>", "Jane", re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", markup))
+        assert label in labels(f"x y {text} z")
+        assert label not in labels(" ".join(text.split()[:-1] + ["other"]))
+        assert re.search(license_scan.sql_pattern(markup), " " + " ".join(w.decode() for w in license_scan.words_of(text)) + " ")
+    three = re.sub(r"<<var[^>]*>>", "3.", license_scan.TEMPLATES["bsd-3-clause"])
+    assert "bsd-3-clause" in labels(three) and not {"bsd-2-clause", "bsd-4-clause"} & labels(three)
+    began = time.time()
+    found = license_scan.scan_text("cc by " * 1_600_000, license_scan.BASE_PHRASES, marked)
+    assert found[1:4] == (1_600_000, 0, 3_199_998) and time.time() - began < 60
+
+
 def test_template_markup():
     a = license_scan.TemplateAutomaton('use <<beginOptional>> of this <<endOptional>> software by <<var;name="who";max=2>> is free')
     ok = ["use software by is free", "use of this software by A B is free", "x use software by a is free y"]
@@ -43,7 +61,8 @@ def test_license_scan_empty_table(spark):
 
 
 def test_fold():
-    assert toxicity.fold("An 1D10T, іdiot! $cum ｉｄｉｏｔ") == " an idiot idioti scum idiot "
+    assert toxicity.fold("An 1D10T, іdiot! $cum ｉｄｉｏｔ") == " an idiot idiot scum idiot "
+    assert toxicity.fold("ass! a$$, !diot|| 1984 covid19 (5!)") == " ass ass idiot covidi9 ".replace("i9", "i")
     assert toxicity.fold(None).strip() == toxicity.fold(" ..").strip() == ""
 
 
@@ -66,6 +85,44 @@ def test_toxicity_learns_and_excepts(spark):
     assert kept.columns == clashing(docs).columns and kept.where("doc_id < 600").count() == 450
 
 
+def test_features_equal_naive_matching():
+    """Entries, beginnings and exceptions by Aho-Corasick against a loop over words; long texts of exceptions in linear time."""
+    import math
+    import random
+    import time
+
+    rng = random.Random(3)
+    stems = ["bad", "badd", "trash", "idio", "scum", "ärg"]
+    entries = {f" {toxicity.fold(w).strip()} ": 1.0 + i for i, w in enumerate(stems)} | {" " + toxicity.fold("idio").strip(): 2.5, " badd": 0.5}
+    model = toxicity.Model(entries=entries, exceptions=("trash can", "bad idea", "very bad idea indeed"))
+    automaton = model.automaton()
+    pool = ["bad", "baddest", "trash", "can", "idiot", "1d10t", "idea", "very", "indeed", "scum!", "calm", "ärg", "b@d", "x"]
+    for _ in range(300):
+        text = " ".join(rng.choices(pool, k=rng.randrange(0, 30)))
+        words = toxicity.fold(text).split()
+        hits = []
+        for i, w in enumerate(words):
+            best = max([v for e, v in entries.items() if (w == e.strip() if e.endswith(" ") else w.startswith(e.strip()))], default=0.0)
+            covered = any(words[s : s + len(p.split())] == p.split() and s <= i < s + len(p.split()) for p in model.exceptions for s in range(len(words)))
+            if best and not covered:
+                hits.append(best)
+        want = [1.0, math.log1p(sum(hits)), max(hits, default=0.0), 10.0 * sum(hits) / (len(words) + 20.0)]
+        assert np.allclose(model.features(automaton, text), want), text
+    began = time.time()
+    model.features(automaton, "trash can " * 1_000_000)
+    assert time.time() - began < 20
+
+
+def test_safe_pairs_are_learned(spark):
+    """A word that is toxic alone and harmless in one pair."""
+    rows = [(i, f"filler {i} " + ("you vilest thing" if i % 4 == 0 else "the vilest cheese of town" if i % 40 == 1 else "quite calm"), "l", "s", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(2000)], "doc_id long, quality int, toxic int"))
+    assert any("cheese" in p for p in model.learned)
+    s = model.scores(["you vilest thing", "the vilest cheese of town"], model.automaton())
+    assert s[1] < 0.5 <= s[0]
+
+
 def test_toxicity_without_labels(spark):
     docs = awkward_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -111,19 +168,26 @@ def test_pieces_follow_the_lattice():
 
 
 def test_mixing_stays_within_a_block(spark):
-    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    order = mixing.period_schedule(mixing.quotas(weights, 100))
-    done = Counter()
-    for t, name in enumerate(order, 1):
-        done[name] += 1
-        assert all(abs(done[n] - w * t) < 1 for n, w in weights.items())
+    """Exact weights, thirds and small ones among them: over 10,000 slots no source is a block off, and every block keeps its bounds."""
+    from fractions import Fraction
+
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": Fraction(1, 3), "b": Fraction(1, 3), "c": Fraction(1, 3)}, {"a": 0.0005, "b": 0.3332, "c": 2 / 3, "d": 0.01}, {n: 1 / (i + 1) for i, n in enumerate("abcdefgh")}):
+        w = mixing.fractions(weights)
+        order = sorted(mixing.edf({n: int(10_000 * x) + 1 for n, x in w.items()}, w), key=lambda r: r[4])
+        done = Counter()
+        for t, (name, j, free, due, slot) in enumerate(order[:9_990]):
+            assert slot == t and j == done[name] and free <= slot < due
+            done[name] += 1
+            assert all(abs(done[n] - x * (t + 1)) < 1 for n, x in w.items())
     rows = spark.createDataFrame([(i, "x" * 100, "en", "abc"[i % 3], 100) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = mixing.schedule(clashing(rows), weights, block_size=500, period=10).select("source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "doc_id").collect()
+    got = mixing.schedule(clashing(rows), {"a": 0.5, "b": 0.3, "c": 0.2}, block_size=500).select("source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "doc_id").collect()
     assert len(got) == 900 and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
     slots = {}
     for r in got:
         assert slots.setdefault(r.mix_slot, (r.source, r.mix_block)) == (r.source, r.mix_block)
     assert all(n == 5 for n in Counter((r.source, r.mix_block) for r in got).values())
+    few = mixing.schedule(rows, {"a": 1.0}, block_size=1, max_slots=90).select("source", "mix_block").distinct().count()
+    assert few == 90
 
 
 def test_mixing_awkward_rows(spark):
