@@ -36,18 +36,21 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import small_batches, table
 
 MAX_PAGES, SYNTHETIC, MAX_TRAIN_CHARS = 300, 600, 50_000
+#: Blocks that the labeller takes in at once, padding included, and characters of html that are parsed at once.
+MAX_PADDED, PASS_CHARS = 1 << 14, 1 << 22
 PATH_DIMS, WORD_DIMS, EXTRA_DIMS, HIDDEN = 48, 24, 6, 16
 DIMS = PATH_DIMS + WORD_DIMS + EXTRA_DIMS
 
 # Element kinds of the HTML standard.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | set("math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded menclose semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noembed noframes svg math select object canvas audio video".split())
+RAW = set("script style noscript template textarea title iframe noembed noframes svg select annotation annotation-xml".split())
+FOREIGN = {"svg", "annotation", "annotation-xml"}
 CLOSES_P = set("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Elements and names that mark main text and what is not.
 MAIN_TAGS = {"article", "main"}
-OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button"}
+OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "object", "canvas", "audio", "video"}
 OTHER_NAMES = set("ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer header login menu modal nav navbar newsletter notice popup promo recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+)|(<(?![a-zA-Z/!?]))", re.S)
@@ -100,7 +103,9 @@ def blocks_of(html: str | None) -> list[Block]:
                 link_chars += len(m[0])
         elif opened:
             tag = opened.lower()
-            if tag in RAW and not attributes.rstrip().endswith("/"):
+            if tag in RAW and tag in FOREIGN and attributes.rstrip().endswith("/"):
+                held.append(" ")  # only foreign elements close themselves
+            elif tag in RAW:
                 end = _RAW_END[tag].search(html, at)
                 at = end.end() if end else len(html)
                 held.append(" ")
@@ -115,7 +120,7 @@ def blocks_of(html: str | None) -> list[Block]:
                     close({"p"}, {"div", "article", "section", "td", "th", "li", "body"})
                 if tag in SIBLINGS:
                     close(SIBLINGS[tag], {"ul", "ol", "dl", "table", "select"})
-                if tag not in VOID and not attributes.rstrip().endswith("/"):
+                if tag not in VOID:
                     names = tuple(w.lower() for g in _NAMES.findall(attributes) for w in re.findall(r"[A-Za-z]+", "".join(g)))
                     stack.append((tag, names))
         elif closed:
@@ -141,9 +146,10 @@ def weak_label(block: Block) -> int | None:
     return 0
 
 
-def vectors_of(blocks: list[Block]) -> np.ndarray:
-    """One row of DIMS numbers per block."""
+def vectors_of(blocks: list[Block], start: int = 0, total: int | None = None) -> np.ndarray:
+    """One row of DIMS numbers per block; start and total place a stretch in its page."""
     out = np.zeros((len(blocks), DIMS), dtype=np.float32)
+    total = len(blocks) if total is None else total
     for i, b in enumerate(blocks):
         for depth, (tag, names) in enumerate(reversed(b.path)):
             weight = 1.0 / (1.0 + 0.25 * depth)
@@ -156,7 +162,7 @@ def vectors_of(blocks: list[Block]) -> np.ndarray:
         h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.int64, count=len(words))
         counts = np.bincount(h % WORD_DIMS, weights=np.where(h & 0x10000, 1.0, -1.0), minlength=WORD_DIMS)
         out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / max(1.0, np.sqrt((counts * counts).sum()))
-        out[i, PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 4, b.link_chars / max(1, len(b.text)), b.text[-1] in ".!?", i / len(blocks), len(b.path) / 8, 1.0)
+        out[i, PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 4, b.link_chars / max(1, len(b.text)), b.text[-1] in ".!?", (start + i) / total, len(b.path) / 8, 1.0)
     return out
 
 
@@ -178,12 +184,12 @@ class Labeller:
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, x: np.ndarray, counts: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """x: (steps, pages, DIMS), pages by falling length; counts: pages still going at each step."""
+    def _run(self, x: np.ndarray, counts: np.ndarray, d: str, keep: list | None = None, state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """x: (steps, pages, DIMS), pages by falling length; counts: pages still going at each step; state is where to begin, and is moved on."""
         steps, pages, _ = x.shape
         W, bias = self.w[f"W{d}"], self.w[f"c{d}"]
         gates_in = x @ W[:DIMS] + bias
-        h, c = np.zeros((pages, HIDDEN), dtype=np.float32), np.zeros((pages, HIDDEN), dtype=np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), dtype=np.float32), np.zeros((pages, HIDDEN), dtype=np.float32))
         out = np.zeros((steps, pages, HIDDEN), dtype=np.float32)
         for t in range(steps):
             n = counts[t]
@@ -212,8 +218,11 @@ class Labeller:
         """For each page the chance of each block to be main text."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.float32)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: -len(pages[k]))
-        for s in range(0, len(order), 64):
-            part = order[s : s + 64]
+        s = 0
+        while s < len(order):
+            # Pages are padded to the longest of their part: a part is bounded by that product.
+            part = order[s : s + max(1, min(64, MAX_PADDED // len(pages[order[s]])))]
+            s += len(part)
             lengths, counts, x, back = self._packed([pages[k] for k in part])
             f, b = self._run(x, counts, "f"), self._run(back, counts, "b")
             for j, k in enumerate(part):
@@ -222,6 +231,20 @@ class Labeller:
                 out[k] = self._sigmoid(z)
         return out
 
+    def long_chances(self, blocks: list[Block], stretch: int = 0) -> np.ndarray:
+        """The chances of a very long page, read in stretches in either direction."""
+        n, stretch = len(blocks), stretch or MAX_PADDED
+        z = np.full(n, self.w["o"][0], dtype=np.float32)
+        starts = range(0, n, stretch)
+        for d, half, order in (("f", self.w["V"][:HIDDEN], starts), ("b", self.w["V"][HIDDEN:], reversed(starts))):
+            state = (np.zeros((1, HIDDEN), dtype=np.float32), np.zeros((1, HIDDEN), dtype=np.float32))
+            for s in order:
+                x = vectors_of(blocks[s : s + stretch], s, n)
+                x = x if d == "f" else x[::-1]
+                part = self._run(x[:, None], np.ones(len(x), dtype=np.int64), d, None, state)[:, 0] @ half
+                z[s : s + stretch] += part if d == "f" else part[::-1]
+        return self._sigmoid(z)
+
     def _gradients(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> dict[str, np.ndarray]:
         lengths, counts, x, back = self._packed(pages)
         kept: dict[str, list] = {"f": [], "b": []}
@@ -280,7 +303,8 @@ class Labeller:
 
 # Skeletons of the pages made for training.
 MAIN_PARTS = ("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'div class="entry-content"', 'section class="article-body"', 'div class="story"', 'div role="main"')
-OTHER_PARTS = ("nav", "header", "footer", "aside", 'div class="sidebar"', 'div class="cookie-notice"', 'div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="promo"', 'div class="menu"', 'ul class="breadcrumb"', 'div class="related"', 'div class="share"', 'div class="newsletter"', 'div id="footer"', 'div id="header"', 'div class="banner"', "form", 'div class="notice"', 'div role="navigation"')
+OTHER_PARTS = ("nav", "header", "footer", "aside", 'div class="sidebar"', 'div class="cookie-notice"', 'div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="promo"', 'div class="menu"', 'ul class="breadcrumb"', 'div class="related"', 'div class="share"', 'div class="newsletter"', 'div id="footer"', 'div id="header"', 'div class="banner"', "form", 'div class="notice"', 'div role="navigation"', "object", "video")
+WRAPPERS = ('div class="wrap"', 'div class="container"', 'div id="page"', 'div class="row"', 'div class="layout"', 'div class="site"', "div", "section", 'div class="column"')
 COMMENT_PARTS = ('section class="comments"', 'div id="comments"', 'ol class="commentlist"', 'div class="comment"')
 
 
@@ -326,6 +350,11 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
         return "<figure>" + main(f"<figcaption>{words(2, 14)}</figcaption>") + "</figure>"
 
     pieces = [other() for _ in range(int(rng.integers(0, 4)))]
+    # Half of the pages hold main text and some of the rest in containers that say nothing.
+    boxes = [str(rng.choice(WRAPPERS)) for _ in range(int(rng.integers(1, 3)))] if rng.random() < 0.5 else []
+    pieces += [f"<{w}>" for w in boxes]
+    if boxes and rng.random() < 0.4:
+        pieces.append(other())
     kind = str(rng.choice(MAIN_PARTS)) if rng.random() < 0.88 else ""
     inner = []
     if rng.random() < 0.85:
@@ -338,6 +367,9 @@ def synthetic_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     if kind and rng.random() < 0.15:
         inner.append(part(str(rng.choice(COMMENT_PARTS)), 0, [f"<p>{words(1, 40)}</p>" for _ in range(int(rng.integers(1, 4)))]))
     pieces.append(f"<{kind}>" + "".join(inner) + f"</{kind.split()[0]}>" if kind else "".join(inner))
+    if boxes and rng.random() < 0.6:
+        pieces += [other() for _ in range(int(rng.integers(1, 3)))]
+    pieces += [f"</{w.split()[0]}>" for w in reversed(boxes)]
     if rng.random() < 0.35:
         pieces.append(part(str(rng.choice(COMMENT_PARTS)), 0, [f"<p>{words(1, 40)}</p>" for _ in range(int(rng.integers(1, 5)))]))
     pieces += [other() for _ in range(int(rng.integers(0, 4)))]
@@ -374,6 +406,17 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES, synthetic: int = SYNTHET
     return Labeller().fit(xs, ys).w
 
 
+END = object()
+
+
+def main_texts(labeller: Labeller, htmls: list[str | None], threshold: float) -> list[str]:
+    """The main text of each page; very long pages go alone."""
+    found = [blocks_of(h) for h in htmls]
+    short = [k for k, b in enumerate(found) if len(b) <= MAX_PADDED]
+    chances = dict(zip(short, labeller.chances([vectors_of(found[k]) for k in short]), strict=True))
+    return ["\n".join(b.text for b, c in zip(bs, (chances[k] if k in chances else labeller.long_chances(bs)).tolist(), strict=True) if c >= threshold) for k, bs in enumerate(found)]
+
+
 def extract(pages: DataFrame, weights: dict[str, np.ndarray], threshold: float = 0.5) -> DataFrame:
     """page_id, url, text of every page: the blocks labelled as main text, one a line."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -381,9 +424,15 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(weights)
         for batch in batches:
-            found = [blocks_of(h) for h in batch.column(2).to_pylist()]
-            chances = labeller.chances([vectors_of(b) for b in found])
-            texts = ["\n".join(b.text for b, c in zip(bs, cs.tolist(), strict=True) if c >= threshold) for bs, cs in zip(found, chances, strict=True)]
+            texts: list[str] = []
+            held, size = [], 0
+            for html in [*batch.column(2).to_pylist(), END]:
+                if html is END or size + len(html or "") > PASS_CHARS:
+                    texts += main_texts(labeller, held, threshold)
+                    held, size = [], 0
+                if html is not END:
+                    held.append(html)
+                    size += len(html or "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     small_batches(pages.sparkSession)

@@ -8,8 +8,13 @@ the row key and the place in the text, so that a row's segmentation is the
 same whatever batch, task or run it is in.
 
 The lattice falls apart where no piece can lie: before a space that follows
-something else, and around characters that no longer piece holds.  Distinct
-chunks of a batch are filtered once, all of them side by side in numpy.
+something else (unless the vocabulary has pieces over such a place), around
+characters that no longer piece holds, and, in long chunks, wherever no piece
+lies across.  Distinct chunks of a batch are filtered once, all of them side by
+side in numpy.  Chunks that stay long are filtered in stretches: every stretch is cut
+into segments whose linear maps are worked out side by side; forward sums are
+kept at the stretches' ends and worked out again on the way back.  Time and
+memory follow the length of a text, whatever is in it.
 
 A space is the piece sign U+2581, one is put before the text.  Characters
 that are no piece, U+2581 itself among them, become byte pieces; decoding
@@ -35,6 +40,9 @@ from lodestone.llm.common import small_batches, table
 SIGN = "▁"
 #: Characters of texts that one pass takes in at most; longer texts take a pass of their own.
 PASS_CHARS = 1 << 20
+#: Chunks beyond LONG are looked through for cuts; what stays longer is filtered in stretches of segments.
+LONG, STRETCH, SEGMENT = 256, 1 << 17, 256
+_GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def default_model() -> str:
@@ -100,7 +108,8 @@ class Sampler:
         self.longest = max(map(len, vocabulary.pieces))
         inner = {c for p in vocabulary.pieces if len(p) > 1 for c in p}
         hard = "".join(c for c in "\n\t\r" if c not in inner)
-        self.chunk = re.compile(rf" *[^ {hard}]+|[{hard}]| +" if hard else r" *[^ ]+| +")
+        over = any(" " in p.lstrip(" ") for p in vocabulary.pieces)
+        self.chunk = re.compile(r"(?s).+" if over else rf" *[^ {hard}]+|[{hard}]| +" if hard else r" *[^ ]+| +")
         self._trie()
         self.floor = float(vocabulary.weights.min()) - 1.0
         self.logs = np.append(vocabulary.weights * alpha, -np.inf).astype(np.float32)  # the last one is for -1
@@ -153,16 +162,10 @@ class Sampler:
             miss = miss[~found & (self.keys[slot[miss]] != -1)]
         return out
 
-    def _lattice(self, chunks: list[str]):
-        """Ids by (length, start), and for each end the cumulated chances of the last piece's length."""
-        lengths = np.array([len(c) for c in chunks])
-        base = np.concatenate([[0], np.cumsum(lengths)])
-        n = int(base[-1])
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        room = np.repeat(base[1:], lengths) - np.arange(n)
-        most = min(self.longest, int(lengths.max()))
-        ids = np.full((most, n), -1, dtype=np.int32)
-        at, state = np.arange(n), np.zeros(n, dtype=np.int64)
+    def _arcs(self, chars: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
+        """Ids of the pieces by (length - 1, start), -1 for none; room: how long a piece from a start may be."""
+        ids = np.full((most, len(chars)), -1, dtype=np.int32)
+        at, state = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
         for k in range(most):
             ok = room[at] > k
             at, state = at[ok], state[ok]
@@ -172,15 +175,52 @@ class Sampler:
             if not len(at):
                 break
             ids[k, at] = self.ids[state]
-        most = max(1, int(np.nonzero((ids >= 0).any(axis=1))[0].max(initial=0)) + 1)
-        ids = ids[:most]
+        return ids
+
+    def _with_bytes(self, chars: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log weights of the arcs; characters that are no piece get byte pieces in ids (-2 - c stands for several)."""
         alone = ids[0] < 0
         width = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
         logs = self.logs[ids]
         logs[0, alone] = self.alpha * self.floor * width[alone]
         small = alone & (chars < 0x80)
         ids[0, small] = np.array(self.v.bytes_, dtype=np.int32)[chars[small]]
-        ids[0, alone & ~small] = -2 - chars[alone & ~small]  # several byte pieces
+        ids[0, alone & ~small] = -2 - chars[alone & ~small]
+        return logs
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+    def _cuts(self, chunk: str) -> list[int]:
+        """The places inside a chunk that no piece lies across."""
+        n, out = len(chunk), []
+        open_ = np.zeros(self.longest + 1, dtype=np.int64)  # pieces that reach over a stretch's end
+        for s in range(0, n, STRETCH):
+            e = min(n, s + STRETCH)
+            chars = self._codes(chunk[s : min(n, e + self.longest)])
+            ids = self._arcs(chars, len(chars) - np.arange(len(chars)), min(self.longest, len(chars)))[:, : e - s]
+            edge = np.zeros(e - s + self.longest + 1, dtype=np.int64)
+            edge[: len(open_)] += open_
+            for k in range(1, len(ids)):
+                at = np.nonzero(ids[k] >= 0)[0]
+                edge += np.bincount(at + 1, minlength=len(edge))[: len(edge)] - np.bincount(at + k + 1, minlength=len(edge))[: len(edge)]
+            lies = np.cumsum(edge[: e - s])
+            out += (np.nonzero(lies == 0)[0] + s).tolist()
+            open_ = edge[e - s :].copy()
+            open_[0] += int(lies[-1])
+        return [p for p in out if 0 < p < n]
+
+    def _lattice(self, chunks: list[str]):
+        """Ids by (length, start), and for each end the cumulated chances of the last piece's length."""
+        lengths = np.array([len(c) for c in chunks])
+        base = np.concatenate([[0], np.cumsum(lengths)])
+        n = int(base[-1])
+        chars = self._codes("".join(chunks))
+        ids = self._arcs(chars, np.repeat(base[1:], lengths) - np.arange(n), min(self.longest, int(lengths.max())))
+        most = max(1, int(np.nonzero((ids >= 0).any(axis=1))[0].max(initial=0)) + 1)
+        ids = ids[:most]
+        logs = self._with_bytes(chars, ids)
 
         # Forward filtering, all chunks side by side; node p of a chunk is base + its number + p.
         order = np.argsort(-lengths, kind="stable")
@@ -201,32 +241,150 @@ class Sampler:
             chances[nodes + p, k - 1 :] = 2.0
         return ids, chances, base, lengths
 
+    def _weights(self, chunk: str, s: int, e: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids by (length - 1, start - first), and for each end s + 1 to e the weights of the last piece by length; the place of the first start."""
+        first = max(0, s - most + 1)
+        chars = self._codes(chunk[first:e])
+        ids = self._arcs(chars, len(chars) - np.arange(len(chars)), most)
+        logs = self._with_bytes(chars, ids)
+        ends = np.arange(s + 1, e + 1)
+        w = np.zeros((e - s, most))
+        for j in range(1, most + 1):
+            at = ends - j - first
+            ok = at >= 0
+            w[ok, j - 1] = np.exp(logs[j - 1, at[ok]])
+        return ids, w, first
+
+    def _forward(self, w: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulated chances of the last piece's length at each end, and the state after them; state: forward sums of the last ends, newest first."""
+        n, most = w.shape
+        parts = -(-n // SEGMENT)
+        padded = np.zeros((parts * SEGMENT, most))
+        padded[:n] = w
+        padded[n:, 0] = 1.0
+        steps = padded.reshape(parts, SEGMENT, most)
+        # Each segment's linear map, from all unit states side by side.
+        maps = np.broadcast_to(np.eye(most), (parts, most, most)).copy()
+        for t in range(SEGMENT):
+            new = np.matmul(maps, steps[:, t, :, None])
+            maps = np.concatenate([new, maps[:, :, :-1]], axis=2)
+            if t % 8 == 7:
+                maps /= maps.max(axis=(1, 2), keepdims=True)
+        begin = np.empty((parts, most))
+        for k in range(parts):
+            begin[k] = state
+            state = state @ maps[k]
+            state = state / state.max()
+        chances = np.empty((parts, SEGMENT, most), dtype=np.float32)
+        now, last = begin, n - 1 - (parts - 1) * SEGMENT
+        for t in range(SEGMENT):
+            terms = now * steps[:, t]
+            total = terms.sum(axis=1, keepdims=True)
+            chances[:, t] = np.cumsum(terms / total, axis=1)
+            now = np.concatenate([total, now[:, :-1]], axis=1)
+            now /= now.max(axis=1, keepdims=True)
+            if t == last:
+                after = now[-1].copy()
+        chances = chances.reshape(-1, most)[:n]
+        # The last length that is there ends at 2, so that rounding never passes it.
+        there = most - 1 - np.argmax(w[:, ::-1] > 0, axis=1)
+        chances[np.arange(most)[None, :] >= there[:, None]] = 2.0
+        return chances, after
+
+    def _sampled(self, chunk: str, draw) -> np.ndarray:
+        """The sampled ids of a chunk of any length; draw gives the random numbers of ends."""
+        n, most = len(chunk), min(self.longest, len(chunk))
+        state = np.zeros(most)
+        state[0] = 1.0
+        states, starts = [], list(range(0, n, STRETCH))
+        for s in starts:
+            states.append(state)
+            if s != starts[-1]:
+                _, w, _ = self._weights(chunk, s, min(n, s + STRETCH), most)
+                _, state = self._forward(w, state)
+        out, p = [], n
+        for s, state in zip(reversed(starts), reversed(states), strict=True):
+            ids, w, first = self._weights(chunk, s, min(n, s + STRETCH), most)
+            chances, _ = self._forward(w, state)
+            lengths = ((chances <= draw(np.arange(s + 1, s + len(w) + 1))[:, None]).sum(axis=1) + 1).tolist()
+            while p > s:
+                k = lengths[p - s - 1]
+                out.append(int(ids[k - 1, p - k - first]))
+                p -= k
+        return np.array(out[::-1], dtype=np.int32)
+
+    @staticmethod
+    def _draws(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Random numbers of places in chunks: the same whatever a chunk was cut into."""
+        return (mix(stream + at.astype(np.uint64) * _STEP) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
         """The sampled ids of each text."""
+        out: list[np.ndarray] = []
+        for part in _passes(texts):
+            if part.stop - part.start == 1 and len(texts[part.start]) > PASS_CHARS:
+                out.append(self._encode_long(texts[part.start], keys[part.start]))
+            else:
+                out += self._encode([self.chunk.findall(" " + t) if t else [] for t in texts[part]], keys[part], 0)
+        return out
+
+    def _encode_long(self, text: str, key: str) -> np.ndarray:
+        """A text of any length, some chunks at a time."""
+        out, held, size, first = [], [], 0, 0
+        for m in self.chunk.finditer(" " + text):
+            held.append(m[0])
+            size += len(m[0])
+            if size > PASS_CHARS:
+                out += self._encode([held], [key], first)
+                held, size, first = [], 0, first + len(held)
+        return np.concatenate([*out, *self._encode([held], [key], first)])
+
+    def _encode(self, found: list[list[str]], keys: list[str], first: int) -> list[np.ndarray]:
+        """The ids of texts as lists of chunks, whose numbers in their text begin at first."""
+        seeds = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}/{k}".encode(), digest_size=8).digest(), "little") for k in keys], dtype=np.uint64)
         names: dict[str, int] = {}
-        found = [self.chunk.findall(" " + t) if t else [] for t in texts]
-        where = np.fromiter((names.setdefault(c, len(names)) for f in found for c in f), dtype=np.int64)
-        counts = np.array([len(f) for f in found], dtype=np.int64)
+        where, nth, offset, counts, long_ = [], [], [], [], []
+        for f in found:
+            n = len(where)
+            for j, c in enumerate(f):
+                if len(c) <= LONG:
+                    where.append(names.setdefault(c, len(names)))
+                    nth.append(j)
+                    offset.append(0)
+                    continue
+                cuts = [0, *self._cuts(c), len(c)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if b - a > LONG:
+                        long_.append((len(where), c[a:b]))
+                    where.append(-1 if b - a > LONG else names.setdefault(c[a:b], len(names)))
+                    nth.append(j)
+                    offset.append(a)
+            counts.append(len(where) - n)
+        where, counts = np.array(where, dtype=np.int64), np.array(counts, dtype=np.int64)
         if not len(where):
-            return [np.zeros(0, dtype=np.int32) for _ in texts]
-        ids, chances, base, lengths = self._lattice(list(names))
-        seeds = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}/{k}".encode(), digest_size=8).digest(), "little") for k in keys], dtype=np.uint64)
-        nth = np.arange(len(where)) - np.repeat(np.cumsum(counts) - counts, counts)
-        stream = mix(np.repeat(seeds, counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        left, drawn, sizes = lengths[where], [], np.zeros(len(where), dtype=np.int64)
-        open_, step = np.arange(len(where)), 0
-        while len(open_):
-            chunk, p = where[open_], left[open_]
-            u = (mix(stream[open_] + np.uint64(step * 0xD1342543DE82EF95 & (1 << 64) - 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            length = (chances[base[chunk] + chunk + p] <= u[:, None]).sum(axis=1) + 1
-            drawn.append((open_, ids[length - 1, base[chunk] + p - length]))
-            left[open_] = p - length
-            sizes[open_] += 1
-            open_, step = open_[p > length], step + 1
+            return [np.zeros(0, dtype=np.int32) for _ in found]
+        stream = mix(np.repeat(seeds, counts) + (np.array(nth, dtype=np.int64) + first).astype(np.uint64) * _GOLD)
+        offset, sizes, drawn = np.array(offset, dtype=np.int64), np.zeros(len(where), dtype=np.int64), []
+        if names:
+            ids, chances, base, lengths = self._lattice(list(names))
+            left, open_ = np.where(where >= 0, lengths[np.maximum(where, 0)], 0), np.nonzero(where >= 0)[0]
+            while len(open_):
+                chunk, p = where[open_], left[open_]
+                u = self._draws(stream[open_], offset[open_] + p)
+                length = (chances[base[chunk] + chunk + p] <= u[:, None]).sum(axis=1) + 1
+                drawn.append((open_, ids[length - 1, base[chunk] + p - length]))
+                left[open_] = p - length
+                sizes[open_] += 1
+                open_ = open_[p > length]
+        apart = [(at, self._sampled(c, lambda p, at=at: self._draws(stream[at], offset[at] + p))) for at, c in long_]
+        for at, x in apart:
+            sizes[at] = len(x)
         ends = np.cumsum(sizes)
         out = np.empty(int(ends[-1]), dtype=np.int32)
         for s, (occurrence, piece) in enumerate(drawn):
             out[ends[occurrence] - 1 - s] = piece
+        for at, x in apart:
+            out[ends[at] - len(x) : ends[at]] = x
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return [self._spelled(out[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 

@@ -8,8 +8,9 @@ windows mostly share theirs, so that the index holds some 5 % of all positions.
 The index is a list of immutable runs (hash, doc_id, key), each sorted and
 bucketed by hash.  A new batch becomes a run of its own; it is merge-joined
 with every historical run bucket by bucket without moving those, and the
-hashes that two documents share name the candidate documents.  Runs are
-compacted into one when ``fanout`` of them exist.  Candidates are then
+hashes that two documents share name the candidate documents.  ``fanout`` runs of
+one level are compacted into one of the next.  An index with a path is lasting:
+later calls go on with its history.  Candidates are then
 verified: stretches of windows with one representative, and single windows
 where stretches differ, are compared by 128-bit digests of all their words,
 and each word covered by a window that also starts in a document with a smaller
@@ -35,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions, scratch, small_batches, stored, table
+from lodestone.llm.common import hot_join, partitions, scratch, small_batches, stored, table
+from lodestone.sources import sinks
 
 WINDOW, GRAM = 50, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,24 +125,46 @@ def facts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of historical window hashes: columns h, doc_id, key."""
+    """Sorted immutable runs of historical window hashes: columns h, doc_id, key.
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    Without a path an index lives as long as its session uses it.  With one it
+    is lasting: ``save`` writes a manifest of its runs, and of the facts and
+    texts of the documents in them, beside them; opening the same path, in
+    another session too, goes on from there.  A crash before ``save`` leaves
+    the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None, path: str | None = None):
+        self.spark, self.fanout, self.path = spark, fanout, path
         self.buckets = buckets or partitions(spark)
         self.runs: list[str] = []
+        self.levels: dict[str, int] = {}
+        self.places: dict[str, str] = {}
+        self.documents: list[str] = []
+        found = sinks.manifests(spark, path) if path else []
+        if found:
+            now = sinks.manifest(spark, path, found[-1])
+            self.buckets, self.documents = now["buckets"], now["documents"]
+            for name, place, level in now["runs"]:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, doc_id BIGINT, key BIGINT) USING parquet OPTIONS (path '{place}') CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS")
+                self._known(name, place, level)
+
+    def _known(self, name: str, place: str, level: int) -> None:
+        self.runs.append(name)
+        self.levels[name], self.places[name] = level, place
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
         name = f"run_{uuid.uuid4().hex}"
+        place = f"{self.path}/{name}" if self.path else scratch(self.spark, name)
         (
             rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
-            .option("path", scratch(self.spark, name)).saveAsTable(name)
+            .option("path", place).saveAsTable(name)
         )
-        return name
+        return name, place
 
     def match(self, batch: DataFrame) -> DataFrame:
         """Add a batch (h, doc_id, key) as a run; return the rows, old and new, whose hash it shares with another document."""
-        name = self._write(batch)
+        name, place = self._write(batch)
         new = self.spark.table(name)
         own = new.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         olds = [self.spark.table(r) for r in self.runs]
@@ -152,22 +176,46 @@ class FingerprintIndex:
         for old in olds:
             rows = rows.unionAll(old.join(shared, "h", "left_semi"))
         rows = stored(rows.select("h", "doc_id", "key"), "candidates")
-        self.runs.append(name)
+        self._known(name, place, 0)
         return rows
 
     def compact(self) -> None:
-        """Merge the runs into one when there are fanout of them."""
-        if len(self.runs) < self.fanout:
-            return
-        rows = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            rows = rows.unionAll(self.spark.table(r))
-        merged = self._write(rows.select("h", "doc_id", "key"))
-        self.close()
-        self.runs = [merged]
+        """Merge runs of one level into one of the next where there are fanout of them, so that a row is rewritten once a level."""
+        while True:
+            by_level: dict[int, list[str]] = {}
+            for r in self.runs:
+                by_level.setdefault(self.levels[r], []).append(r)
+            full = sorted(level for level, runs in by_level.items() if len(runs) >= self.fanout)
+            if not full:
+                return
+            old = by_level[full[0]]
+            rows = self.spark.table(old[0])
+            for r in old[1:]:
+                rows = rows.unionAll(self.spark.table(r))
+            name, place = self._write(rows.select("h", "doc_id", "key"))
+            for r in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            self.runs = [r for r in self.runs if r not in old]
+            self._known(name, place, full[0] + 1)
+
+    def add_documents(self, rows: DataFrame) -> None:
+        """Keep (doc_id, key, n_words, sha256, text) of what has been indexed, for later batches to be verified against."""
+        place = f"{self.path}/documents-{uuid.uuid4().hex}"
+        rows.write.parquet(place)
+        self.documents.append(place)
+
+    def history(self) -> DataFrame | None:
+        schema = "doc_id long, key long, n_words long, sha256 string, text string"
+        return self.spark.read.schema(schema).parquet(*self.documents) if self.documents else None
+
+    def save(self) -> None:
+        """Make what has been added part of the index."""
+        found = sinks.manifests(self.spark, self.path)
+        content = {"buckets": self.buckets, "documents": self.documents, "runs": [[r, self.places[r], self.levels[r]] for r in self.runs]}
+        sinks._publish(self.spark, self.path, found[-1] + 1 if found else 0, content)
 
     def close(self) -> None:
-        """Forget the runs; their files stay in the shared folder."""
+        """Forget the runs; their files stay."""
         for r in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
         self.runs = []
@@ -178,19 +226,30 @@ def _id_bounds(rows: DataFrame, batches: int) -> list[int | None]:
     return [None, *sorted(set(cuts or [])), None]
 
 
-def removals(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Facts of every row, and the rows that lose words: doc_id, key, n_removed, kept_sha256, kept."""
+def removals(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM, index_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Facts of every row, and the rows that lose words: doc_id, key, n_removed, kept_sha256, kept.
+
+    With index_path docs are also held against the documents of the lasting
+    index there, and then belong to it: calls with parts of a table give what
+    one call with all of it gives, if each part's ids are greater than those
+    before.
+    """
     spark = docs.sparkSession
     all_facts = stored(facts(docs, window, gram), "facts")
+    index = FingerprintIndex(spark, path=index_path)
+    history = index.history()
 
     # Whole copies of a document with a smaller id lose every word; the smallest goes on.
     long_rows = all_facts.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    first = long_rows.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("sha256", "first")
+    known = long_rows.select("doc_id", "sha256")
+    if history is not None:
+        known = known.unionAll(history.where(F.col("n_words") >= window).select("doc_id", "sha256"))
+    first = known.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("sha256", "first")
     copies = stored(long_rows.select("doc_id", "key", "n_words", "sha256").join(first, "sha256").where(F.col("doc_id") > F.col("first")).select("doc_id", "key", F.col("n_words").alias("n_removed")).distinct(), "copies")
     alone = long_rows.select("doc_id", "key", "anchors").join(copies, ["doc_id", "key"], "left_anti")
     anchors = stored(alone.select(F.explode("anchors").alias("h"), "doc_id", "key"), "anchors")
 
-    index, found = FingerprintIndex(spark), None
+    found = None
     bounds = _id_bounds(alone, batches)
     for low, high in zip(bounds, bounds[1:], strict=False):
         part = anchors
@@ -202,7 +261,12 @@ def removals(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int
     wanted = found.groupBy("doc_id", "key").agg(F.collect_set("h").alias("hashes"))
 
     # Texts of candidate documents only go on.
-    cands = stored(keyed(docs).join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "hashes"), "texts")
+    texts = keyed(docs) if history is None else keyed(docs).unionAll(history.select("doc_id", "key", "text")).dropDuplicates(["doc_id", "key"])
+    cands = stored(texts.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "hashes"), "texts")
+    if index_path:
+        named = all_facts.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).select("doc_id", "key", "n_words", "sha256").dropDuplicates(["doc_id", "key"])
+        index.add_documents(named.join(keyed(docs).dropDuplicates(["doc_id", "key"]), ["doc_id", "key"]).select("doc_id", "key", "n_words", "sha256", "text"))
+        index.save()
     index.close()
 
     # A stretch: neighbouring windows of a document with one representative.  Documents with equal stretches share
@@ -236,15 +300,16 @@ def removals(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int
                 yield pa.RecordBatch.from_arrays([*digests(h, at, at + window), pa.array(np.full(n, doc_id)), pa.array(np.full(n, key)), pa.array(at.astype(np.int32))], schema=window_schema)
 
     found = stored(cands.mapInArrow(stretches, "h long, d1 long, d2 long, doc_id long, key long, start int, n int"), "stretches")
-    kinds = stored(found.groupBy("h", "d1", "d2").agg(F.min("doc_id").alias("first")), "kinds")
-    found = found.join(kinds, ["h", "d1", "d2"])
+    kinds = stored(found.groupBy("h", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")), "kinds")
+    found = hot_join(found, kinds, ["h", "d1", "d2"], "many", found.count())
     sure = found.where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "start", "n")
     # Windows one by one only where stretches differ that may overlap.
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     own = found.where(F.col("doc_id") == F.col("first")).join(several, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
     seen = stored(cands.select("doc_id", "key", "text").join(own, ["doc_id", "key"]).mapInArrow(windows, "d1 long, d2 long, doc_id long, key long, start int"), "windows")
-    firsts = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("d1", "d2", "first")
-    again = seen.join(firsts, ["d1", "d2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "start", F.lit(1).alias("n"))
+    firsts = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("many")).where(F.col("first") < F.col("last"))
+    firsts = stored(firsts.select("d1", "d2", "first", "many"), "firsts")
+    again = hot_join(seen, firsts, ["d1", "d2"], "many", seen.count()).where(F.col("doc_id") > F.col("first")).select("doc_id", "key", "start", F.lit(1).alias("n"))
     starts = sure.unionAll(again).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -267,6 +332,8 @@ def removals(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int
     changed = cands.select("doc_id", "key", "text").join(starts, ["doc_id", "key"]).mapInArrow(rewrite, "doc_id long, key long, n_removed long, kept_sha256 string, kept string").dropDuplicates(["doc_id", "key"])
     empty = hashlib.sha256(b"").hexdigest()
     lost = copies.select("doc_id", "key", "n_removed", F.lit(empty).alias("kept_sha256"), F.lit("").alias("kept")).unionAll(changed)
+    if history is not None:
+        lost = lost.join(all_facts.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi")
     return all_facts, stored(lost, "removals")
 
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import graph, simhash, substring_dedup
 from tests.llm.helpers import awkward_docs, clashing, words
@@ -83,6 +84,39 @@ def test_index_merges_batches_and_compacts(spark):
     index.close()
 
 
+def test_index_lasts_over_calls(spark, tmp_path):
+    """Two calls with parts of a table give what one call gives; runs of a level are merged; a call that is not saved leaves no trace."""
+    docs = awkward_docs(spark).unionAll(overlapping(spark)).where("doc_id is not null")
+    path = str(tmp_path / "index")
+    cuts = [None, 30, 600, None]
+    got = []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = docs.where(f"doc_id > {low}") if low is not None else docs
+        part = part.where(f"doc_id <= {high}") if high is not None else part
+        rows, lost = substring_dedup.removals(part, batches=1, index_path=path)
+        lost = {(r.doc_id, r.key): r for r in lost.collect()}
+        for r in rows.collect():
+            x = lost.get((r.doc_id, r.key))
+            got.append((r.doc_id, x.kept_sha256 if x else r.sha256, x.n_removed if x else 0))
+    assert sorted(got) == brute_removals([(r.doc_id, r.text) for r in docs.collect()])
+    index = substring_dedup.FingerprintIndex(spark, path=path)
+    assert sorted(index.levels[r] for r in index.runs) == [0, 1] and len(index.documents) == 3
+    index.match(spark.createDataFrame([(1, 1, 1)], "h long, doc_id long, key long"))
+    index.close()
+    again = substring_dedup.FingerprintIndex(spark, path=path)
+    assert len(again.runs) == 2 and spark.table(again.runs[0]).count() > 0
+    again.close()
+
+
+def test_hot_join_equals_join(spark):
+    from lodestone.llm.common import hot_join
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k long, v long")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    same = lambda df: sorted(map(tuple, df.select("k", "v", "n", "first").collect()))
+    assert same(hot_join(rows, facts, ["k"], "n", 300, least=40)) == same(rows.join(facts, "k"))
+
+
 def brute_components(ids, linked):
     """The least id that each id reaches."""
     label = dict(zip(ids, ids, strict=True))

@@ -167,6 +167,37 @@ def test_pieces_follow_the_lattice():
         assert abs(got[ids] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_long_chunks_follow_the_lattice(monkeypatch):
+    """Cuts lie where no piece does; chunks in stretches and segments are sampled as whole ones are; long texts without spaces in linear time."""
+    import random
+    import time
+
+    v = sentence_pieces.Vocabulary.load()
+    s = sentence_pieces.Sampler(v, 0.7, 3)
+    rng = random.Random(5)
+    base64_like = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+    texts = ["aaaa" * 700, base64_like(3000), "donaudampfschifffahrt" * 150, "日本語😀の文" * 400, "x" * 257, "the end " * 50 + base64_like(900) + " z"]
+    for chunk in (" " + texts[1], " " + texts[2][:700]):
+        lies = {p for a in range(len(chunk)) for b in range(a + 2, min(len(chunk), a + s.longest) + 1) if chunk[a:b] in v.pieces for p in range(a + 1, b)}
+        assert s._cuts(chunk) == [p for p in range(1, len(chunk)) if p not in lies]
+    keys = [str(i) for i in range(len(texts))]
+    want = [x.tolist() for x in s.encode(texts, keys)]
+    assert all(s.decode(x) == t for x, t in zip(want, texts, strict=True))
+    monkeypatch.setattr(sentence_pieces, "LONG", 10**9)  # every chunk whole, side by side
+    assert [x.tolist() for x in s.encode(texts, keys)] == want
+    monkeypatch.setattr(sentence_pieces, "LONG", 40)
+    monkeypatch.setattr(sentence_pieces, "STRETCH", 96)
+    monkeypatch.setattr(sentence_pieces, "SEGMENT", 16)
+    monkeypatch.setattr(sentence_pieces, "PASS_CHARS", 500)
+    same = sum(x.tolist() == w for x, w in zip(s.encode(texts, keys), want, strict=True))
+    assert same >= len(texts) - 1  # a chance may fall between two roundings
+    monkeypatch.undo()
+    began = time.time()
+    for text in (base64_like(500_000), "a" * 500_000):
+        assert s.decode(s.encode([text], ["k"])[0].tolist()) == text
+    assert time.time() - began < 60
+
+
 def test_mixing_stays_within_a_block(spark):
     """Exact weights, thirds and small ones among them: over 10,000 slots no source is a block off, and every block keeps its bounds."""
     from fractions import Fraction
