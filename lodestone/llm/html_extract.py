@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches, table
 
-MAX_PAGES, SYNTHETIC, MAX_TRAIN_CHARS = 300, 600, 50_000
+MAX_PAGES, SYNTHETIC, MAX_TRAIN_CHARS = 300, 1000, 50_000
 #: Blocks that the labeller takes in at once, padding included, and characters of html that are parsed at once.
 MAX_PADDED, PASS_CHARS = 1 << 14, 1 << 22
 PATH_DIMS, WORD_DIMS, EXTRA_DIMS, HIDDEN = 48, 24, 6, 16
@@ -273,7 +273,7 @@ class Labeller:
                 dh[:n], dc[:n] = z @ W[DIMS:].T, c_grad * fg
         return grad
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, size: int = 24, rate: float = 0.015, hide: float = 0.15, seed: int = 5) -> Labeller:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 18, size: int = 24, rate: float = 0.012, hide: float = 0.15, seed: int = 5) -> Labeller:
         """Adam over batches of pages; hide: share of blocks whose tag path is hidden."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
