@@ -20,8 +20,8 @@ forest of the links that it finds, never all pairs: components stay whole.
 ``near_clusters`` finds near copies by their sets of shingles: ``PRINTS``
 independent fingerprints of each set name candidates (any one may), and every
 candidate pair is verified by its whole sets, so that no link is made up.
-Two sets of resemblance 0.8 are missed by all three with a chance of some 2 %,
-sets of 0.85 or more hardly ever.
+Fingerprints of sets of resemblance 0.8 differ in 9.7 bits on average; all pairs
+up to NEAR_BITS meet, most of those up to WIDE_BITS do and are looked at too.
 
 Null and empty texts have the fingerprint zero and link like any other.  Rows
 with a null doc_id have a fingerprint and no component.  Rows that repeat a
@@ -46,8 +46,8 @@ from lodestone.llm.substring_dedup import rolling, word_hashes, words_of
 
 BITS, BLOCK, SUB_BITS = 64, 4096, 11
 PARTS = (3, 4, 5)
-#: Near copies: fingerprints of a set, bits in which one of them may differ, and the least resemblance as a fraction.
-PRINTS, NEAR_BITS, SIMILAR = 3, 11, (4, 5)
+#: Near copies: fingerprints of a set, bits in which all pairs are found, bits up to which pairs that meet are looked at, and the least resemblance.
+PRINTS, NEAR_BITS, WIDE_BITS, SIMILAR = 2, 9, 13, (4, 5)
 #: Costs of a probe row in the units of a candidate pair.
 PROBE_COST = 20.0
 
@@ -294,41 +294,51 @@ def plan(nodes: DataFrame, max_bits: int, parts: int | None = None) -> list[tupl
     return [(k, g, ball(len(g), t // 2)) for k, (g, t) in enumerate(zip(groups, chosen, strict=True)) if t >= 0]
 
 
-def links(nodes: DataFrame, max_bits: int, parts: int | None = None) -> DataFrame:
-    """Links (root, a, b) between distinct fingerprints (fp) that connect whatever links: a and b link, root is where their forest begins."""
-    probes = plan(nodes, max_bits, parts)
+def links(nodes: DataFrame, max_bits: int, parts: int | None = None, wide: int | None = None) -> DataFrame:
+    """Links (k, root, a, b) between distinct fingerprints (k, fp) of one k that connect whatever links: a and b link, root is where their forest begins.
+
+    All pairs of max_bits differing bits or fewer meet; with wide, pairs that
+    meet link up to that many.
+    """
+    probes = plan(nodes.where("k = 0").select("fp"), max_bits, parts)
+    most = max_bits if wide is None else wide
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.asarray(batch.column(0))
+            one, raw = np.asarray(batch.column(0)).astype(np.int64) << 60, np.asarray(batch.column(1))
             for k, bits, masks in probes:
-                keys = (part_key(raw.view(np.uint64), bits)[:, None] ^ masks[None, :]).ravel() | (k << 56)
+                keys = ((part_key(raw.view(np.uint64), bits) | one)[:, None] ^ masks[None, :]).ravel() | (k << 56)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(raw, len(masks)))], names=["bucket", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         rows = 0
-        for _, _, fp in keyed_groups(batches, 2):
-            found = linked(fp.view(np.uint64), max_bits)
+
+        def flushed() -> pa.RecordBatch:
+            cols = np.concatenate(out).T
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *[pa.array(c) for c in cols[1:]]], names=["k", "root", "a", "b"])
+
+        for bucket, _, fp in keyed_groups(batches, 2):
+            found = linked(fp.view(np.uint64), most)
             if found:
-                out.append(fp[np.array(found)])
+                out.append(np.column_stack([np.full(len(found), bucket[0] >> 60), fp[np.array(found)]]))
                 rows += len(found)
             if rows > 1 << 15:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names=["root", "a", "b"])
+                yield flushed()
                 out, rows = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names=["root", "a", "b"])
+            yield flushed()
 
-    rows = nodes.select("fp").mapInArrow(expand, "bucket long, fp long")
+    rows = nodes.select("k", "fp").mapInArrow(expand, "bucket long, fp long")
     hot = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "hot")
-    return block_pairs(rows, ["bucket"], hot, BLOCK, "fp").mapInArrow(verify, "root long, a long, b long").distinct()
+    return block_pairs(rows, ["bucket"], hot, BLOCK, "fp").mapInArrow(verify, "k int, root long, a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, shingle: int = 3, max_bits: int = 2, parts: int | None = None) -> DataFrame:
     """doc_id, fp, component_id of every row: component_id is the least doc_id reachable by links."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = forest(links(nodes, max_bits, parts).select("a", "b"))
+    found = forest(links(nodes.withColumn("k", F.lit(0)), max_bits, parts).select("a", "b"))
     # From fingerprints to least doc_ids: a vertex is a document from here on, so that repeated ids join their links.
     edges = found.join(nodes.withColumnsRenamed({"fp": "a", "least": "x"}), "a").join(nodes.withColumnsRenamed({"fp": "b", "least": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rows = fps.join(nodes, "fp", "left")
@@ -411,7 +421,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, max_bits: int) -> DataFram
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_bits: int = NEAR_BITS) -> DataFrame:
+def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_bits: int = NEAR_BITS, wide: int = WIDE_BITS) -> DataFrame:
     """doc_id, component_id of every row with a doc_id: component_id is the least doc_id reachable by near copies (resemblance SIMILAR or more).
 
     Equal sets are one vertex.  First each candidate is verified against its
@@ -420,18 +430,15 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     """
     rows = stored(sketches(docs, shingle, prints), "sketches")
     nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")), "nodes")
-    members = ties = None
-    for k in range(prints):
-        one = nodes.select("id", "n", F.col("fps")[k].alias("fp"))
-        fps = stored(one.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("ids")), "prints")
-        found = stored(links(fps, max_bits), "links")
-        # Groups: a forest's fingerprints, and fingerprints of several sets.
-        groups = found.select("root", F.col("b").alias("fp")).unionAll(found.select("root", F.col("root").alias("fp"))).unionAll(fps.where("ids > 1").select(F.col("fp").alias("root"), "fp")).distinct()
-        mine = groups.join(one, "fp").select(F.lit(k).alias("k"), "root", "id", "n", "fp")
-        up = found.select(F.col("a").alias("up"), F.col("b").alias("fp")).unionAll(fps.where("ids > 1").select(F.col("fp").alias("up"), "fp")).distinct()
-        tied = up.join(fps.select(F.col("fp").alias("up"), "first"), "up").join(one, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        members, ties = (mine, tied) if members is None else (members.unionAll(mine), ties.unionAll(tied))
-    members = stored(members, "members")
+    one = nodes.select("id", "n", F.posexplode("fps").alias("k", "fp"))
+    fps = stored(one.groupBy("k", "fp").agg(F.min("id").alias("first"), F.count("*").alias("ids")), "prints")
+    found = stored(links(fps, max_bits, None, wide), "links")
+    # Groups: a forest's fingerprints, and fingerprints of several sets.
+    same = fps.where("ids > 1").select("k", F.col("fp").alias("root"), "fp")
+    groups = found.select("k", "root", F.col("b").alias("fp")).unionAll(found.select("k", "root", F.col("root").alias("fp"))).unionAll(same).distinct()
+    members = stored(groups.join(one, ["k", "fp"]).select("k", "root", "id", "n", "fp"), "members")
+    up = found.select("k", F.col("a").alias("up"), F.col("b").alias("fp")).unionAll(same.select("k", F.col("root").alias("up"), "fp")).distinct()
+    ties = up.join(fps.select("k", F.col("fp").alias("up"), "first"), ["k", "up"]).join(one, ["k", "fp"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
     met = members.select("id").distinct().join(nodes, "id").select(F.col("least").alias("doc_id")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +452,7 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     pairs = ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(size.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"id": "b", "n": "nb"}), "b").where(sized("na", "nb")).select("a", "b")
     first = stored(verified(pairs, sets), "near")
-    rest = verified(open_pairs(members, components(first), max_bits), sets)
+    rest = verified(open_pairs(members, components(first), wide), sets)
     found = forest(first.unionAll(rest))
     # From sets to least doc_ids: a vertex is a document from here on, so that repeated ids join their links.
     name = nodes.select("id", "least")
