@@ -398,9 +398,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def part_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each part of a group that chains of near copies connect: its least set, with that of the group's largest part."""
+    rows = members.join(labels, F.col("id") == F.col("v"), "left").groupBy("grp", F.coalesce("c", "id").alias("c")).agg(F.min("id").alias("b"), F.count("*").alias("rows"))
+    hub = rows.groupBy("grp").agg(F.max_by("b", F.struct("rows", "b")).alias("a"), F.count("*").alias("parts")).where("parts > 1")
+    return rows.join(hub, "grp").select("a", "b")
+
+
 def open_pairs(members: DataFrame, labels: DataFrame, max_bits: int) -> DataFrame:
     """Distinct pairs (a, b) of one group whose fingerprints link, whose sizes may be near, and which no chain of near copies connects yet."""
-    keys = ["k", "root"]
+    keys = ["grp"]
     rows = members.join(labels, F.col("id") == F.col("v"), "left").select(*keys, "id", "n", "fp", F.coalesce("c", "id").alias("c"))
     open_ = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
     open_ = stored(open_.select(*keys, F.ceil(F.col("rows") / BLOCK).cast("int").alias("m")), "open")
@@ -408,7 +415,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, max_bits: int) -> DataFram
     p, q = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, ids, n, fp, c in keyed_groups(batches, 3):
+        for _, _, ids, n, fp, c in keyed_groups(batches, 2):
             n, bits = n.astype(np.int64), fp.view(np.uint64)
             for s in range(0, len(ids), 512):
                 part = slice(s, s + 512)
@@ -424,21 +431,25 @@ def open_pairs(members: DataFrame, labels: DataFrame, max_bits: int) -> DataFram
 def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_bits: int = NEAR_BITS, wide: int = WIDE_BITS) -> DataFrame:
     """doc_id, component_id of every row with a doc_id: component_id is the least doc_id reachable by near copies (resemblance SIMILAR or more).
 
-    Equal sets are one vertex.  First each candidate is verified against its
-    parent in the forest of its fingerprint; then candidates of one group that
-    no chain connects yet against each other.
+    Equal sets are one vertex.  First each candidate is verified against one
+    parent, then each part of a group that hangs together against its largest
+    part; then candidates of one group that no chain connects yet against each
+    other.
     """
     rows = stored(sketches(docs, shingle, prints), "sketches")
     nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")), "nodes")
     one = nodes.select("id", "n", F.posexplode("fps").alias("k", "fp"))
     fps = stored(one.groupBy("k", "fp").agg(F.min("id").alias("first"), F.count("*").alias("ids")), "prints")
     found = stored(links(fps, max_bits, None, wide), "links")
-    # Groups: a forest's fingerprints, and fingerprints of several sets.
-    same = fps.where("ids > 1").select("k", F.col("fp").alias("root"), "fp")
-    groups = found.select("k", "root", F.col("b").alias("fp")).unionAll(found.select("k", "root", F.col("root").alias("fp"))).unionAll(same).distinct()
-    members = stored(groups.join(one, ["k", "fp"]).select("k", "root", "id", "n", "fp"), "members")
-    up = found.select("k", F.col("a").alias("up"), F.col("b").alias("fp")).unionAll(same.select("k", F.col("root").alias("up"), "fp")).distinct()
-    ties = up.join(fps.select("k", F.col("fp").alias("up"), "first"), ["k", "up"]).join(one, ["k", "fp"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    # A group is a chain of linked fingerprints of one k: it only names candidates, so that a clash of two k does no harm.
+    vertex = lambda fp: F.col(fp).bitwiseXOR(F.xxhash64("k"))
+    chains = components(forest(found.select(vertex("a").alias("a"), vertex("b").alias("b"))))
+    grouped = fps.withColumn("_v", vertex("fp")).join(chains, F.col("_v") == F.col("v"), "left").where(F.col("c").isNotNull() | (F.col("ids") > 1)).select("k", "fp", F.coalesce("c", "_v").alias("grp"))
+    members = stored(one.join(grouped, ["k", "fp"]).select("grp", "id", "n", "fp"), "members")
+    # One parent for each set: the first set of a fingerprint that its own links to, or the first of its own.
+    same = fps.where("ids > 1").select("k", F.col("fp").alias("up"), "fp")
+    up = found.select("k", F.col("a").alias("up"), F.col("b").alias("fp")).unionAll(same)
+    ties = up.join(fps.select("k", F.col("fp").alias("up"), "first"), ["k", "up"]).groupBy("k", "fp").agg(F.min("first").alias("a")).join(one, ["k", "fp"]).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
     met = members.select("id").distinct().join(nodes, "id").select(F.col("least").alias("doc_id")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,9 +460,16 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     # Sets are larger than texts: only texts that met another one are turned into sets again.
     sets = stored(texts_of(docs).join(stored(met, "met"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(read, "id long, shingles binary").dropDuplicates(["id"]), "sets")
     size = nodes.select("id", "n")
-    pairs = ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(size.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"id": "b", "n": "nb"}), "b").where(sized("na", "nb")).select("a", "b")
-    first = stored(verified(pairs, sets), "near")
+
+    def near_pairs(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(size.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"id": "b", "n": "nb"}), "b").where(sized("na", "nb")).select("a", "b")
+        return verified(pairs, sets)
+
+    first = stored(near_pairs(ties), "near")
+    # Then one set of each part of a group against one of its largest part: dense groups grow together before pairs are looked at.
+    more = stored(near_pairs(part_pairs(members, components(first))), "near")
+    first = first.unionAll(more)
     rest = verified(open_pairs(members, components(first), wide), sets)
     found = forest(first.unionAll(rest))
     # From sets to least doc_ids: a vertex is a document from here on, so that repeated ids join their links.
