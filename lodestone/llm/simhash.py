@@ -48,6 +48,8 @@ BITS, BLOCK, SUB_BITS = 64, 4096, 11
 PARTS = (3, 4, 5)
 #: Near copies: fingerprints of a set, bits in which all pairs are found, bits up to which pairs that meet are looked at, and the least resemblance.
 PRINTS, NEAR_BITS, WIDE_BITS, SIMILAR = 2, 9, 13, (4, 5)
+#: Sets and bytes of sets of a block that is compared in one task with another, and bits of the sketches that spare them most comparisons.
+BLOCK_SETS, BLOCK_BYTES, ODD_BITS = 2048, 64 << 20, 2048
 #: Costs of a probe row in the units of a candidate pair.
 PROBE_COST = 20.0
 
@@ -405,27 +407,56 @@ def part_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(hub, "grp").select("a", "b")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, max_bits: int) -> DataFrame:
-    """Distinct pairs (a, b) of one group whose fingerprints link, whose sizes may be near, and which no chain of near copies connects yet."""
+def odd_sketch(x: np.ndarray) -> np.ndarray:
+    """The parity of the set's members in each of ODD_BITS bins: two sketches differ in no more bits than their sets in members."""
+    bins = np.bincount((x >> np.uint64(40)).astype(np.int64) & (ODD_BITS - 1), minlength=ODD_BITS)
+    return np.packbits(bins & 1 == 1, bitorder="little").view(np.uint64)
+
+
+def near_links(ids: np.ndarray, fp: np.ndarray, c: np.ndarray, sets: list[np.ndarray], max_bits: int) -> list[tuple[int, int]]:
+    """Pairs of ids whose sets are near, no more than connect the labels c; fingerprints differ in max_bits bits or fewer."""
+    p, q = SIMILAR
+    n, odd = np.array([len(x) for x in sets]), np.array([odd_sketch(x) for x in sets])
+    label = np.unique(c, return_inverse=True)[1]
+    out = []
+    for s in range(0, len(ids), 512):
+        part = slice(s, s + 512)
+        ok = (label[part, None] != label[None, :]) & (ids[part, None] < ids[None, :]) & (q * np.minimum(n[part, None], n[None, :]) >= p * np.maximum(n[part, None], n[None, :]))
+        ok &= np.bitwise_count(fp[part, None] ^ fp[None, :]) <= max_bits
+        i, j = np.nonzero(ok)
+        i += s
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+            may = (label[x] != label[y]) & ((q + p) * apart <= (q - p) * (n[x] + n[y]))
+            for a, b in zip(x[may].tolist(), y[may].tolist(), strict=True):
+                if label[a] != label[b] and near(sets[a], sets[b]):
+                    out.append((int(ids[a]), int(ids[b])))
+                    label[label == label[b]] = label[a]
+    return out
+
+
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, max_bits: int) -> DataFrame:
+    """Near pairs (a, b) of one group that no chain of near copies connects yet, no more than connect what each pair of blocks holds.
+
+    Whole sets go to the blocks of their group and are compared there; a block
+    holds BLOCK_SETS sets or BLOCK_BYTES on average.
+    """
     keys = ["grp"]
     rows = members.join(labels, F.col("id") == F.col("v"), "left").select(*keys, "id", "n", "fp", F.coalesce("c", "id").alias("c"))
-    open_ = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-    open_ = stored(open_.select(*keys, F.ceil(F.col("rows") / BLOCK).cast("int").alias("m")), "open")
-    dealt = block_pairs(rows.join(open_, keys, "left_semi"), keys, open_, BLOCK, "id")
-    p, q = SIMILAR
+    open_ = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("size"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(8 * F.col("size") / BLOCK_BYTES)).cast("int")
+    open_ = stored(open_.select(*keys, blocks.alias("m")), "open")
+    dealt = block_pairs(rows.join(open_, keys, "left_semi").join(sets, "id").select(*keys, "id", "fp", "c", "shingles"), keys, open_, BLOCK_SETS, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ids, n, fp, c in keyed_groups(batches, 2):
-            n, bits = n.astype(np.int64), fp.view(np.uint64)
-            for s in range(0, len(ids), 512):
-                part = slice(s, s + 512)
-                ok = (c[part, None] != c[None, :]) & (ids[part, None] < ids[None, :]) & (q * np.minimum(n[part, None], n[None, :]) >= p * np.maximum(n[part, None], n[None, :]))
-                ok &= np.bitwise_count(bits[part, None] ^ bits[None, :]) <= max_bits
-                i, j = np.nonzero(ok)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][i]), pa.array(ids[j])], names=["a", "b"])
+        for _, _, ids, fp, c, shingles in keyed_groups(batches, 2):
+            found = near_links(ids, fp.view(np.uint64), c, [np.frombuffer(x, dtype=np.uint64) for x in shingles], max_bits)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_bits: int = NEAR_BITS, wide: int = WIDE_BITS) -> DataFrame:
@@ -434,7 +465,7 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     Equal sets are one vertex.  First each candidate is verified against one
     parent, then each part of a group that hangs together against its largest
     part; then candidates of one group that no chain connects yet against each
-    other.
+    other, in blocks that hold the sets and send out only what connects them.
     """
     rows = stored(sketches(docs, shingle, prints), "sketches")
     nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")), "nodes")
@@ -470,7 +501,7 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     # Then one set of each part of a group against one of its largest part: dense groups grow together before pairs are looked at.
     more = stored(near_pairs(part_pairs(members, components(first))), "near")
     first = first.unionAll(more)
-    rest = verified(open_pairs(members, components(first), wide), sets)
+    rest = open_links(members, components(first), sets, wide)
     found = forest(first.unionAll(rest))
     # From sets to least doc_ids: a vertex is a document from here on, so that repeated ids join their links.
     name = nodes.select("id", "least")

@@ -198,6 +198,7 @@ def test_near_copies_go_and_others_stay(spark):
 def test_near_copies_by_resemblance(spark, monkeypatch):
     """Pairs of 0.8 or more link (all but few near the bound), none below: edits that leave 0.7 to 0.95, groups cut into blocks."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 8)
     rng, rows = random.Random(4), []
     for i in range(60):
         base = words(i, 60 + 5 * i).split()
@@ -221,6 +222,20 @@ def test_near_copies_by_resemblance(spark, monkeypatch):
     assert {r.doc_id for r in simhash.dedup(docs).collect()} == {i for i in ids if got[i] == i}
 
 
+def test_sketches_drop_no_near_pair():
+    """A sketch differs in no more bits than its set in members, and links within a block connect what near pairs connect."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 63, size=n, dtype=np.uint64) for n in (1, 5, 40, 300, 5000)]
+    sets = [np.unique(np.r_[x[rng.random(len(x)) > cut], rng.integers(0, 1 << 63, size=int(cut * len(x)), dtype=np.uint64)]) for x in base for cut in (0, 0.02, 0.05, 0.08, 0.1, 0.15) for _ in range(3)]
+    odd = [simhash.odd_sketch(x) for x in sets]
+    assert all(np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y)) for a, x in zip(odd, sets, strict=True) for b, y in zip(odd, sets, strict=True))
+    ids = np.arange(len(sets))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.near(sets[i], sets[j])]
+    found = simhash.near_links(ids, np.zeros(len(sets), dtype=np.uint64), ids, sets, 13)
+    assert set(found) <= {(j, i) for i, j in near} and len(found) < len(sets)
+    assert brute_components(ids.tolist(), found) == brute_components(ids.tolist(), near)
+
+
 def test_forest_keeps_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(400)] + [(i, j) for i in range(300, 330) for j in range(300, 330)]
