@@ -365,16 +365,16 @@ def set_id(x: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int, prints: int) -> DataFrame:
-    """doc_id, id, n, fps of every row with a doc_id: the set's digest, size and fingerprints."""
-    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("fps", pa.list_(pa.int64()))])
+    """doc_id, id, n, odd, fps of every row with a doc_id: the set's digest, size, sketch and fingerprints."""
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("odd", pa.binary()), ("fps", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             fps = np.array([[majority(remix(x, k)) for k in range(prints)] for x in sets], dtype=np.uint64).reshape(len(sets), prints).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(fps), pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x).tobytes() for x in sets], pa.binary()), pa.array(list(fps), pa.list_(pa.int64()))], schema=schema)
 
-    return texts_of(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, id long, n int, fps array<long>")
+    return texts_of(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, id long, n int, odd binary, fps array<long>")
 
 
 def near(x: np.ndarray, y: np.ndarray) -> bool:
@@ -413,29 +413,70 @@ def odd_sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(bins & 1 == 1, bitorder="little").view(np.uint64)
 
 
+def met_pairs(ids: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of unlike labels whose fingerprints link and whose sizes may be near, some 16,000 at a time; label may change meanwhile."""
+    p, q = SIMILAR
+    for s in range(0, len(ids), 128):
+        part = slice(s, s + 128)
+        ok = np.bitwise_count(fp[part, None] ^ fp[None, :]) <= max_bits
+        ok &= (label[part, None] != label[None, :]) & (ids[part, None] < ids[None, :])
+        i, j = np.nonzero(ok)
+        i += s
+        sized = q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])
+        i, j = i[sized], j[sized]
+        for at in range(0, len(i), 1 << 14):
+            yield i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+
+
+def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Which pairs of places their sketches leave open; no near pair is left out."""
+    p, q = SIMILAR
+    return (q + p) * np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= (q - p) * (n[x] + n[y])
+
+
+def with_partner(ids: np.ndarray, fp: np.ndarray, n: np.ndarray, odd: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which sets have another one that their sketches may hold for near."""
+    got = np.zeros(len(ids), dtype=bool)
+    for x, y in met_pairs(ids, fp, n, np.arange(len(ids)), max_bits):
+        new = ~(got[x] & got[y])
+        x, y = x[new], y[new]
+        may = plausible(x, y, n, odd)
+        got[x[may]] = True
+        got[y[may]] = True
+    return got
+
+
 def near_links(ids: np.ndarray, fp: np.ndarray, c: np.ndarray, sets: list[np.ndarray], max_bits: int) -> list[tuple[int, int]]:
     """Pairs of ids whose sets are near, no more than connect the labels c; fingerprints differ in max_bits bits or fewer."""
-    p, q = SIMILAR
     n, odd = np.array([len(x) for x in sets]), np.array([odd_sketch(x) for x in sets])
     label = np.unique(c, return_inverse=True)[1]
     out = []
-    for s in range(0, len(ids), 512):
-        part = slice(s, s + 512)
-        ok = (label[part, None] != label[None, :]) & (ids[part, None] < ids[None, :]) & (q * np.minimum(n[part, None], n[None, :]) >= p * np.maximum(n[part, None], n[None, :]))
-        ok &= np.bitwise_count(fp[part, None] ^ fp[None, :]) <= max_bits
-        i, j = np.nonzero(ok)
-        i += s
-        for at in range(0, len(i), 1 << 14):
-            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
-            may = (label[x] != label[y]) & ((q + p) * apart <= (q - p) * (n[x] + n[y]))
-            for a, b in zip(x[may].tolist(), y[may].tolist(), strict=True):
-                if label[a] != label[b] and near(sets[a], sets[b]):
-                    out.append((int(ids[a]), int(ids[b])))
-                    label[label == label[b]] = label[a]
+    for x, y in met_pairs(ids, fp, n, label, max_bits):
+        may = label[x] != label[y]
+        x, y = x[may], y[may]
+        may = plausible(x, y, n, odd)
+        for a, b in zip(x[may].tolist(), y[may].tolist(), strict=True):
+            if label[a] != label[b] and near(sets[a], sets[b]):
+                out.append((int(ids[a]), int(ids[b])))
+                label[label == label[b]] = label[a]
     return out
 
 
+def partnered(members: DataFrame, nodes: DataFrame, max_bits: int) -> DataFrame:
+    """The ids of members (grp, id, fp) that another one of their group may be near to by fingerprint, size and sketch."""
+    hot = stored(members.groupBy("grp").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("grp", F.ceil(F.col("rows") / BLOCK).cast("int").alias("m")), "hot")
+    dealt = block_pairs(members.select("grp", "id", "fp").join(nodes.select("id", "n", "odd"), "id").select("grp", "id", "fp", "n", "odd"), ["grp"], hot, BLOCK, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, ids, fp, n, odd in keyed_groups(batches, 2):
+            odd = np.frombuffer(b"".join(odd), dtype=np.uint64).reshape(len(ids), -1)
+            got = with_partner(ids, fp.view(np.uint64), n.astype(np.int64), odd, max_bits)
+            if got.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[got])], names=["id"])
+
+    return dealt.mapInArrow(run, "id long").distinct()
+
+
 def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, max_bits: int) -> DataFrame:
     """Near pairs (a, b) of one group that no chain of near copies connects yet, no more than connect what each pair of blocks holds.
 
@@ -462,13 +503,14 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, max_bits:
 def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_bits: int = NEAR_BITS, wide: int = WIDE_BITS) -> DataFrame:
     """doc_id, component_id of every row with a doc_id: component_id is the least doc_id reachable by near copies (resemblance SIMILAR or more).
 
-    Equal sets are one vertex.  First each candidate is verified against one
+    Equal sets are one vertex.  Sets to which no other one of their group can be
+    near by size and sketch are left out (exactly).  First each candidate is verified against one
     parent, then each part of a group that hangs together against its largest
     part; then candidates of one group that no chain connects yet against each
     other, in blocks that hold the sets and send out only what connects them.
     """
     rows = stored(sketches(docs, shingle, prints), "sketches")
-    nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")), "nodes")
+    nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("fps").alias("fps")), "nodes")
     one = nodes.select("id", "n", F.posexplode("fps").alias("k", "fp"))
     fps = stored(one.groupBy("k", "fp").agg(F.min("id").alias("first"), F.count("*").alias("ids")), "prints")
     found = stored(links(fps, max_bits, None, wide), "links")
@@ -477,11 +519,15 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     chains = components(forest(found.select(vertex("a").alias("a"), vertex("b").alias("b"))))
     grouped = fps.withColumn("_v", vertex("fp")).join(chains, F.col("_v") == F.col("v"), "left").where(F.col("c").isNotNull() | (F.col("ids") > 1)).select("k", "fp", F.coalesce("c", "_v").alias("grp"))
     members = stored(one.join(grouped, ["k", "fp"]).select("grp", "id", "n", "fp"), "members")
+    # The more texts, the more fingerprints link by chance: sketches leave those out before any whole set is read.
+    alive = stored(partnered(members, nodes, wide), "alive")
+    members = stored(members.join(alive, "id", "left_semi").select("grp", "id", "n", "fp"), "members")
     # One parent for each set: the first set of a fingerprint that its own links to, or the first of its own.
     same = fps.where("ids > 1").select("k", F.col("fp").alias("up"), "fp")
     up = found.select("k", F.col("a").alias("up"), F.col("b").alias("fp")).unionAll(same)
     ties = up.join(fps.select("k", F.col("fp").alias("up"), "first"), ["k", "up"]).groupBy("k", "fp").agg(F.min("first").alias("a")).join(one, ["k", "fp"]).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
-    met = members.select("id").distinct().join(nodes, "id").select(F.col("least").alias("doc_id")).distinct()
+    ties = ties.join(alive.select(F.col("id").alias("a")), "a", "left_semi").join(alive.select(F.col("id").alias("b")), "b", "left_semi")
+    met = alive.join(nodes, "id").select(F.col("least").alias("doc_id")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -234,6 +234,8 @@ def test_sketches_drop_no_near_pair():
     found = simhash.near_links(ids, np.zeros(len(sets), dtype=np.uint64), ids, sets, 13)
     assert set(found) <= {(j, i) for i, j in near} and len(found) < len(sets)
     assert brute_components(ids.tolist(), found) == brute_components(ids.tolist(), near)
+    got = simhash.with_partner(ids, np.zeros(len(sets), dtype=np.uint64), np.array([len(x) for x in sets]), np.array(odd), 13)
+    assert all(got[i] and got[j] for i, j in near)
 
 
 def test_forest_keeps_components(spark):
