@@ -503,8 +503,10 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, max_bits:
 def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_bits: int = NEAR_BITS, wide: int = WIDE_BITS) -> DataFrame:
     """doc_id, component_id of every row with a doc_id: component_id is the least doc_id reachable by near copies (resemblance SIMILAR or more).
 
-    Equal sets are one vertex.  Sets to which no other one of their group can be
-    near by size and sketch are left out (exactly).  First each candidate is verified against one
+    Equal sets are one vertex.  Sets are left out if no other one of their group
+    is within ``wide`` bits and may be near by size and sketch; sketches alone
+    leave out no near pair, fingerprints more than ``wide`` bits apart may.
+    First each candidate is verified against one
     parent, then each part of a group that hangs together against its largest
     part; then candidates of one group that no chain connects yet against each
     other, in blocks that hold the sets and send out only what connects them.
