@@ -166,13 +166,14 @@ TOKEN_RULE = """
 def stream_scan(spark, sf_dir):
     """Documents read as a stream, each with one token line, scanned by one rule; findings and ledger entries merged batch by batch."""
     base, rules = scratch(spark, "stream"), parse(TOKEN_RULE)
-    schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # A glob, since a stream takes no path of a single file: the table is a file or a folder of part files.
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
     line = F.concat(F.lit('\ntoken = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('"\n'))
-    items = stream.select(F.lit("t").alias("tenant_id"), F.lit("p").alias("policy_hash"), F.col("doc_id").cast("string").alias("ovid_hash"), F.concat("text", line).alias("text"))
+    items = stream.select(F.lit("t").alias("tenant_id"), F.lit("p").alias("policy_hash"), F.col("doc_id").cast("string").alias("ovid_hash"), F.concat(F.coalesce("text", F.lit("")), line).alias("text"))
 
     def scan(rows):
         found = D.scan(rows, rules, id_col="ovid_hash").select(F.col("object_id").alias("ovid_hash"), "name", "root_start", "span_start", "span_end", "secret_hash")
+        found = stored(found, "found")  # both merges look at it twice
         some = found.groupBy("ovid_hash").agg(F.count("*").cast("int").alias("findings_count"))
         long = lambda x, name: F.lit(x).cast("long").alias(name)
         entries = rows.join(some, "ovid_hash", "left").select("tenant_id", "policy_hash", "ovid_hash", F.when(F.col("findings_count") > 0, 11).otherwise(10).alias("status"), F.octet_length("text").cast("long").alias("bytes_scanned"), F.coalesce("findings_count", F.lit(0)).alias("findings_count"), *[long(1, c) for c in ("run_id", "shard_id", "fence_epoch", "started_at", "finished_at")], F.lit(None).cast("string").alias("error_code"))

@@ -17,6 +17,7 @@ def scan_stream(objects: DataFrame, scan: Callable[[DataFrame], tuple[DataFrame,
     scan returns (findings, ledger entries) of a batch.  Items with a terminal
     entry are skipped.  Both merges are idempotent, so that a batch that is
     run again changes nothing: findings are durable before the ledger says so.
+    Both tables are there in the end, if only empty ones.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -27,6 +28,9 @@ def scan_stream(objects: DataFrame, scan: Callable[[DataFrame], tuple[DataFrame,
 
     query = objects.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    spark = objects.sparkSession
+    if any(read_table(spark, path) is None for path in (findings_path, ledger_path)):
+        batch(spark.createDataFrame([], objects.schema), -1)
     return query
 
 
