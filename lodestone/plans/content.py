@@ -8,7 +8,7 @@ from lodestone.functions import bytespace as B
 from lodestone.operators import content as C
 from lodestone.operators import detect as D
 from lodestone.operators import wholescan as W
-from lodestone.shared import scratch, stored
+from lodestone.shared import scratch, spread, stored
 from lodestone.sources import readers, sinks
 from lodestone.sources.readers import table
 from lodestone.sources.rules import parse
@@ -108,7 +108,7 @@ def _packed(spark, sf_dir):
                 out.append((f"c{k}.tgz", box.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInPandas(pack, "path string, content binary")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).mapInPandas(pack, "path string, content binary")
 
 
 def expand_archives(spark, sf_dir):

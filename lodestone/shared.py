@@ -47,3 +47,14 @@ def spread(df: DataFrame) -> DataFrame:
     """A small input dealt to all cores: one file of one row group would be one task.  Larger ones stay where they are read."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES and not df.isStreaming else df
+
+
+#: Bytes of an Arrow batch handed to Python, unless the user has chosen a size other than Spark's own.
+BATCH_BYTES = 8 << 20
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes: few rows of long contents at once, many of short ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+
 import duckdb
+import pyarrow as pa
 
+from lodestone.operators import content as C
 from lodestone.plans import all_queries
+from lodestone.plans import content as plans_content
 from lodestone.streaming import pipeline as P
 from tests.test_oracle import rows
 
@@ -41,3 +46,15 @@ def test_range_keys_of_wide_numbers(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     got, want = against_sql(spark, "range_keys", tmp_path, customer=f"{tmp_path}/customer.parquet/*.parquet")
     assert got == want
+
+
+def test_entries_go_on_in_batches(spark):
+    """Many entries to a batch, large ones few to a batch; archives are made and read by all cores though their table is one file."""
+    make = lambda bodies: pa.RecordBatch.from_arrays([pa.array([f"{i}.gz" for i in range(len(bodies))]), pa.array([gzip.compress(b, 1) for b in bodies])], names=["path", "content"])
+    batches = [make([b"x"] * 300), make([b"y"] * 300)]
+    got = list(C.expanded(iter(batches), C.BUDGET))
+    assert [b.num_rows for b in got] == [600] and got[0].to_pylist()[599] == {"path": "299.gz::299", "content": b"y", "outcome": "ok"}
+    large = {**C.BUDGET, "ratio": 1 << 20}
+    assert [b.num_rows for b in C.expanded(iter([make([b"z" * (5 << 20)] * 3)]), large)] == [2, 1]
+    assert list(C.expanded(iter([make([])]), C.BUDGET)) == []
+    assert plans_content._packed(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
