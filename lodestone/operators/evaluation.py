@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.detect import best_of
-from lodestone.shared import partitions
 
 EPS = 1e-12
 BLOCK_DROP, WARN_DROP = 0.02, 0.005
@@ -51,50 +51,98 @@ def greedy_match(findings: DataFrame, truth: DataFrame, require_rule_match: bool
     What is matched depends only on lines that overlap: a path's lines are cut
     where neither findings nor truth go on, and the pieces are matched apart.
     """
-    f = findings.select("path", F.col("f_start").cast("long").alias("a"), F.col("f_end").cast("long").alias("b"), F.struct("start", "end", "rule", "confidence").alias("f"), F.lit(None).cast("struct<truth_id:long,label:string,rule:string>").alias("t"))
-    rule = F.col("rule") if "rule" in truth.columns else F.lit(None)
-    t = truth.select("path", F.col("line_start").cast("long").alias("a"), F.col("line_end").cast("long").alias("b"), F.lit(None).cast(f.schema["f"].dataType).alias("f"), F.struct(F.col("truth_id").cast("long").alias("truth_id"), F.col("label").cast("string").alias("label"), rule.cast("string").alias("rule")).alias("t"))
+    none = lambda t: F.lit(None).cast(t)
+    f = findings.select("path", F.col("f_start").cast("long").alias("a"), F.col("f_end").cast("long").alias("b"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("rule").cast("string").alias("rule"), F.col("confidence").cast("int").alias("confidence"), F.lit(0).alias("kind"), none("long").alias("truth_id"))
+    rule = F.col("rule").cast("string") if "rule" in truth.columns else none("string")
+    kind = F.when(F.col("label") == "positive", POSITIVE).otherwise(NEGATIVE)
+    t = truth.where(F.col("label").isin("positive", "negative")).select("path", F.col("line_start").cast("long").alias("a"), F.col("line_end").cast("long").alias("b"), none("long").alias("start"), none("long").alias("end"), (rule if require_rule_match else none("string")).alias("rule"), none("int").alias("confidence"), kind.alias("kind"), F.col("truth_id").cast("long").alias("truth_id"))
     order = Window.partitionBy("path").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = f.unionAll(t).withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
+    rows = f.where(F.col("start").isNotNull()).unionAll(t).withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    names = ["start", "end", "rule", "confidence", "truth_id", "label", "t_rule"]
-    flat = rows.select("path", "island", "a", "b", "f.start", "f.end", "f.rule", "f.confidence", "t.truth_id", "t.label", F.col("t.rule").alias("t_rule"))
-    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("confidence", pa.int32()), ("outcome", pa.string()), ("truth_id", pa.int64())])
-
-    def judged(island: list[dict]) -> Iterator[tuple]:
-        def items(label: str) -> list[dict]:
-            return sorted((r for r in island if r["label"] == label), key=lambda r: (r["a"], r["b"], r["truth_id"]))
-
-        free, negative = items("positive"), items("negative")
-        found = sorted((r for r in island if r["label"] is None and r["start"] is not None), key=lambda r: (-r["confidence"], r["start"], r["end"], r["rule"]))
-        for r in found:
-            meets = lambda i, r=r: i["a"] <= r["b"] and i["b"] >= r["a"] and (not require_rule_match or r["rule"] in (i["t_rule"] or "").split(":"))
-            at = next((k for k, i in enumerate(free) if meets(i)), None)
-            if at is not None:
-                outcome, item = "tp", free.pop(at)["truth_id"]
-            else:
-                item = next((i["truth_id"] for i in negative if meets(i)), None)
-                outcome = "unlabeled" if item is None else "fp"
-            yield r["path"], r["start"], r["end"], r["rule"], r["confidence"], outcome, item
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if held and (held[0]["path"], held[0]["island"]) != (row["path"], row["island"]):
-                    out.extend(judged(held))
-                    held = []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
-        out = list(judged(held))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
-
-    # Islands pass through one after the other: a task holds one of them.
-    dealt = flat.repartition(partitions(findings.sparkSession), "path", "island").sortWithinPartitions("path", "island")
-    typed = dealt.select("path", "island", "a", "b", *[F.col(n).cast(t).alias(n) for n, t in zip(names, ("long", "long", "string", "int", "long", "string", "string"), strict=True)])
-    return typed.mapInArrow(run, MATCHED)
+    # Islands pass through one after the other: a task holds those of a batch.  The windows have left the rows in this
+    # order, so that nothing is dealt or sorted again.
+    dealt = rows.sortWithinPartitions("path", "a", "b")
+    return dealt.select("path", "island", "a", "b", "start", "end", "rule", "confidence", "kind", "truth_id").mapInArrow(lambda batches: matched(batches, require_rule_match), MATCHED)
+
+
+POSITIVE, NEGATIVE = 1, 2
+_MATCHED = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("confidence", pa.int32()), ("outcome", pa.string()), ("truth_id", pa.int64())])
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
+def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Row numbers at which another (path, island) begins, the first row left out."""
+    path, island = pc.fill_null(pc.cast(pc.index_in(rows["path"], pc.unique(rows["path"])), pa.int64()), -1), rows["island"]
+    path, island = np.asarray(path), np.asarray(island)
+    return np.flatnonzero((path[1:] != path[:-1]) | (island[1:] != island[:-1])) + 1
+
+
+def matched(batches: Iterator[pa.RecordBatch], require_rule_match: bool) -> Iterator[pa.RecordBatch]:
+    """Findings of whole islands with their outcomes; rows come by path and island."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = _starts(batch)
+        fresh = bool(held) and [held[-1][c][-1].as_py() for c in ("path", "island")] != [batch[c][0].as_py() for c in ("path", "island")]
+        cut = int(cuts[-1]) if len(cuts) else 0
+        if cut or fresh:
+            yield from judged(pa.Table.from_batches([*held, batch.slice(0, cut)]), require_rule_match)
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield from judged(pa.Table.from_batches(held), require_rule_match)
+
+
+def judged(rows: pa.Table, require_rule_match: bool) -> Iterator[pa.RecordBatch]:
+    """The findings among rows of whole islands, each with its outcome and item."""
+    n = rows.num_rows
+    number = lambda c, null: np.asarray(pc.fill_null(rows[c], null))
+    island = np.zeros(n, np.int64)
+    island[_starts(rows)] = 1
+    island = np.cumsum(island)
+    # Null lines meet nothing.
+    a, b, kind = number("a", _MOST), number("b", _LEAST), number("kind", 0)
+    truth_id, rule = number("truth_id", _LEAST), rows["rule"].to_pylist() if require_rule_match else None
+    names = pc.unique(rows["rule"])
+    rank = np.empty(len(names) + 1, np.int64)
+    rank[np.asarray(pc.sort_indices(names))], rank[-1] = np.arange(len(names)), -1
+    rank = rank[np.asarray(pc.fill_null(pc.index_in(rows["rule"], names), len(names)))]
+    own = kind == 0
+    first = lambda x, y: np.where(own, x, y)
+    # Findings: most confident first, then by place and rule; items: by lines and id.  Items stand before the findings of their island.
+    last, mid = first(number("end", 0), truth_id), first(number("start", 0), b)
+    order = np.lexsort((first(rank, 0), last, mid, first(-(number("confidence", -(2**31)).astype(np.int64)), a), own, island))
+    outcome, item = np.zeros(n, np.int8), np.zeros(n, np.int64)
+    hit: dict[int, tuple[int, int]] = {}
+    at, free, negative = -1, [], []
+    for i, of, k, x, y in zip(order.tolist(), island[order].tolist(), kind[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        if of != at:
+            at, free, negative = of, [], []
+        if k:
+            (free if k == POSITIVE else negative).append((x, y, i, (rule[i] or "").split(":") if rule else None))
+            continue
+        for q, (u, v, j, parts) in enumerate(free):
+            if u <= y and v >= x and (parts is None or rule[i] in parts):
+                hit[i] = (POSITIVE, j)
+                del free[q]
+                break
+        else:
+            for u, v, j, parts in negative:
+                if u <= y and v >= x and (parts is None or rule[i] in parts):
+                    hit[i] = (NEGATIVE, j)
+                    break
+    if hit:
+        where = np.fromiter(hit, np.int64, len(hit))
+        found = np.array(list(hit.values()), np.int64)
+        outcome[where], item[where] = found[:, 0], found[:, 1]
+    findings = np.flatnonzero(own)
+    kinds = pa.array(["unlabeled", "tp", "fp"]).take(pa.array(outcome[findings]))
+    items = rows["truth_id"].take(pa.array(item[findings], mask=outcome[findings] == 0))
+    picked = rows.select(["path", "start", "end", "rule", "confidence"]).take(pa.array(findings))
+    yield from pa.Table.from_arrays([*picked.columns, kinds, items], schema=_MATCHED).to_batches()
 
 
 def confusion(classified: DataFrame, positives: int | Column) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import duckdb
 import pyarrow as pa
 
 from lodestone.operators import content as C
+from lodestone.operators import evaluation as E
 from lodestone.plans import all_queries
 from lodestone.plans import content as plans_content
 from lodestone.streaming import pipeline as P
@@ -58,3 +60,36 @@ def test_entries_go_on_in_batches(spark):
     assert [b.num_rows for b in C.expanded(iter([make([b"z" * (5 << 20)] * 3)]), large)] == [2, 1]
     assert list(C.expanded(iter([make([])]), C.BUDGET)) == []
     assert plans_content._packed(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_greedy_match_of_whole_islands_in_any_batches(spark):
+    """Islands cut anywhere into batches, nulls and placeholders; one exchange per call, since rows are not dealt again."""
+    rng = random.Random(3)
+    spans = [(f"p{rng.randrange(3)}" if i % 40 else None, x := rng.randrange(60), x + rng.randrange(4)) for i in range(240)]
+    f = [(p, x, i % 9, f"r{i % 3}", rng.randrange(4), x, y) for i, (p, x, y) in enumerate(spans[:160])]
+    t = [(i, p, x, y, rng.choice(["positive", "positive", "negative", "placeholder"]), f"g:r{i % 4}") for i, (p, x, y) in enumerate(spans[160:])]
+    found = spark.createDataFrame(f, "path string, start long, end long, rule string, confidence int, f_start long, f_end long")
+    truth = spark.createDataFrame(t, "truth_id long, path string, line_start long, line_end long, label string, rule string")
+
+    def want(strict):
+        free, out = sorted((x for x in t if x[4] == "positive"), key=lambda x: (x[2], x[3], x[0])), []
+        negative = sorted((x for x in t if x[4] == "negative"), key=lambda x: (x[2], x[3], x[0]))
+        for r in sorted(f, key=lambda r: (-r[4], r[1], r[2], r[3], r[6])):
+            meets = lambda x, r=r: x[1] == r[0] and x[2] <= r[6] and x[3] >= r[5] and (not strict or r[3] in x[5].split(":"))
+            item, outcome = next((x for x in free if meets(x)), None), "tp"
+            if item is None:
+                item, outcome = next((x for x in negative if meets(x)), None), "fp"
+            else:
+                free.remove(item)
+            out.append((*r[:5], outcome if item else "unlabeled", item and item[0]))
+        return sorted(map(repr, out))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for strict in (False, True):
+                assert sorted(repr(tuple(r)) for r in E.greedy_match(found, truth, strict).collect()) == want(strict)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert E.greedy_match(found, truth)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
