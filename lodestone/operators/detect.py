@@ -26,7 +26,7 @@ from lodestone.functions import bytespace as B
 from lodestone.functions import codecs as C
 from lodestone.functions import gates as G
 from lodestone.functions import validators as V
-from lodestone.shared import spread
+from lodestone.shared import byte_batches, spread
 from lodestone.sources.rules import load, python_regex, rules_df
 
 MERGE_GAP = 64
@@ -224,13 +224,15 @@ def text_matches(objects: DataFrame, rules: list[dict], id_col: str, text_col: s
         exact, folded, by_id = _compiled(table)
         for batch in batches:
             found, dropped = [], []
-            for text in batch.column(1).to_pylist():
+            for value in batch.column(1):
+                text = value.as_py()
                 raw = (text or b"") if binary else (text or "").encode("utf-8", "surrogatepass")
                 rows, lost = found_in(raw, exact, folded, by_id, depth, transforms, whole_text, items, size)
                 found.append(rows)
                 dropped.append(lost)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_MATCH)), pa.array(dropped, pa.int32())], names=["object_id", "found", "dropped"])
 
+    byte_batches(objects.sparkSession)
     return spread(picked).mapInArrow(run, schema)
 
 

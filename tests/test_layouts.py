@@ -9,9 +9,11 @@ import duckdb
 import pyarrow as pa
 
 from lodestone.operators import content as C
+from lodestone.operators import detect as D
 from lodestone.operators import evaluation as E
 from lodestone.plans import all_queries
 from lodestone.plans import content as plans_content
+from lodestone.shared import BATCH_BYTES
 from lodestone.streaming import pipeline as P
 from tests.test_oracle import rows
 
@@ -93,3 +95,19 @@ def test_greedy_match_of_whole_islands_in_any_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert E.greedy_match(found, truth)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_scans_bound_batches_by_bytes(spark):
+    """Long texts come to Python few at once, whatever the size of their table; a size that the user has chosen stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "token")], "doc_id long, text string")
+    rule = [{**D.load()[0]}]
+    try:
+        spark.conf.unset(key)
+        D.text_matches(docs, rule, "doc_id", "text", 0)
+        assert spark.conf.get(key) == str(BATCH_BYTES)
+        spark.conf.set(key, "1000")
+        D.text_matches(docs, rule, "doc_id", "text", 0)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.unset(key)
