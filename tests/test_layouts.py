@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import random
 
 import duckdb
@@ -111,3 +112,23 @@ def test_scans_bound_batches_by_bytes(spark):
         assert spark.conf.get(key) == "1000"
     finally:
         spark.conf.unset(key)
+
+
+def test_compressed_files_are_read_in_steps(monkeypatch):
+    """No buffer of the size of the limit for every small file; limits and broken ends as before."""
+    asked, opened = [], gzip.open
+
+    class Asked(io.BytesIO):
+        def read(self, n=-1):
+            asked.append(n)
+            return super().read(n)
+
+    monkeypatch.setattr(C.gzip, "open", lambda f: Asked(opened(f).read()))
+    body = bytes(range(256)) * 1024
+    assert list(C.expand_one("a.gz", gzip.compress(body), C.BUDGET)) == [("a.gz::a", body, "ok")] and max(asked) == C.STEP_BYTES
+    for most, outcome in ((len(body), "ok"), (len(body) - 1, "entry_too_large"), (1, "entry_too_large")):
+        asked.clear()
+        assert [r[2] for r in C.expand_one("a.gz", gzip.compress(body), {**C.BUDGET, "entry_bytes": most})] == [outcome] and sum(asked) <= most + 1 + C.STEP_BYTES
+    monkeypatch.undo()
+    assert list(C.expand_one("a.gz", gzip.compress(body)[:-9], C.BUDGET)) == [("a.gz", None, "corrupt")]
+    assert list(C.expand_one("a.gz", gzip.compress(b"a") + gzip.compress(b"b"), C.BUDGET)) == [("a.gz::a", b"ab", "ok")]
