@@ -13,7 +13,7 @@ from __future__ import annotations
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import unquote_to_bytes
 
@@ -209,16 +209,13 @@ def found_in(text: bytes, exact, folded, rules: dict, depth: int, transforms: tu
     return out, dropped
 
 
-def text_matches(objects: DataFrame, rules: list[dict], id_col: str, text_col: str, depth: int, modes: dict[str, str] | None = None, whole_text: bool = False, items: int | None = None, size: int | None = None) -> DataFrame:
-    """object_id, found (array of matches), dropped of every object: one narrow pass."""
+def matcher(rules: list[dict], binary: bool, depth: int, modes: dict[str, str] | None = None, whole_text: bool = False, items: int | None = None, size: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pass over batches of (object_id, text) that gives object_id, found (array of matches), dropped."""
     modes = {**dict.fromkeys(TRANSFORMS, "always"), **(modes or {})}
     if not set(modes) <= set(TRANSFORMS) or not set(modes.values()) <= set(MODES):
         raise ValueError(f"transforms are {TRANSFORMS}, modes are {MODES}")
     transforms = tuple(t for t in TRANSFORMS if modes[t] != "disabled")
     table = json.dumps(rules)
-    picked = objects.select(F.col(id_col).alias("object_id"), F.col(text_col).alias("text"))
-    binary = isinstance(picked.schema["text"].dataType, T.BinaryType)
-    schema = picked.select("object_id").schema.add("found", T.ArrayType(_MATCH_TYPE)).add("dropped", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, folded, by_id = _compiled(table)
@@ -232,8 +229,19 @@ def text_matches(objects: DataFrame, rules: list[dict], id_col: str, text_col: s
                 dropped.append(lost)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_MATCH)), pa.array(dropped, pa.int32())], names=["object_id", "found", "dropped"])
 
+    return run
+
+
+def matches_schema(object_id: T.StructField) -> T.StructType:
+    return T.StructType([object_id, T.StructField("found", T.ArrayType(_MATCH_TYPE)), T.StructField("dropped", T.IntegerType())])
+
+
+def text_matches(objects: DataFrame, rules: list[dict], id_col: str, text_col: str, depth: int, modes: dict[str, str] | None = None, whole_text: bool = False, items: int | None = None, size: int | None = None) -> DataFrame:
+    """object_id, found (array of matches), dropped of every object: one narrow pass."""
+    picked = objects.select(F.col(id_col).alias("object_id"), F.col(text_col).alias("text"))
+    run = matcher(rules, isinstance(picked.schema["text"].dataType, T.BinaryType), depth, modes, whole_text, items, size)
     byte_batches(objects.sparkSession)
-    return spread(picked).mapInArrow(run, schema)
+    return spread(picked).mapInArrow(run, matches_schema(picked.schema["object_id"]))
 
 
 # -- gates of a match ------------------------------------------------------------------------------
@@ -333,10 +341,13 @@ def scan(objects: DataFrame, rules: list[dict] | None = None, id_col: str = "obj
     there is no bound unless one is given.
     """
     rules = rules or load()
-    dim = rules_df(objects.sparkSession, rules)
-    found = text_matches(objects, rules, id_col, text_col, depth, modes, whole_text, items, size)
-    rows = found.where(F.size("found") > 0).select("object_id", F.explode("found").alias("m")).select("object_id", "m.*")
-    rows = gated(rows.join(F.broadcast(dim), "rule_id"), rules)
+    return findings(text_matches(objects, rules, id_col, text_col, depth, modes, whole_text, items, size), rules, modes)
+
+
+def findings(matches: DataFrame, rules: list[dict], modes: dict[str, str] | None = None) -> DataFrame:
+    """Findings of the matches that text_matches has found: gates, score, dedups."""
+    rows = matches.where(F.size("found") > 0).select("object_id", F.explode("found").alias("m")).select("object_id", "m.*")
+    rows = gated(rows.join(F.broadcast(rules_df(matches.sparkSession, rules)), "rule_id"), rules)
     rows = rows.withColumn("depth", F.size("steps")).withColumn("secret_hash", F.sha2(F.encode("secret", "ISO-8859-1"), 256)).select(*FINDING)
     rows = without_skipped(rows, [t for t, m in (modes or {}).items() if m == "if_no_findings"])
     way = F.array_join(F.transform("steps", lambda s: s["kind"]), "/")

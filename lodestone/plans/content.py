@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import bytespace as B
 from lodestone.operators import content as C
 from lodestone.operators import detect as D
 from lodestone.operators import wholescan as W
-from lodestone.shared import scratch, spread, stored
+from lodestone.shared import byte_batches, scratch, spread, stored
 from lodestone.sources import readers, sinks
 from lodestone.sources.readers import table
 from lodestone.sources.rules import parse
@@ -204,12 +205,13 @@ def whole_scan(spark, sf_dir):
     body = F.when(kind == 1, F.concat(F.lit("K='"), line, F.lit("'\n"))).when(kind == 2, note).otherwise(plain)
     path = F.concat(F.lit("/d/"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(F.array(*[F.lit(n) for n in names]), kind + 1))
 
-    def pack(parts):
-        for pdf in parts:
-            pdf["content"] = [gzip.compress(c) if p.endswith(".gz") else c for p, c in zip(pdf.path, pdf.content, strict=True)]
-            yield pdf
+    def pack(batches):
+        for b in batches:
+            content = [gzip.compress(c.as_py()) if p.endswith(".gz") else c for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], names=["path", "content"])
 
-    files = table(spark, sf_dir, "documents").where("doc_id is not null").select(path.alias("path"), F.encode(body, "UTF-8").alias("content")).mapInPandas(pack, "path string, content binary")
+    byte_batches(spark)
+    files = table(spark, sf_dir, "documents").where("doc_id is not null").select(path.alias("path"), F.encode(body, "UTF-8").alias("content")).mapInArrow(pack, "path string, content binary")
     findings, ledger = W.scan_files(stored(files, "files"), parse(TOKEN_RULE), depth=1)
     some = findings.groupBy("ovid_hash").agg(F.count_distinct("finding_id").alias("n_found"), F.max("object_id").alias("path"))
     return ledger.join(some, "ovid_hash", "left").groupBy("status", F.regexp_extract("path", "[^/]*$", 0).alias("file")).agg(F.count("*").alias("n_files"), F.sum(F.when(F.col("n_found") > 0, 1).otherwise(0)).alias("n_with"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 import random
+import zipfile
 
 import duckdb
 import pyarrow as pa
@@ -12,9 +15,11 @@ import pyarrow as pa
 from lodestone.operators import content as C
 from lodestone.operators import detect as D
 from lodestone.operators import evaluation as E
+from lodestone.operators import wholescan as W
 from lodestone.plans import all_queries
 from lodestone.plans import content as plans_content
 from lodestone.shared import BATCH_BYTES
+from lodestone.sources import rules
 from lodestone.streaming import pipeline as P
 from tests.test_oracle import rows
 
@@ -132,3 +137,23 @@ def test_compressed_files_are_read_in_steps(monkeypatch):
     monkeypatch.undo()
     assert list(C.expand_one("a.gz", gzip.compress(body)[:-9], C.BUDGET)) == [("a.gz", None, "corrupt")]
     assert list(C.expand_one("a.gz", gzip.compress(b"a") + gzip.compress(b"b"), C.BUDGET)) == [("a.gz::a", b"ab", "ok")]
+
+
+def test_whole_scan_passes_once_over_the_contents(spark):
+    """Neither table runs the pass again, no content is shuffled; a path given twice has one version, that of the last content; '::' may stand in a path."""
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("n.ipynb", json.dumps({"cells": [{"cell_type": "code", "source": "tok_aaaaaaaa"}]}))
+        z.writestr("b.ipynb", "{")
+    last = b"z tok_cccccccc"
+    files = [("/x::y.zip", box.getvalue()), ("/a.txt", b"a tok_bbbbbbbb"), ("/a.txt", last), ("/a.txt", None), ("/n.txt", None), ("/e.env/.env", b"A='tok_dddddddd'")]
+    files = spark.createDataFrame(files, "path string, content binary")
+    found, ledger = W.scan_files(files, rules.parse("- {name: t, regex: 'tok_([a-z]{8})', anchors: [tok_]}"))
+    for df in (found, ledger):
+        assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    assert sorted((r.object_id, r.path, r.secret, r.version) for r in found.collect()) == sorted([
+        ("/x::y.zip", "/x::y.zip::n.ipynb", "aaaaaaaa", digest(box.getvalue())), ("/a.txt", "/a.txt", "bbbbbbbb", digest(last)), ("/a.txt", "/a.txt", "cccccccc", digest(last)),
+        ("/e.env/.env", "/e.env/.env", "dddddddd", digest(b"A='tok_dddddddd'")),
+    ])
+    assert sorted((r.status, r.findings_count, r.bytes_scanned) for r in ledger.collect()) == sorted([(11, 1, len(box.getvalue())), (11, 2, len(last)), (10, 0, 0), (11, 1, 16)])
