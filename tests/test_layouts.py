@@ -157,3 +157,19 @@ def test_whole_scan_passes_once_over_the_contents(spark):
         ("/e.env/.env", "/e.env/.env", "dddddddd", digest(b"A='tok_dddddddd'")),
     ])
     assert sorted((r.status, r.findings_count, r.bytes_scanned) for r in ledger.collect()) == sorted([(11, 1, len(box.getvalue())), (11, 2, len(last)), (10, 0, 0), (11, 1, 16)])
+
+
+def test_identity_chain_keeps_the_rows_of_an_item_together(spark, tmp_path):
+    """Within a task rows stand by item and version, ordered before the digests are made and without an exchange; rows are those of the SQL."""
+    lines = [(i * 7919 % 41, i * 31 % 7 + 1, i % 23, i % 9, "ANR"[i % 3]) for i in range(900)]
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").repartition(2).write.parquet(path)
+    got, want = against_sql(spark, "identity_chain", tmp_path, lineitem=path + "/*.parquet")
+    assert got == want and len(got) == 900
+    df = QUERIES["identity_chain"][0](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and -1 < plan.find("sha2") < plan.find("Sort [")
+    tasks = {}
+    for p, *row in df.selectExpr("spark_partition_id()", "object_id", "version").collect():
+        tasks.setdefault(p, []).append(row)
+    assert all(x == sorted(x) for x in tasks.values())
