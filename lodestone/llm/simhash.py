@@ -22,6 +22,9 @@ independent fingerprints of each set name candidates (any one may), and every
 candidate pair is verified by its whole sets, so that no link is made up.
 Fingerprints of sets of resemblance 0.8 differ in 9.7 bits on average; all pairs
 up to NEAR_BITS meet, most of those up to WIDE_BITS do and are looked at too.
+Pairs that meet in one fingerprint by chance, more and more of them as the table
+grows, differ in half of the bits of the next one: probes carry that one along,
+and a link has no more than OTHER_BITS there.
 
 Null and empty texts have the fingerprint zero and link like any other.  Rows
 with a null doc_id have a fingerprint and no component.  Rows that repeat a
@@ -48,10 +51,12 @@ BITS, BLOCK, SUB_BITS = 64, 4096, 11
 PARTS = (3, 4, 5)
 #: Near copies: fingerprints of a set, bits in which all pairs are found, bits up to which pairs that meet are looked at, and the least resemblance.
 PRINTS, NEAR_BITS, WIDE_BITS, SIMILAR = 2, 9, 13, (4, 5)
+#: Bits in which the next fingerprints of near copies may differ: more at a resemblance of 0.8 for some 2 in 100,000 pairs, no more by chance for 1 in 110.
+OTHER_BITS = 22
 #: Sets and bytes of sets of a block that is compared in one task with another, and bits of the sketches that spare them most comparisons.
 BLOCK_SETS, BLOCK_BYTES, ODD_BITS = 2048, 64 << 20, 2048
-#: Costs of a probe row in the units of a candidate pair.
-PROBE_COST = 20.0
+#: Costs of a probe row in the units of a candidate pair; those of near copies also have the next fingerprint and take most of the disk.
+PROBE_COST, NEAR_PROBE_COST = 20.0, 500.0
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -201,7 +206,7 @@ def walsh(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def thresholds(shares: list[np.ndarray], widths: list[int], n: int, max_bits: int) -> tuple[float, list[int]]:
+def thresholds(shares: list[np.ndarray], widths: list[int], n: int, max_bits: int, probe_cost: float = PROBE_COST) -> tuple[float, list[int]]:
     """The cost and the thresholds of least estimated cost whose sum with one added to each is max_bits + 1 or more.
 
     A threshold of -1 leaves a partition out.  Both sides of a pair probe half
@@ -212,7 +217,7 @@ def thresholds(shares: list[np.ndarray], widths: list[int], n: int, max_bits: in
         costs = {-1: 0.0}
         for t in range(0, min(max_bits, width) + 2, 2):
             probes = sum(math.comb(width, r) for r in range(t // 2 + 1))
-            costs[t] = float(share[: t + 1].sum()) * n * n / 2 + PROBE_COST * probes * n
+            costs[t] = float(share[: t + 1].sum()) * n * n / 2 + probe_cost * probes * n
         options.append(costs)
     need = max_bits + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -227,18 +232,25 @@ def thresholds(shares: list[np.ndarray], widths: list[int], n: int, max_bits: in
     return best[need]
 
 
-def linked(fp: np.ndarray, max_bits: int) -> list[tuple[int, int, int]]:
-    """A spanning forest of the links among the fingerprints: (root, parent, child) as places."""
-    n = len(fp)
-    if n <= 256 and not (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= max_bits).sum() > n:
-        return []
-    edges, left = [], np.arange(n)
+def linked(fp: np.ndarray, max_bits: int, other: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """A spanning forest of the links among the fingerprints: (root, parent, child) as places; with other, the next fingerprints differ in OTHER_BITS or fewer."""
+    met = np.zeros(len(fp), dtype=bool)
+    for s in range(0, len(fp), 256):
+        i, j = np.nonzero(np.bitwise_count(fp[s : s + 256, None] ^ fp[None, s:]) <= max_bits)
+        i, j = i[i < j] + s, j[i < j] + s
+        if other is not None:
+            ok = np.bitwise_count(other[i] ^ other[j]) <= OTHER_BITS
+            i, j = i[ok], j[ok]
+        met[i] = met[j] = True
+    edges, left = [], np.nonzero(met)[0]
     while len(left):
         root, left = int(left[0]), left[1:]
         todo = [root]
         while todo and len(left):
             at = todo.pop()
             hit = np.bitwise_count(fp[left] ^ fp[at]) <= max_bits
+            if other is not None:
+                hit &= np.bitwise_count(other[left] ^ other[at]) <= OTHER_BITS
             for x in left[hit].tolist():
                 edges.append((root, at, x))
                 todo.append(x)
@@ -278,20 +290,20 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[lis
         yield from cut(held)
 
 
-def block_pairs(rows: DataFrame, keys: list[str], counts: DataFrame, block: int, by: str) -> DataFrame:
+def block_pairs(rows: DataFrame, keys: list[str], counts: DataFrame, block: int, *by: str) -> DataFrame:
     """rows dealt and sorted by keys and the pair of blocks: a key of more than block rows (counts: keys, m) is cut into m blocks, each pair of which is a group."""
     spark = rows.sparkSession
-    mine = F.pmod(F.xxhash64(by), F.col("m")).cast("int")
+    mine = F.pmod(F.xxhash64(*by), F.col("m")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda c: F.least(c, mine).cast("long") * (1 << 31) + F.greatest(c, mine))
     cut = rows.join(counts, keys, "left").withColumn("pair", F.explode(F.when(F.col("m") > 1, pair).otherwise(F.array(F.lit(0).cast("long"))))).drop("m")
-    return cut.select(*keys, "pair", *[c for c in rows.columns if c not in keys]).repartition(partitions(spark), *keys, "pair").sortWithinPartitions(*keys, "pair", by)
+    return cut.select(*keys, "pair", *[c for c in rows.columns if c not in keys]).repartition(partitions(spark), *keys, "pair").sortWithinPartitions(*keys, "pair", *by)
 
 
-def plan(nodes: DataFrame, max_bits: int, parts: int | None = None) -> list[tuple[int, list[int], np.ndarray]]:
+def plan(nodes: DataFrame, max_bits: int, parts: int | None = None, probe_cost: float = PROBE_COST) -> list[tuple[int, list[int], np.ndarray]]:
     """(number, bits, masks of its probes) of each partition in use; 64 x 64 counts and histograms reach the driver."""
     corr, n = correlations(nodes), nodes.count()
     groupings = [grouped_bits(corr, p) for p in ((parts,) if parts else PARTS)]
-    costs = [(*thresholds(s, [len(g) for g in groups], n, max_bits), groups) for s, groups in zip(distance_shares(nodes, groupings), groupings, strict=True)]
+    costs = [(*thresholds(s, [len(g) for g in groups], n, max_bits, probe_cost), groups) for s, groups in zip(distance_shares(nodes, groupings), groupings, strict=True)]
     _, chosen, groups = min(costs, key=lambda c: c[0])
     return [(k, g, ball(len(g), t // 2)) for k, (g, t) in enumerate(zip(groups, chosen, strict=True)) if t >= 0]
 
@@ -300,17 +312,21 @@ def links(nodes: DataFrame, max_bits: int, parts: int | None = None, wide: int |
     """Links (k, root, a, b) between distinct fingerprints (k, fp) of one k that connect whatever links: a and b link, root is where their forest begins.
 
     All pairs of max_bits differing bits or fewer meet; with wide, pairs that
-    meet link up to that many.
+    meet link up to that many.  Nodes (k, fp, other) are distinct pairs of a
+    fingerprint and the next one, which holds a link to OTHER_BITS; other_a and
+    other_b come back with their links.
     """
-    probes = plan(nodes.where("k = 0").select("fp"), max_bits, parts)
+    own = ["fp", *[c for c in nodes.columns if c == "other"]]
+    probes = plan(nodes.where("k = 0").select("fp"), max_bits, parts, NEAR_PROBE_COST if len(own) > 1 else PROBE_COST)
     most = max_bits if wide is None else wide
+    ends = ["root", "a", "b", "_", "other_a", "other_b"][: 3 * len(own)]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, raw = np.asarray(batch.column(0)).astype(np.int64) << 60, np.asarray(batch.column(1))
+            one, raw = np.asarray(batch.column(0)).astype(np.int64) << 60, [np.asarray(c) for c in batch.columns[1:]]
             for k, bits, masks in probes:
-                keys = ((part_key(raw.view(np.uint64), bits) | one)[:, None] ^ masks[None, :]).ravel() | (k << 56)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(raw, len(masks)))], names=["bucket", "fp"])
+                keys = ((part_key(raw[0].view(np.uint64), bits) | one)[:, None] ^ masks[None, :]).ravel() | (k << 56)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(c, len(masks))) for c in raw]], names=["bucket", *own])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -318,12 +334,13 @@ def links(nodes: DataFrame, max_bits: int, parts: int | None = None, wide: int |
 
         def flushed() -> pa.RecordBatch:
             cols = np.concatenate(out).T
-            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *[pa.array(c) for c in cols[1:]]], names=["k", "root", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *[pa.array(c) for c in cols[1:]]], names=["k", *ends])
 
-        for bucket, _, fp in keyed_groups(batches, 2):
-            found = linked(fp.view(np.uint64), most)
+        for bucket, _, *prints in keyed_groups(batches, 2):
+            found = linked(prints[0].view(np.uint64), most, *[x.view(np.uint64) for x in prints[1:]])
             if found:
-                out.append(np.column_stack([np.full(len(found), bucket[0] >> 60), fp[np.array(found)]]))
+                at = np.array(found)
+                out.append(np.column_stack([np.full(len(found), bucket[0] >> 60), *[x[at] for x in prints]]))
                 rows += len(found)
             if rows > 1 << 15:
                 yield flushed()
@@ -331,9 +348,9 @@ def links(nodes: DataFrame, max_bits: int, parts: int | None = None, wide: int |
         if out:
             yield flushed()
 
-    rows = nodes.select("k", "fp").mapInArrow(expand, "bucket long, fp long")
+    rows = nodes.select("k", *own).mapInArrow(expand, ", ".join(f"{c} long" for c in ["bucket", *own]))
     hot = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "hot")
-    return block_pairs(rows, ["bucket"], hot, BLOCK, "fp").mapInArrow(verify, "k int, root long, a long, b long").distinct()
+    return block_pairs(rows, ["bucket"], hot, BLOCK, *own).mapInArrow(verify, "k int, " + ", ".join(f"{c} long" for c in ends)).drop("_").distinct()
 
 
 def clusters(docs: DataFrame, shingle: int = 3, max_bits: int = 2, parts: int | None = None) -> DataFrame:
@@ -506,6 +523,9 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     Equal sets are one vertex.  Sets are left out if no other one of their group
     is within ``wide`` bits and may be near by size and sketch; sketches alone
     leave out no near pair, fingerprints more than ``wide`` bits apart may.
+    Groups hang together by links that hold in both fingerprints (OTHER_BITS):
+    by one alone, chance would join most of a table of some million texts to
+    one group, whose blocks meet each other.
     First each candidate is verified against one
     parent, then each part of a group that hangs together against its largest
     part; then candidates of one group that no chain connects yet against each
@@ -513,21 +533,22 @@ def near_clusters(docs: DataFrame, shingle: int = 5, prints: int = PRINTS, max_b
     """
     rows = stored(sketches(docs, shingle, prints), "sketches")
     nodes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("fps").alias("fps")), "nodes")
-    one = nodes.select("id", "n", F.posexplode("fps").alias("k", "fp"))
-    fps = stored(one.groupBy("k", "fp").agg(F.min("id").alias("first"), F.count("*").alias("ids")), "prints")
+    key = ["k", "fp", "other"]
+    one = nodes.select("id", "n", "fps", F.posexplode("fps").alias("k", "fp")).withColumn("other", F.col("fps")[(F.col("k") + 1) % prints]).drop("fps")
+    fps = stored(one.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("ids")), "prints")
     found = stored(links(fps, max_bits, None, wide), "links")
-    # A group is a chain of linked fingerprints of one k: it only names candidates, so that a clash of two k does no harm.
-    vertex = lambda fp: F.col(fp).bitwiseXOR(F.xxhash64("k"))
-    chains = components(forest(found.select(vertex("a").alias("a"), vertex("b").alias("b"))))
-    grouped = fps.withColumn("_v", vertex("fp")).join(chains, F.col("_v") == F.col("v"), "left").where(F.col("c").isNotNull() | (F.col("ids") > 1)).select("k", "fp", F.coalesce("c", "_v").alias("grp"))
-    members = stored(one.join(grouped, ["k", "fp"]).select("grp", "id", "n", "fp"), "members")
+    # A group is a chain of linked fingerprints of one k: it only names candidates, so that a clash of two vertices does no harm.
+    chains = components(forest(found.select(F.xxhash64("k", "a", "other_a").alias("a"), F.xxhash64("k", "b", "other_b").alias("b"))))
+    grouped = fps.withColumn("_v", F.xxhash64(*key)).join(chains, F.col("_v") == F.col("v"), "left").where(F.col("c").isNotNull() | (F.col("ids") > 1)).select(*key, F.coalesce("c", "_v").alias("grp"))
+    members = stored(one.join(grouped, key).select("grp", "id", "n", "fp"), "members")
     # The more texts, the more fingerprints link by chance: sketches leave those out before any whole set is read.
     alive = stored(partnered(members, nodes, wide), "alive")
     members = stored(members.join(alive, "id", "left_semi").select("grp", "id", "n", "fp"), "members")
     # One parent for each set: the first set of a fingerprint that its own links to, or the first of its own.
-    same = fps.where("ids > 1").select("k", F.col("fp").alias("up"), "fp")
-    up = found.select("k", F.col("a").alias("up"), F.col("b").alias("fp")).unionAll(same)
-    ties = up.join(fps.select("k", F.col("fp").alias("up"), "first"), ["k", "up"]).groupBy("k", "fp").agg(F.min("first").alias("a")).join(one, ["k", "fp"]).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
+    same = fps.where("ids > 1").select(*key, F.col("fp").alias("up"), F.col("other").alias("other_up"))
+    up = found.select("k", F.col("b").alias("fp"), F.col("other_b").alias("other"), F.col("a").alias("up"), F.col("other_a").alias("other_up")).unionAll(same)
+    firsts = fps.select("k", F.col("fp").alias("up"), F.col("other").alias("other_up"), "first")
+    ties = up.join(firsts, ["k", "up", "other_up"]).groupBy(*key).agg(F.min("first").alias("a")).join(one, key).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
     ties = ties.join(alive.select(F.col("id").alias("a")), "a", "left_semi").join(alive.select(F.col("id").alias("b")), "b", "left_semi")
     met = alive.join(nodes, "id").select(F.col("least").alias("doc_id")).distinct()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -151,6 +152,36 @@ def test_links_equal_brute_force(spark, monkeypatch, max_bits, parts):
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} <= {(min(p), max(p)) for p in near}
 
 
+def test_links_of_near_copies_hold_in_both_fingerprints(spark, monkeypatch):
+    """Fingerprints that all link by chance (12 bits that vary) make no group unless the next ones are near too, in keys of more rows than a block as well."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    fp, other = rng.integers(0, 1 << 12, 80, dtype=np.uint64), rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    for i in range(20):
+        fp[60 + i], other[60 + i] = fp[i] ^ np.uint64(1 << i % 12), other[i] ^ np.uint64((1 << i % 30) - 1)
+    rows = list(zip(fp.view(np.int64).tolist(), other.view(np.int64).tolist(), strict=True))
+    at = range(len(rows))
+    near = [(i, j) for i in at for j in range(i) if np.bitwise_count(fp[i] ^ fp[j]) <= 9 and np.bitwise_count(other[i] ^ other[j]) <= simhash.OTHER_BITS]
+    found = simhash.links(spark.createDataFrame([(k, a, b) for k in (0, 1) for a, b in rows], "k int, fp long, other long"), 9).collect()
+    for k in (0, 1):
+        place = {r: i for i, r in enumerate(rows)}
+        got = [(place[r.a, r.other_a], place[r.b, r.other_b]) for r in found if r.k == k]
+        assert brute_components(at, got) == brute_components(at, near)
+        assert len(set(brute_components(at, got).values())) > 20
+
+
+def test_probes_of_near_copies_stay_few():
+    """What a text sends out in the search for near copies does not grow with the table: random fingerprints, up to 14 million."""
+    for n in (50_000, 500_000, 3_000_000, 14_000_000):
+        plans = []
+        for parts in simhash.PARTS:
+            widths = [64 // parts + (i < 64 % parts) for i in range(parts)]
+            shares = [np.array([math.comb(w, r) for r in range(w + 1)]) / 2**w for w in widths]
+            plans.append((*simhash.thresholds(shares, widths, n, simhash.NEAR_BITS, simhash.NEAR_PROBE_COST), widths))
+        _, chosen, widths = min(plans)
+        assert sum(len(simhash.ball(w, t // 2)) for w, t in zip(widths, chosen, strict=True) if t >= 0) <= 52
+
+
 def test_fingerprint_definition():
     import xxhash
 
