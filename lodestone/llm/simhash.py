@@ -57,6 +57,8 @@ OTHER_BITS = 22
 BLOCK_SETS, BLOCK_BYTES, ODD_BITS = 2048, 64 << 20, 2048
 #: Costs of a probe row in the units of a candidate pair; those of near copies also have the next fingerprint and take most of the disk.
 PROBE_COST, NEAR_PROBE_COST = 20.0, 500.0
+#: Probe rows that one task sends out in the search for near copies: with many more it spills them.
+PROBE_ROWS = 1 << 22
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -348,8 +350,12 @@ def links(nodes: DataFrame, max_bits: int, parts: int | None = None, wide: int |
         if out:
             yield flushed()
 
-    rows = nodes.select("k", *own).mapInArrow(expand, ", ".join(f"{c} long" for c in ["bucket", *own]))
+    probed = lambda rows: rows.select("k", *own).mapInArrow(expand, ", ".join(f"{c} long" for c in ["bucket", *own]))
+    rows = probed(nodes)
     hot = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "hot")
+    if len(own) > 1:  # fingerprints are small: a few files of them hold all of a large table's
+        tasks = -(-nodes.count() * sum(len(masks) for *_, masks in probes) // PROBE_ROWS)
+        rows = probed(nodes.repartition(max(tasks, nodes.sparkSession.sparkContext.defaultParallelism)))
     return block_pairs(rows, ["bucket"], hot, BLOCK, *own).mapInArrow(verify, "k int, " + ", ".join(f"{c} long" for c in ends)).drop("_").distinct()
 
 

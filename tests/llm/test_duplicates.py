@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -170,6 +171,16 @@ def test_links_of_near_copies_hold_in_both_fingerprints(spark, monkeypatch):
         assert len(set(brute_components(at, got).values())) > 20
 
 
+def test_probes_of_near_copies_go_out_in_small_tasks(spark, monkeypatch, tmp_path):
+    """One file of fingerprints is dealt to as many tasks as its probes ask for."""
+    monkeypatch.setattr(simhash, "PROBE_ROWS", 1000)
+    rng = np.random.default_rng(3)
+    path = str(tmp_path / "prints")
+    spark.createDataFrame([(0, int(x), int(y)) for x, y in rng.integers(0, 1 << 63, (300, 2))], "k int, fp long, other long").coalesce(1).write.parquet(path)
+    found = simhash.links(spark.read.parquet(path), 9)
+    assert int(re.search(r"Exchange RoundRobinPartitioning\((\d+)\)", found._jdf.queryExecution().executedPlan().toString())[1]) >= 10
+
+
 def test_probes_of_near_copies_stay_few():
     """What a text sends out in the search for near copies does not grow with the table: random fingerprints, up to 14 million."""
     for n in (50_000, 500_000, 3_000_000, 14_000_000):
